@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
 from .common import table
+from .mixing import fair_mix
+from .sharding import shard_documents
 from .urlfilter import match_urls, rules_frame
 
 URL_RULES = [
@@ -36,5 +40,45 @@ best AS (
 SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verdict FROM best
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter}
-ORACLE = {"op1_url_filter": OP1_SQL}
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+MIX = {"weights": [3, 1, 2], "share": 1.5, "passes": 2}
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fair_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), **MIX)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+  FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS source_size, [3.0, 1.0, 2.0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3]::DOUBLE AS w
+      FROM d GROUP BY source),
+l AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, 1.5::DOUBLE * sum(source_size) OVER () AS budget,
+         coalesce(sum(2.0::DOUBLE * source_size) OVER f, 0) AS filled, sum(w) OVER () - coalesce(sum(w) OVER f, 0) AS left_w
+  FROM s WINDOW f AS (ORDER BY 2.0::DOUBLE * source_size / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size::BIGINT AS source_size, budget,
+         least(cap, w * (SELECT min_by((budget - filled) / left_w, cap / w) FROM l WHERE cap > w * ((budget - filled) / left_w))) AS target
+  FROM l),
+c AS (
+  SELECT doc_id, h, size, t.source_size, t.target, budget, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS cum
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (
+  SELECT *, k, sum(size) OVER (ORDER BY (cum + source_size * k)::DOUBLE / target, h, doc_id, k, size ROWS UNBOUNDED PRECEDING) AS run
+  FROM c, (VALUES (0), (1)) AS p(k) WHERE size > 0),
+g AS (SELECT doc_id, h, size, cum, source_size, count(*) AS n FROM e WHERE run <= round(budget) GROUP BY ALL)
+SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(g.n, 0) * c.size AS taken
+FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.cum = g.cum AND c.size = g.size AND c.source_size = g.source_size
+"""
+
+QUERIES = {"op1_url_filter": op1_url_filter, "op7_sharding": op7_sharding, "op9_source_mix": op9_source_mix}
+ORACLE = {"op1_url_filter": OP1_SQL, "op9_source_mix": OP9_SQL}
