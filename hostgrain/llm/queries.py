@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
 from .common import table
+from .langid import held_out, identify_language, train_language_net
+from .media import digest, from_streams, to_streams
 from .mixing import fair_mix
 from .sharding import shard_documents
+from .tokencount import count_tokens
 from .urlfilter import match_urls, rules_frame
 
 URL_RULES = [
@@ -41,6 +46,10 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 """
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(from_streams(to_streams(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -80,5 +89,23 @@ SELECT c.doc_id, c.size, c.source_size, c.target, coalesce(g.n, 0) * c.size AS t
 FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.cum = g.cum AND c.size = g.size AND c.source_size = g.source_size
 """
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op7_sharding": op7_sharding, "op9_source_mix": op9_source_mix}
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = train_language_net(docs.filter(~held_out("doc_id")))
+    out = identify_language(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op6_media": op6_media,
+    "op7_sharding": op7_sharding,
+    "op8_token_count": op8_token_count,
+    "op9_source_mix": op9_source_mix,
+    "op10_language": op10_language,
+}
 ORACLE = {"op1_url_filter": OP1_SQL, "op9_source_mix": OP9_SQL}
