@@ -10,8 +10,10 @@ import public_tokenizers
 
 from .common import table
 from .langid import held_out, identify_language, train_language_net
+from .linededup import drop_recurring_lines
 from .media import digest, from_streams, to_streams
 from .mixing import fair_mix
+from .secrets import RULES, joined_spans, scan
 from .sharding import shard_documents
 from .tokencount import count_tokens
 from .urlfilter import match_urls, rules_frame
@@ -46,6 +48,41 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 """
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_lines", F.size("dropped").alias("n_dropped"), F.array_join(F.transform("dropped", lambda n: n.cast("string")), ",").alias("dropped_lines"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n
+  FROM documents WHERE text IS NOT NULL),
+g AS (
+  SELECT doc_id, text, n, regexp_split_to_array(regexp_replace(trim(line, ' '), '[^\s]*[0-9][^\s]*', '<*>', 'g'), '\s+') AS tokens FROM l),
+r AS (
+  SELECT tokens, min(struct_pack(doc_id := doc_id)).doc_id AS keeps, count(DISTINCT text) AS texts
+  FROM g WHERE len(tokens) >= 8 GROUP BY tokens HAVING count(DISTINCT text) >= 3),
+h AS (
+  SELECT g.doc_id, list(n ORDER BY n) AS dropped FROM g JOIN r USING (tokens) WHERE g.doc_id <> r.keeps GROUP BY g.doc_id)
+SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::INTEGER AS n_lines,
+       coalesce(len(dropped), 0)::INTEGER AS n_dropped, coalesce(array_to_string(dropped, ','), '') AS dropped_lines,
+       sha256(CASE WHEN dropped IS NULL THEN text
+         ELSE array_to_string(list_transform(list_filter(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))), lambda x: NOT list_contains(dropped, x[2])), lambda x: x[1]), chr(10)) END) AS text_sha256
+FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id
+"""
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    found, _ = scan(docs)
+    kinds = [r.kind for r in RULES]
+    out = found.withColumn("spans", joined_spans(kinds))
+    return out.select(F.col("path").alias("doc_id"), *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2("spans", 256).alias("base_sha256"), "spans")
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(from_streams(to_streams(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
@@ -102,10 +139,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op6_media": op6_media,
     "op7_sharding": op7_sharding,
     "op8_token_count": op8_token_count,
     "op9_source_mix": op9_source_mix,
     "op10_language": op10_language,
 }
-ORACLE = {"op1_url_filter": OP1_SQL, "op9_source_mix": OP9_SQL}
+ORACLE = {"op1_url_filter": OP1_SQL, "op4_line_dedup": OP4_SQL, "op9_source_mix": OP9_SQL}
