@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from .common import table
+from .decontam import find_windows, item_digest
 from .langid import held_out, identify_language, train_language_net
 from .linededup import drop_recurring_lines
 from .media import digest, from_streams, to_streams
@@ -48,6 +49,34 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 """
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select(
+        "doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        item_digest("items").alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS x
+  FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM i WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS x
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM w, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+h AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN iw USING (n, x)),
+c AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM h) GROUP BY doc_id),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM h) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(w.w), 0)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN o ON d.doc_id = o.doc_id
+"""
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
@@ -139,6 +168,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_media": op6_media,
@@ -147,4 +177,4 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_language": op10_language,
 }
-ORACLE = {"op1_url_filter": OP1_SQL, "op4_line_dedup": OP4_SQL, "op9_source_mix": OP9_SQL}
+ORACLE = {"op1_url_filter": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_source_mix": OP9_SQL}
