@@ -14,6 +14,7 @@ from .langid import held_out, identify_language, train_language_net
 from .linededup import drop_recurring_lines
 from .media import digest, from_streams, to_streams
 from .mixing import fair_mix
+from .neardup import near_duplicates
 from .secrets import RULES, joined_spans, scan
 from .sharding import shard_documents
 from .tokencount import count_tokens
@@ -49,6 +50,25 @@ SELECT page_id, host, path, b.rule AS rule, coalesce(b.verdict, 'allow') AS verd
 """
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), k=4, percent=80)
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS x
+  FROM (SELECT *, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r(node, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON r.reached = l.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.reached) AS component_id, d.doc_id = min(r.reached) AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id JOIN r ON r.node = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return out.select(
@@ -168,6 +188,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_decontaminate": op3_decontaminate,
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
@@ -177,4 +198,4 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_language": op10_language,
 }
-ORACLE = {"op1_url_filter": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_source_mix": OP9_SQL}
+ORACLE = {"op1_url_filter": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_source_mix": OP9_SQL}
