@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -84,7 +86,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
         done = ledger.join(F.broadcast(_versions(ledger, rules)), ["kind", "version"], "left_semi").groupBy("blob").agg(F.count_distinct("kind").alias("_n"))
         wanted = blobs.join(done.filter(F.col("_n") >= len(rules)), "blob", "left_anti")
     found = wanted.select("blob", *(matches(F.col("_content"), r).alias(r.kind) for r in rules))
-    found = found.select("blob", *(spans(F.col(r.kind), r).alias(r.kind) for r in rules))
+    found = cut(found.select("blob", *(spans(F.col(r.kind), r).alias(r.kind) for r in rules)))  # scanned once, for both results
     news = found.select("blob", F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules))).alias("x")).select("blob", "x.*")
     known = found
     if ledger is not None:
