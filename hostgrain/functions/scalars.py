@@ -183,8 +183,16 @@ def masked_name(value: Column, mask: int, names: dict[int, str]) -> Column:
     return out
 
 
+#: A surrogate without its other half, in code units written as four digits and a space each.
+_LONE_SURROGATE = "D[89AB]..(?! D[C-F]..)|(?<!D[89AB].. )D[C-F].."
+
+
 def utf16(data: Column) -> Column:
-    return F.decode(data, "UTF-16LE")
+    """UTF-16LE text. An odd last byte is left out, and a lone surrogate becomes U+FFFD: raw bytes never fail."""
+    even = F.substring(data, F.lit(1), F.octet_length(data) - F.octet_length(data) % 2)
+    units = F.regexp_replace(F.hex(even), "(..)(..)", "$2$1 ")
+    mended = F.unhex(F.regexp_replace(F.regexp_replace(units, _LONE_SURROGATE, "FFFD"), "(..)(..) ", "$2$1"))
+    return F.decode(F.when(F.regexp_like(units, F.lit(_LONE_SURROGATE)), mended).otherwise(even), "UTF-16LE")
 
 
 def utf16_z(data: Column) -> Column:
