@@ -184,7 +184,7 @@ def masked_name(value: Column, mask: int, names: dict[int, str]) -> Column:
 
 
 #: A surrogate without its other half, in code units written as four digits and a space each.
-_LONE_SURROGATE = "D[89AB]..(?! D[C-F]..)|(?<!D[89AB].. )D[C-F].."
+_LONE_SURROGATE = r"\bD[89AB]..(?! D[C-F]..)|(?<!D[89AB].. )\bD[C-F].."
 
 
 def utf16(data: Column) -> Column:
