@@ -7,11 +7,11 @@ similarity. Documents that agree in all registers of a band share a bucket. With
 chance that two documents share none of the buckets is ``(1 - 0.8 ** ROWS) ** BANDS``, 6e-7.
 
 Buckets may hold a third of all documents, so pairs within them are never listed. Documents of equal sets are one
-class from the start. Each bucket, and each of its ``SALTS`` parts, names the member with the fewest shingles of its own
-as a pivot, and only pairs with a pivot are examined. Whatever a bucket still holds of different components after that
-is paired, but first it loses the members that can't be linked across components there: shingles that no other
-component holds bound what two members can share. A pair is examined by a joint likelihood estimate of its similarity
-from both sketches, which lets go of pairs that are clearly below, and then verified on the whole sets.
+class from the start. Each bucket names as its pivot the member with the largest buckets overall, which is near the
+centre of its family, and only pairs with a pivot are examined. Most families are one component after that. Only what
+a bucket still holds of different components is compared across them: by the sketches, within the join, so that just
+those pairs come out, once each, whose registers agree often enough. A pair is examined by a joint likelihood estimate
+of its similarity from both sketches, which lets go of pairs that are clearly below, and then verified on the whole sets.
 
 Components come from alternating large-star and small-star steps over the links, as joins and aggregations.
 """
@@ -34,9 +34,8 @@ BANDS, ROWS = 36, 5
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 #: A pair goes if the likelihood at the threshold is less than the best by a factor of e to this.
 MARGIN = 16.0
-SALTS = 8
-#: Buckets of fewer members are paired without a look at shingles that only one component holds.
-CROWD = 16
+#: The same margin in standard deviations of the number of equal registers.
+SIGMAS = 5.66
 
 _rng = np.random.default_rng(20_240_229)
 _XOR = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -94,15 +93,20 @@ def sketch_documents(docs: DataFrame, k: int, id: str, text: str) -> DataFrame:
                 s = shingle_set(t.as_py(), k, NOT_SPACE)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
-                regs.append(registers(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "set_key", "registers"])
+                regs.append(registers(s).view(np.int16) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(regs, pa.list_(pa.int16()))], ["doc_id", "n_shingles", "set_key", "registers"])
 
-    return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key string, registers binary")
+    return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key string, registers array<smallint>")
 
 
 def _bucket_keys(registers: Column) -> Column:
-    size = 2 * ROWS
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(registers, i * size + 1, F.lit(size))))
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice(registers, i * ROWS + 1, ROWS)))
+
+
+def _agree(percent: int) -> int:
+    """The number of equal registers that two sets of the similarity have at least, but for chances of 1e-7."""
+    n, p = BANDS * ROWS, percent / 100
+    return int(n * p - SIGMAS * (n * p * (1 - p)) ** 0.5)
 
 
 def _examine(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -116,7 +120,7 @@ def _examine(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, per
             for at in range(0, whole.num_rows, 4096):
                 x = whole.slice(at, 4096)
                 n_a, n_b = (x.column(i).to_numpy().astype(np.float64) for i in (2, 4))
-                r_a, r_b = (np.frombuffer(b"".join(x.column(i).to_pylist()), np.uint16).reshape(x.num_rows, -1) for i in (3, 5))
+                r_a, r_b = (x.column(i).flatten().to_numpy().view(np.uint16).reshape(x.num_rows, -1) for i in (3, 5))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(may_reach(n_a, n_b, r_a, r_b, percent))) for c in x.columns[:2]], ["a", "b"])
 
     likely = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(estimate, f"a {kind}, b {kind}")
@@ -139,22 +143,16 @@ def _examine(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, per
 
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of every node of the links (a, b). Alternates large-star and small-star steps
-    until nothing changes; a node's neighbours are never gathered."""
+    until every edge leads to a root; a node's neighbours are never gathered."""
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
+    while edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").take(1) or edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("v")).filter("m <> v").take(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == seen:
-            break
-        seen = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,52 +170,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
         sketches.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_key").agg(F.min("doc_id").alias("rid"), F.any_value("n_shingles").alias("n"), F.any_value("registers").alias("registers"))
     )
-    rows = classes.select("rid", "n", F.explode(_bucket_keys(F.col("registers"))).alias("key"))
+    rows = classes.select("rid", F.posexplode(_bucket_keys(F.col("registers"))).alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    members = cut(rows.join(shared, "key").distinct())
+    members = cut(rows.join(shared, "key"))
     texts = cut(docs.select(F.col(id).alias("rid"), F.col(text).alias("text")).join(members.select("rid").distinct(), "rid", "left_semi"))
-    kind = dict(members.dtypes)["rid"]
 
-    # Shingles of the members of crowded buckets, to see which of them only one document, or one component, holds.
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for i in range(x.num_rows):
-                s = shingle_set(x.column(1)[i].as_py(), k)
-                yield pa.RecordBatch.from_arrays([pa.array([x.column(0)[i].as_py()] * len(s), x.schema.types[0]), pa.array(s.view(np.int64))], ["rid", "h"])
-
-    crowded = members.filter(F.col("members") >= CROWD).select("rid").distinct()
-    shingles = cut(texts.join(crowded, "rid", "left_semi").select("rid", "text").mapInArrow(explode, f"rid {kind}, h long"))
-    own = shingles.groupBy("h").agg(F.min("rid").alias("rid"), F.max("rid").alias("_last")).filter("rid = _last").groupBy("rid").agg(F.count("*").alias("own"))
-    placed = members.join(own, "rid", "left").fillna(0, ["own"]).withColumn("_salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)))
-    central = F.min(F.struct("own", "rid"))
-    parts = placed.groupBy("key", "_salt").agg(central.alias("_p"))
-    pivots = parts.groupBy("key").agg(F.min("_p").alias("_top"), F.collect_list(F.struct("_salt", "_p")).alias("_parts"))  # at most SALTS
-    named = placed.select("key", "rid", "_salt").join(pivots, "key")
-    mine = F.filter("_parts", lambda p: p["_salt"] == F.col("_salt"))
-    to_pivot = named.select("rid", F.explode(F.array_distinct(F.array(F.col("_top.rid"), F.get(mine, F.lit(0))["_p"]["rid"]))).alias("pivot"))
-    pairs = cut(to_pivot.filter("rid <> pivot").select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct())
+    central = members.groupBy("rid").agg(F.sum("members").alias("weight"))
+    placed = members.select("key", "rid").join(central, "rid")
+    pivots = placed.groupBy("key").agg(F.max(F.struct("weight", "rid"))["rid"].alias("pivot"))
+    to_pivot = members.select("key", "rid").join(pivots, "key").filter("rid <> pivot")
+    pairs = cut(to_pivot.select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct())
     links = cut(_examine(pairs, classes, texts, k, percent))
-
-    # Buckets that still hold more than one component.
     found = components(links)
+
+    # What is left: buckets that still hold more than one component.
     named = members.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    open_ = _unsettled(named)
-    apart = open_.filter(F.col("members") >= CROWD).select("rid", "component").distinct()
-    held = shingles.join(apart, "rid")
-    single = held.groupBy("h").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c = _d").select("h")
-    alone = held.join(single, "h").groupBy("rid").agg(F.count("*").alias("alone"))
-    bounded = open_.join(alone, "rid", "left").withColumn("alone", F.when(F.col("members") >= CROWD, F.coalesce("alone", F.lit(0))).otherwise(0))
-    # A member shares at most n - alone with another component, so its partner has at most so many shingles.
-    most = ((F.col("n") - F.col("alone")) * 100 / percent) - F.col("alone")
-    bounded = bounded.withColumn("most", F.floor(most + 1e-9))
-    least = bounded.groupBy("key").agg(F.min("n").alias("_least"))
-    left = cut(_unsettled(bounded.join(least, "key").filter("most >= _least").drop("_least")))
-    one, two = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "component", "n", "most"))) for s in "ab")
-    fits = (F.col("component_a") < F.col("component_b")) & (F.col("n_a") <= F.col("most_b")) & (F.col("n_b") <= F.col("most_a"))
-    rest = one.join(two, "key").filter(fits).select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")).distinct()
-    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(_examine(rest, classes, texts, k, percent)) if rest.take(1) else links
-    found = components(links) if rest.take(1) else found
+    mixed = named.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c < _d").select("key")
+    left = cut(named.join(mixed, "key").join(classes.select("rid", "n", "registers"), "rid"))
+    one, two = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "component", "n", "registers")), *(["band"] if s == "a" else [])) for s in "ab")
+    sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
+    equal = F.zip_with("registers_a", "registers_b", lambda x, y: x == y)
+    often = F.size(F.filter(equal, lambda e: e)) >= _agree(percent)
+    # A pair comes out of the first band it shares.
+    part = lambda r, i: F.slice(r, i * ROWS + 1, ROWS)
+    earlier = F.exists(F.slice(F.sequence(F.lit(0), F.lit(BANDS - 1)), F.lit(1), F.col("band")), lambda i: part(F.col("registers_a"), i) == part(F.col("registers_b"), i))
+    across = one.join(two, "key").filter((F.col("component_a") < F.col("component_b")) & sizes & often & ~earlier)
+    rest = across.select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")).distinct()
+    more = cut(_examine(cut(rest.join(pairs, ["a", "b"], "left_anti")), classes, texts, k, percent))
+    if more.take(1):
+        found = components(links.unionByName(more))
 
     named = classes.select("set_key", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left")
     named = named.select("set_key", F.coalesce("component", "rid").alias("_component"))
@@ -225,8 +206,3 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
     component = F.coalesce("_component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
-
-def _unsettled(members: DataFrame) -> DataFrame:
-    """The rows of buckets whose members are of more than one component."""
-    mixed = members.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c < _d").select("key")
-    return members.join(mixed, "key")
