@@ -112,7 +112,7 @@ def b7_properties(spark, sf):
     values = F.concat(*(F.concat(_u(F.octet_length(v) + 4, 4), v) for v in (number, text)), _u(0, 4))
     store = F.concat(_u(F.octet_length(values) + 24, 4), F.lit(b"1SPS"), F.unhex(F.md5("s_name")), values, _u(0, 4))
     r = _good(B.decode_properties(table(spark, sf, "supplier").select("s_suppkey", store.alias("b")), "b", ["s_suppkey"]))
-    return r.select("s_suppkey", F.col("id").cast("int").alias("id"), S.vt_name(F.col("vt")).alias("vt"), "value")
+    return r.select("s_suppkey", F.col("property_id").cast("int").alias("id"), S.vt_name(F.col("vt")).alias("vt"), "value")
 
 
 @query("SELECT event_id, event_type AS name, user_id::INTEGER AS count, ts AS last_ts, ts AS bam_ts FROM events")

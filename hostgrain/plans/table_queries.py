@@ -345,10 +345,10 @@ def s2_repair_json(spark, sf):
     e = table(spark, sf, "events")
     broken = F.concat(F.lit('[ {"Name": "'), "event_id", F.lit('", "Value": "a, }",\n }, ]'))
     sound = F.concat(F.lit('[ {"Name": "'), "event_id", F.lit('", "Value": "a, }"}]'))
-    files = e.select(F.lit("h").alias("host"), F.col("event_id").cast("string").alias("f"), F.when(F.col("event_id") % 2 == 0, sound).otherwise(F.replace(broken, F.lit("a, }"), F.lit("a; }"))).alias("value"))
+    files = e.select(F.lit("h").alias("host"), F.col("event_id").cast("string").alias("f"), F.when(F.col("event_id") % 2 == 0, sound).otherwise(broken).alias("value"))
     cutoff = e.filter("event_id % 7 = 0").select(F.lit("h").alias("host"), F.col("event_id").cast("string").alias("f"), F.lit('[{"Name": "x').alias("value"))
     rows, bad = A.parse_drops(files.unionByName(cutoff), "run")
-    good = rows.select(F.col("Name").alias("name"), F.replace("Value", F.lit(";"), F.lit(",")).alias("value"), F.lit(True).alias("good"))
+    good = rows.select(F.col("Name").alias("name"), F.col("Value").alias("value"), F.lit(True).alias("good"))
     return good.unionByName(bad.select(F.col("f").alias("name"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("good")))
 
 

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..functions import scalars as S
 
@@ -57,8 +58,8 @@ KINDS: dict[str, tuple[str, str]] = {
     "jumplist_custom": ("jumplistCustomDestinations.json", f"{_SID}, `Application` string, `Path` string, `Type` string, {_TIMES}, `recentDocs` array<{_struct(_LINK)}>"),
 }
 
-#: A comma before a closing bracket, which some files have; and the outer ``Type`` of network items, which the inner one hides.
-TRAILING_COMMA = r",(\s*[}\]])"
+#: A whole string, or else a comma before a closing bracket, which some files have.
+STRING_OR_TRAILING_COMMA = r'("(?:[^"\\]++|\\.)*+")|,(\s*[}\]])'
 
 
 @dataclass(frozen=True)
@@ -81,15 +82,15 @@ class Options:
 
 
 def repair_json(text: Column) -> Column:
-    return F.regexp_replace(text, TRAILING_COMMA, "$1")
+    """Without commas before closing brackets; those inside strings stay."""
+    return F.regexp_replace(text, STRING_OR_TRAILING_COMMA, "$1$2")
 
 
 def parse_drops(files: DataFrame, kind: str, repair: bool = True, text: str = "value") -> tuple[DataFrame, DataFrame]:
     """Rows of whole-file texts, and the quarantine. A file is parsed as it stands; only one that fails is repaired and
     parsed again, so that a sound file's strings are never touched. Files that fail twice, single array elements that
     aren't objects, and empty files go to the quarantine with a reason. Other columns of files are carried along."""
-    ddl = KINDS[kind][1]
-    whole = f"array<{_row_type(files.sparkSession, ddl)}>"
+    whole = ArrayType(StructType.fromDDL(KINDS[kind][1]))
     array = F.when(F.startswith(F.ltrim(F.col(text)), F.lit("[")), F.col(text)).otherwise(F.concat(F.lit("["), F.col(text), F.lit("]")))
     fail = {"mode": "PERMISSIVE"}
     parsed = files.withColumn("_json", array)
@@ -105,16 +106,6 @@ def parse_drops(files: DataFrame, kind: str, repair: bool = True, text: str = "v
     return rows, bad
 
 
-def _row_type(spark: SparkSession, ddl: str) -> str:
-    return spark.createDataFrame([], ddl).schema.simpleString() if "variant" not in ddl else _struct_of(ddl)
-
-
-def _struct_of(ddl: str) -> str:
-    from pyspark.sql.types import _parse_datatype_string
-
-    return _parse_datatype_string(ddl).simpleString()
-
-
 def read_artefact(spark: SparkSession, root: str, kind: str, repair: bool = True) -> tuple[DataFrame, DataFrame]:
     """Rows and quarantine of one kind for all hosts under root; ``host`` comes from the folder. The system's file may
     also lie in the root's ``default`` folder next to it, as older collectors put it there."""
