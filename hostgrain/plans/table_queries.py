@@ -47,8 +47,8 @@ def _tasks(spark, sf):
         F.lit("-a").alias("Arguments"), F.when(~exec_, F.col("l_suppkey").cast("string")).alias("ClassId"), F.lit(None).cast("string").alias("ClassId Name"), F.lit("d").alias("data"),
     )
     trigger = F.struct(F.when(F.col("l_linestatus") == "O", "TIME").otherwise("BOOT").alias("Type"), F.concat(F.lit("PT"), "l_linenumber", F.lit("H")).alias("Interval"))
-    child = F.struct("l_linenumber", "l_partkey", "l_suppkey", action.alias("a"), trigger.alias("t"))
-    kids = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(child), lambda x, y: F.when(F.struct(x["l_linenumber"], x["l_partkey"], x["l_suppkey"]) < F.struct(y["l_linenumber"], y["l_partkey"], y["l_suppkey"]), -1).otherwise(1)).alias("k"))
+    child = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", action.alias("a"), trigger.alias("t"))
+    kids = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(child)).alias("k"))
     o = _host(table(spark, sf, "orders")).join(kids, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return o.select(
         "host", F.lit("t").alias("Name"), F.col("o_orderpriority").alias("Description"), F.lit("a").alias("Author"), S.bool_text(F.col("o_orderstatus") == "O").alias("Enabled"),
@@ -286,7 +286,7 @@ def _prefetch(spark, sf):
     """Orders as prefetch files: lines as run times, volumes and referenced files."""
     li = table(spark, sf, "lineitem")
     name = F.concat(F.lit("P"), F.col("l_partkey") % 5, F.lit(".EXE"))
-    k = F.struct("l_linenumber", "l_partkey", "l_suppkey", name.alias("n"), _shown("l_shipdate").alias("t"))
+    k = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", name.alias("n"), _shown("l_shipdate").alias("t"))
     g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(k)).alias("k"))
     g = _host(g).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     volume = F.struct(F.lit("\\VOLUME").alias("DeviceName"), F.lower(F.hex("o_orderkey")).alias("SerialNumber"), F.lit("C:").alias("MountPoint"), F.lit("").alias("CreationTime"), _shown("o_orderdate").alias("CreationTimeUtc"), F.lit("1").alias("NbDirs"), F.array(F.struct(F.lit("\\D").alias("Dir"), F.lit("C:\\D").alias("FullPath"))).alias("Dirs"))
@@ -304,7 +304,8 @@ def t24_prefetch(spark, sf):
     return T.build_prefetch(_prefetch(spark, sf)).select("path", "hash", "run_count", "full_path", F.size("runs").alias("n_runs"))
 
 
-@query(_LINES + """SELECT o_orderkey::VARCHAR AS path, pos::INTEGER AS pos, date_trunc('second', l_shipdate) AS run_ts FROM l JOIN orders ON l_orderkey = o_orderkey WHERE pos < 8""".replace("l_suppkey, l_returnflag, l_linestatus", "l_suppkey, l_shipdate"))
+@query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) - 1 AS pos FROM lineitem)
+SELECT o_orderkey::VARCHAR AS path, pos::INTEGER AS pos, date_trunc('second', l_shipdate) AS run_ts FROM l JOIN orders ON l_orderkey = o_orderkey WHERE pos < 8""")
 def t25_prefetch_runs(spark, sf):
     return T.build_prefetch_runs(T.build_prefetch(_prefetch(spark, sf))).select("path", "pos", ntz(F.col("run_ts")).alias("run_ts"))
 
