@@ -22,8 +22,21 @@ def scratch(spark) -> str:
     return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, written as Parquet and read back: later plans start from the files."""
+    """df, written as Parquet and read back: lineage ends there, and every later reader, on any executor, sees the
+    same rows."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_cuts(spark) -> None:
+    """Delete what cut() has written in this session; call it once the results are stored."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

@@ -91,7 +91,18 @@ def b4_destlist(spark, sf):
 @query("""SELECT p_partkey // 20 AS list_id, (row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey) - 1)::INTEGER AS pos, 'FileEntry' AS type, 'P' || p_partkey AS name, p_size::BIGINT AS size,
   p_name AS long_name, make_timestamp(2001, 2, 3, 4, 6, 8) AS modified FROM part""")
 def b5_shell_items(spark, sf):
-    """Parts packed as file entries with an extension block that holds the long name (b6)."""
+    r = _items(spark, sf)
+    return r.select("list_id", "pos", "type", "name", "size", F.get("blocks", F.lit(0))["text"].alias("long_name"), ntz(S.fat_to_ts(F.col("modified_fat"))).alias("modified"))
+
+
+@query("SELECT p_partkey // 20 AS list_id, 'beef0004' AS signature, p_name AS long_name, make_timestamp(2001, 2, 3, 4, 6, 8) AS created FROM part")
+def b6_extension_blocks(spark, sf):
+    r = _items(spark, sf).select("list_id", F.explode("blocks").alias("b"))
+    return r.select("list_id", "b.signature", F.col("b.text").alias("long_name"), ntz(S.fat_to_ts(F.col("b.created_fat"))).alias("created"))
+
+
+def _items(spark, sf):
+    """Parts packed as file entries with an extension block that holds the long name."""
     fat = _u(((4 << 11 | 6 << 5 | 4) << 16) | (21 << 9 | 2 << 5 | 3), 4)
     name = F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit("\0")).cast("binary")
     name = F.when(F.octet_length(name) % 2 == 1, F.concat(name, _zeros(1))).otherwise(name)
@@ -101,8 +112,7 @@ def b5_shell_items(spark, sf):
     item = F.concat(_u(first + F.octet_length(block), 2), F.lit(b"\x32\x00"), _u(F.col("p_size"), 4), fat, _u(32, 2), name, block)
     d = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 20).alias("list_id"), "p_partkey", F.hex(item).alias("h"))
     g = N.gather(d, ["list_id"], "p_partkey", ["h"], "c")
-    r = _good(B.decode_shell_items(g.select("list_id", F.unhex(F.concat(F.array_join(F.transform("c", lambda x: x["h"]), ""), F.lit("0000"))).alias("b")), "b", ["list_id"]))
-    return r.select("list_id", "pos", "type", "name", "size", F.get("blocks", F.lit(0))["text"].alias("long_name"), ntz(S.fat_to_ts(F.col("modified_fat"))).alias("modified"))
+    return _good(B.decode_shell_items(g.select("list_id", F.unhex(F.concat(F.array_join(F.transform("c", lambda x: x["h"]), ""), F.lit("0000"))).alias("b")), "b", ["list_id"]))
 
 
 @query("SELECT s_suppkey, 2 AS id, 'VT_I4' AS vt, s_nationkey::VARCHAR AS value FROM supplier UNION ALL SELECT s_suppkey, 3, 'VT_LPWSTR', s_name FROM supplier")
