@@ -113,7 +113,7 @@ g AS (
   SELECT doc_id, text, n, regexp_split_to_array(regexp_replace(trim(line, ' '), '[^\s]*[0-9][^\s]*', '<*>', 'g'), '\s+') AS tokens FROM l),
 r AS (
   SELECT tokens, min(struct_pack(doc_id := doc_id)).doc_id AS keeps, count(DISTINCT text) AS texts
-  FROM g WHERE len(tokens) >= 8 GROUP BY tokens HAVING count(DISTINCT text) >= 3),
+  FROM g WHERE len(tokens) >= 8 GROUP BY tokens HAVING count(DISTINCT text) >= 2),
 h AS (
   SELECT g.doc_id, list(n ORDER BY n) AS dropped FROM g JOIN r USING (tokens) WHERE g.doc_id <> r.keeps GROUP BY g.doc_id)
 SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::INTEGER AS n_lines,

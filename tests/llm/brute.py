@@ -51,7 +51,7 @@ def hits(text, items, size=10):
     return len(w), hit, own
 
 
-def dropped_lines(docs, min_tokens=8, min_docs=3):
+def dropped_lines(docs, min_tokens=8, min_docs=2):
     """Per document (by place) the numbers of the lines that go."""
     def template(line):
         return tuple(re.split(r"\s+", re.sub(r"\S*[0-9]\S*", "<*>", line.strip(" "))))
