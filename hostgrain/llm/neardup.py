@@ -9,8 +9,9 @@ chance that two documents share none of the buckets is ``(1 - 0.8 ** ROWS) ** BA
 Buckets may hold a third of all documents, so pairs within them are never listed. Documents of equal sets are one
 class from the start. Each bucket names as its pivot the member with the largest buckets overall, which is near the
 centre of its family, and only pairs with a pivot are examined. Most families are one component after that. Only what
-a bucket still holds of different components is compared across them: by the sketches, within the join, so that just
-those pairs come out, once each, whose registers agree often enough. A pair is examined by a joint likelihood estimate
+a bucket still holds of different components is compared across them: its documents get a finer sketch, of which one bit
+a register is kept, and the join compares these bits, so that just those pairs come out, once each, that agree often
+enough. A pair is examined by a joint likelihood estimate
 of its similarity from both sketches, which lets go of pairs that are clearly below, and then verified on the whole sets.
 
 Components come from alternating large-star and small-star steps over the links, as joins and aggregations.
@@ -34,20 +35,23 @@ BANDS, ROWS = 36, 5
 BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 #: A pair goes if the likelihood at the threshold is less than the best by a factor of e to this.
 MARGIN = 16.0
-#: The same margin in standard deviations of the number of equal registers.
-SIGMAS = 5.66
+#: Registers of the finer sketch, of which the parity is kept; and the same margin in standard deviations of their number.
+FINE, SIGMAS = 4096, 5.66
 
 _rng = np.random.default_rng(20_240_229)
 _XOR = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
 _MULT = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_FINE_XOR = _rng.integers(0, 2**64, FINE, dtype=np.uint64)
+_FINE_MULT = _rng.integers(0, 2**64, FINE, dtype=np.uint64) | np.uint64(1)
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
+def registers(shingles: np.ndarray, xor: np.ndarray = _XOR, mult: np.ndarray = _MULT) -> np.ndarray:
     """The sketch of a set of hashes: 16-bit registers. Sketches of a union are the maxima of the parts'."""
-    least = np.full(len(_MULT), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), 512):
-        h = shingles[at : at + 512, None] ^ _XOR
-        h *= _MULT
+    least = np.full(len(mult), np.iinfo(np.uint64).max, np.uint64)
+    step = (1 << 17) // len(mult)
+    for at in range(0, len(shingles), step):
+        h = shingles[at : at + step, None] ^ xor
+        h *= mult
         np.minimum(least, h.min(0), out=least)
     u = (least.astype(np.float64) + 0.5) / 2.0**64
     h = -np.log1p(-np.minimum(u, 1 - 2.0**-53)) / RATE
@@ -103,10 +107,15 @@ def _bucket_keys(registers: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice(registers, i * ROWS + 1, ROWS)))
 
 
-def _agree(percent: int) -> int:
-    """The number of equal registers that two sets of the similarity have at least, but for chances of 1e-7."""
-    n, p = BANDS * ROWS, percent / 100
-    return int(n * p - SIGMAS * (n * p * (1 - p)) ** 0.5)
+def fine_bits(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the finer sketch's registers, 64 to a number. Equal registers agree, others half the time."""
+    return np.packbits(registers(shingles, _FINE_XOR, _FINE_MULT) & 1, bitorder="little").view(np.int64)
+
+
+def most_differing(percent: int) -> int:
+    """How many of these bits differ at most in two sets of the similarity, but for chances of 1e-7."""
+    q = (1 - percent / 100) / 2
+    return int(FINE * q + SIGMAS * (FINE * q * (1 - q)) ** 0.5) + 1
 
 
 def _examine(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -187,10 +196,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
     named = members.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     mixed = named.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c < _d").select("key")
     left = cut(named.join(mixed, "key").join(classes.select("rid", "n", "registers"), "rid"))
-    one, two = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "component", "n", "registers")), *(["band"] if s == "a" else [])) for s in "ab")
+    kind = dict(left.dtypes)["rid"]
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = [fine_bits(shingle_set(t.as_py(), k)) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.list_(pa.int64()))], ["rid", "bits"])
+
+    signs = texts.join(left.select("rid").distinct(), "rid", "left_semi").select("rid", "text").mapInArrow(sign, f"rid {kind}, bits array<bigint>")
+    left = cut(left.join(signs, "rid"))
+    one, two = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "component", "n", "registers", "bits")), *(["band"] if s == "a" else [])) for s in "ab")
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
-    equal = F.zip_with("registers_a", "registers_b", lambda x, y: x == y)
-    often = F.size(F.filter(equal, lambda e: e)) >= _agree(percent)
+    differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    often = differing <= most_differing(percent)
     # A pair comes out of the first band it shares.
     part = lambda r, i: F.slice(r, i * ROWS + 1, ROWS)
     earlier = F.exists(F.slice(F.sequence(F.lit(0), F.lit(BANDS - 1)), F.lit(1), F.col("band")), lambda i: part(F.col("registers_a"), i) == part(F.col("registers_b"), i))

@@ -38,7 +38,7 @@ def _power_table(n: int) -> np.ndarray:
     """_MULT to the powers 0 .. n - 1, modulo 2**64."""
     global _powers
     while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * (_powers[-1] * _MULT)])
+        _powers = np.concatenate([_powers, _powers * (_powers[-1:] * _MULT)])
     return _powers
 
 

@@ -16,7 +16,7 @@ from hostgrain.llm.decontam import find_windows, item_digest
 from hostgrain.llm.langid import ByteNet, held_out, identify_language, train_language_net, windows_of
 from hostgrain.llm.linededup import drop_recurring_lines
 from hostgrain.llm.mixing import fair_mix
-from hostgrain.llm.neardup import components, near_duplicates, registers
+from hostgrain.llm.neardup import components, fine_bits, most_differing, near_duplicates, registers
 from hostgrain.llm.sharding import RoomTree, pack, shard_documents
 from hostgrain.llm.tokencount import count_tokens
 from hostgrain.llm.urlfilter import match_urls, rules_frame
@@ -126,6 +126,15 @@ def test_registers_agree_as_often_as_sets_do():
     assert len(shingle_set(None, 4)) == 0 and len(shingle_set("a b", 4)) == 1
 
 
+def test_fine_bits_let_similar_sets_through():
+    rng = np.random.default_rng(8)
+    s = rng.integers(0, 2**64, 1000, dtype=np.uint64)
+    bits = fine_bits(s[:900])
+    differing = lambda t: int(np.bitwise_count((bits ^ fine_bits(t)).view(np.uint64)).sum())
+    assert differing(s[100:]) <= most_differing(80) < differing(s[200:])
+    assert differing(s[:900][::-1]) == 0
+
+
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (20, 21), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
