@@ -98,7 +98,7 @@ def shard_documents(docs: DataFrame, shards: int, id: str = "doc_id", text: str
         F.col(id).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.coalesce(F.sha2(F.col(text), 256), F.lit("null")).alias("_group"),
     )
-    return assign_shards(rows, shards)
+    return assign_shards(rows, shards).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def assign_shards(rows: DataFrame, shards: int) -> DataFrame:
