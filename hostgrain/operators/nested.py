@@ -74,19 +74,28 @@ def tree_paths(nodes: DataFrame, keys: list[str], id: str, parent: str, name: st
     return out.withColumnRenamed("_id", id)
 
 
-def variant_tree(spark, df: DataFrame, text: str, keys: list[str], children: str, fields: dict[str, str], id: str = "ID") -> DataFrame:
+def variant_tree(df: DataFrame, text: str, keys: list[str], children: str, fields: dict[str, str], id: str = "ID", max_depth: int = 64) -> DataFrame:
     """Nodes of a recursive JSON text: ``node_path`` (ids from the root), ``depth``, ``parent`` and the fields, given as
-    name to type. A recursive common table expression over variants; small trees of many rows."""
-    df.select(*keys, F.try_parse_json(text).alias("v")).createOrReplaceTempView("_variant_roots")
-    k = ", ".join(keys)
-    picked = ", ".join(f"try_variant_get(v, '$.{f}', '{t}') AS `{f}`" for f, t in fields.items())
-    return spark.sql(f"""
-        WITH RECURSIVE t({k}, v, node_path, depth, parent) AS (
-          SELECT {k}, v, try_variant_get(v, '$.{id}', 'string'), 0, CAST(NULL AS STRING) FROM _variant_roots
-          UNION ALL
-          SELECT {', '.join(f't.{c}' for c in keys)}, c.value, concat_ws('/', node_path, try_variant_get(c.value, '$.{id}', 'string')), depth + 1, node_path
-          FROM t, LATERAL variant_explode(try_variant_get(v, '$.{children}', 'variant')) AS c)
-        SELECT {k}, node_path, depth, parent, {picked} FROM t""")
+    name to type. Level by level like tree_paths: no limit on the rows of a whole fleet, as recursive SQL has one. Texts
+    that aren't JSON give one node of nulls."""
+    from .store import cut
+
+    def own(v: Column) -> Column:
+        return F.try_variant_get(v, f"$.{id}", "string")
+
+    level = df.select(*keys, F.try_parse_json(text).alias("_v")).select(*keys, "_v", own(F.col("_v")).alias("node_path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
+    levels = []
+    for depth in range(max_depth):
+        level = cut(level)
+        if levels and not level.take(1):
+            break
+        levels.append(level)
+        kids = F.explode(F.try_variant_get("_v", f"$.{children}", "array<variant>")).alias("_w")
+        level = level.select(*keys, "node_path", kids).select(*keys, F.col("_w").alias("_v"), F.concat_ws("/", "node_path", own(F.col("_w"))).alias("node_path"), F.lit(depth + 1).alias("depth"), F.col("node_path").alias("parent"))
+    out = levels[0]
+    for one in levels[1:]:
+        out = out.unionByName(one)
+    return out.select(*keys, "node_path", "depth", "parent", *(F.try_variant_get("_v", f"$.{f}", t).alias(f) for f, t in fields.items()))
 
 
 def token_positions(text: Column, token: str) -> Column:

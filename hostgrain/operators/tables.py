@@ -228,7 +228,7 @@ def shell_items(df: DataFrame, column: str = "items") -> DataFrame:
 def build_shellbags(b: DataFrame) -> DataFrame:
     """The recursive bags as rows: node_path, depth, parent, and each node's own values."""
     d = b.select("host", F.col("SID").alias("sid"), F.to_json(F.struct("ID", "Parent", "Source", "LastWriteTime", "LastWriteTimeUtc", "ShellItems", "Childs")).alias("j"))
-    t = N.variant_tree(b.sparkSession, d, "j", ["host", "sid"], "Childs", {"ID": "bigint", "Source": "string", "LastWriteTime": "string", "LastWriteTimeUtc": "string", "ShellItems": "variant"})
+    t = N.variant_tree(d, "j", ["host", "sid"], "Childs", {"ID": "bigint", "Source": "string", "LastWriteTime": "string", "LastWriteTimeUtc": "string", "ShellItems": "variant"})
     return t.select("host", "sid", F.col("Source").alias("source"), "node_path", F.col("ID").alias("id"), "parent", "depth", instant("shellbags", "LastWriteTime").alias("key_last_write"), F.col("ShellItems").alias("items"))
 
 

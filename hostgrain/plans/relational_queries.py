@@ -223,7 +223,7 @@ def n2_variant_tree(spark, sf):
     """Nested JSON, a node of each nation with its customers as children, walked as variants."""
     kids = F.collect_list(F.struct(F.col("c_custkey").alias("ID"), F.col("c_name").alias("name")))
     d = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.to_json(F.struct(F.first("c_nationkey").alias("ID"), kids.alias("Childs"))).alias("j"))
-    return N.variant_tree(spark, d, "j", ["c_nationkey"], "Childs", {"name": "string"})
+    return N.variant_tree(d, "j", ["c_nationkey"], "Childs", {"name": "string"})
 
 
 @query("SELECT p_partkey // 50 AS list_id, (row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1)::INTEGER AS pos, p_name AS item FROM part")
