@@ -1,12 +1,13 @@
 """From raw documents to training shards: five stages, each one operator over all that the one before kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
-Rows without a doc_id count as one document. Empty tables pass through as empty ones.
+A document is a row: rows without a doc_id, or with the doc_id of another text, are judged each by itself. What a stage
+decides goes back to its rows by a key of their whole content. Empty tables pass through as empty ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostgrain.llm.common import cut, table
@@ -22,6 +23,18 @@ SHARDS = 8
 MIX = {"weights": [3, 1, 2], "share": 1.5, "passes": 2}
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with ``_row``, a hash of all columns (xxhash64 passes over nulls, hence the flags): only rows that are equal
+    throughout, and so interchangeable, share it."""
+    return docs.withColumn("_row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+
+
+def _repeated(rows: DataFrame, columns: list[str], times: Column) -> DataFrame:
+    """columns of each distinct row, as often as times says, an aggregate over the rows that share its key."""
+    one = rows.groupBy("_row").agg(F.any_value(F.struct(*columns)).alias("_one"), times.cast("int").alias("_times")).filter("_times > 0")
+    return one.select("_one", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_one.*")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops null texts, texts without a letter, and texts of no recognised language. The network learns from the
     labelled rows of docs, as op10 does."""
@@ -32,24 +45,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group linked by five-word shingles at a similarity of 0.8;
-    a doc_id that repeats stays once."""
-    kept = near_duplicates(docs.select("doc_id", "text"), k=5, percent=80).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Keeps one row of each group linked by five-word shingles at a similarity of 0.8: the one with the least doc_id,
+    null last. Rows without words are linked with nothing and all stay."""
+    rows = _keyed(docs)
+    found = near_duplicates(rows.select("_row", "text", F.col("doc_id").alias("_id")), k=5, percent=80, id="_row", keep=("_id",))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", F.col("doc_id").alias("row"), "n_shingles"))
+    kept = found.groupBy("component_id").agg(first.alias("_first")).select(F.col("_first.row").alias("_row"), F.col("_first.n_shingles").alias("_n"))
+    return _repeated(rows.join(kept, "_row"), docs.columns, F.when(F.max("_n") > 0, 1).otherwise(F.count("*")))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold ten consecutive words of a benchmark item (the whole of a shorter one)."""
-    found = find_windows(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    hit = found.filter(F.size("hits") > 0).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_id"]), "left_anti").select(docs.columns)
+    rows = _keyed(docs)
+    found = find_windows(rows.select("_row", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"), id="_row")
+    hit = found.filter(F.size("hits") > 0).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(hit, "_row", "left_anti").select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: documents as often as their source's target takes them, up to twice."""
-    taken = fair_mix(docs.select("doc_id", "text", "source"), **MIX).filter("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    mixed = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select(docs.columns)
+    rows = _keyed(docs)
+    taken = fair_mix(rows.select("_row", "text", "source"), **MIX, id="_row")
+    taken = taken.groupBy(F.col("doc_id").alias("_row")).agg(F.sum("copies").alias("_copies")).filter("_copies > 0")
+    return _repeated(rows.join(taken, "_row"), docs.columns, F.max("_copies"))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,21 +86,22 @@ def may_reach(n_u: np.ndarray, n_v: np.ndarray, r_u: np.ndarray, r_v: np.ndarray
     return (100 * small >= percent * large) & ((best >= at) | close)
 
 
-def sketch_documents(docs: DataFrame, k: int, id: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets, null for empty ones) and registers of every row."""
-    kind = docs.select(id).schema[0].dataType.simpleString()
+def sketch_documents(docs: DataFrame, k: int, id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in keep, n_shingles, set_key (equal for equal sets, null for empty ones) and registers of every row."""
+    src = docs.select(F.col(id).alias("doc_id"), *keep, F.col(text).alias("_text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, keys, regs = [], [], []
-            for t in b.column(1):
+            for t in b.column(b.num_columns - 1):
                 s = shingle_set(t.as_py(), k, NOT_SPACE)
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() if len(s) else None)
                 regs.append(registers(s).view(np.int16) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(regs, pa.list_(pa.int16()))], ["doc_id", "n_shingles", "set_key", "registers"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(regs, pa.list_(pa.int16()))], [*b.schema.names[:-1], "n_shingles", "set_key", "registers"])
 
-    return docs.select(F.col(id).alias("doc_id"), F.col(text).alias("_text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, set_key string, registers array<smallint>")
+    return src.mapInArrow(run, f"{fields}, n_shingles long, set_key string, registers array<smallint>")
 
 
 def _bucket_keys(registers: Column) -> Column:
@@ -164,8 +165,8 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ``n_shingles``, ``component_id`` and ``kept`` of every row of docs.
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns named in keep, ``n_shingles``, ``component_id`` and ``kept`` of every row of docs.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text's set holds its distinct runs of k words, or the whole
     sequence if it has fewer. Two documents are linked where ``100 * shared >= percent * united``. component_id is the
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
     all returned. A row with a null id is never kept if its set has another owner. Empty tables give empty results;
     other columns are not looked at.
     """
-    sketches = cut(sketch_documents(docs, k, id, text))
+    sketches = cut(sketch_documents(docs, k, id, text, keep))
     classes = cut(
         sketches.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_key").agg(F.min("doc_id").alias("rid"), F.any_value("n_shingles").alias("n"), F.any_value("registers").alias("registers"))
@@ -220,7 +221,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
 
     named = classes.select("set_key", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left")
     named = named.select("set_key", F.coalesce("component", "rid").alias("_component"))
-    out = sketches.select("doc_id", "n_shingles", F.coalesce("set_key", F.concat(F.lit("none:"), F.xxhash64("doc_id"))).alias("set_key")).join(named, "set_key", "left")
+    out = sketches.select("doc_id", *keep, "n_shingles", F.coalesce("set_key", F.concat(F.lit("none:"), F.xxhash64("doc_id"))).alias("set_key")).join(named, "set_key", "left")
     component = F.coalesce("_component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", *keep, "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 

@@ -74,3 +74,22 @@ def test_awkward_and_empty_tables(spark):
             if name != "sharding":
                 assert d.columns == docs.columns
         assert d.filter("doc_id in (1, 2, 4)").count() == 0
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    """Two thirds of these share a null id or the id 1; only what is linked, or contaminated itself, goes."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("size(split(text, ' ')) > 12").first().text
+    own = lambda n: " ".join(f"w{n}x{i}" for i in range(30))
+    rows = [(None, own(i), "a") for i in range(4)] + [(1, own(i), "a") for i in range(4, 8)] + [(1, item, "a"), (2, own(0), "b"), (3, own(5), "b"), (None, None, "a"), (None, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.doc_id, r.text) for r in P.near_duplicate(spark, docs, SF).collect())
+    want = Counter((d, t) for d, t, _ in rows) - Counter([(None, own(0)), (3, own(5))])
+    assert got == want
+    assert Counter((r.doc_id, r.text) for r in P.decontamination(spark, docs, SF).collect()) == Counter((d, t) for d, t, _ in rows) - Counter([(1, item)])
+    thrice = docs.filter("text is not null").unionByName(docs.filter("doc_id = 2")).unionByName(docs.filter("doc_id = 2"))
+    mixed = P.mixing(spark, thrice, SF).collect()
+    copies = Counter((r.doc_id, r.text) for r in mixed)
+    there = Counter((r.doc_id, r.text) for r in thrice.collect())
+    assert all(n <= 2 * there[x] for x, n in copies.items())
+    total = sum(len(t.split()) * n for (_, t), n in there.items())
+    assert 1.2 * total < sum(len(r.text.split()) for r in mixed) <= 1.5 * total
