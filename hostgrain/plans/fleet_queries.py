@@ -98,10 +98,11 @@ def d9_hash_lists(spark, sf):
 
 
 def _stream(spark, sf):
-    """The events as a stream of a drop folder's files."""
+    """The events as a stream of a drop folder's files. They are written in no order of time, so a replay takes them all
+    in one batch, lest the watermark of one batch drops rows of the next."""
     drops = scratch(spark)
     table(spark, sf, "events").withColumn("ts", utc("ts")).write.parquet(drops)
-    return X.event_stream(spark, drops, spark.read.parquet(drops).schema)
+    return X.event_stream(spark, drops, spark.read.parquet(drops).schema, files_a_batch=None)
 
 
 def _run(spark, stream):
