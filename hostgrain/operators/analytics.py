@@ -77,7 +77,8 @@ def top_programs(df: DataFrame, user: list[str], program: str, k: int) -> DataFr
 
 
 def process_ancestry(processes: DataFrame, keys: list[str], pid: str = "pid", ppid: str = "ppid", name: str = "name") -> DataFrame:
-    """Processes with the path from their oldest known ancestor, its depth, and whether their own parent is unknown."""
+    """Processes with the path from their oldest known ancestor, its depth (null in a cycle of parents and below it), and
+    whether their own parent is unknown."""
     paths = N.tree_paths(processes, keys, pid, ppid, name)
     known = processes.select(*keys, F.col(pid).alias(ppid)).distinct()
     orphans = processes.join(known, [*keys, ppid], "left_anti").select(*keys, pid).withColumn("orphan", F.lit(True))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: So many levels of a tree become one table.
+STRETCH = 32
+
 
 def gather(df: DataFrame, keys: list[str], order: str, columns: list[str], out: str) -> DataFrame:
     """Children of each key as an array in their order. A parent's children are few by nature of the artefacts."""
@@ -48,33 +53,46 @@ def tagged_union(parts: dict[str, DataFrame], tag: str = "source") -> DataFrame:
     return out
 
 
-def tree_paths(nodes: DataFrame, keys: list[str], id: str, parent: str, name: str, max_depth: int = 64, separator: str = "\\") -> DataFrame:
-    """``path``, ``depth`` and ``root`` of every node that hangs on a root (a node whose parent isn't there, or is
-    itself). Walks down level by level, each level a join with the one above, until a level is empty; each level is
-    written out, so the plan doesn't grow and a lost executor costs one level."""
+def _union_of_levels(levels: list[DataFrame], level: DataFrame, depth: int) -> list[DataFrame]:
+    """levels and one more; each full stretch of the last ones is written as one table, so that plans stay small."""
+    from .store import cut
+
+    levels.append(level)
+    return [*levels[:-STRETCH], cut(reduce(DataFrame.unionByName, levels[-STRETCH:]))] if depth % STRETCH == STRETCH - 1 else levels
+
+
+def tree_paths(nodes: DataFrame, keys: list[str], id: str, parent: str, name: str, separator: str = "\\") -> DataFrame:
+    """``path``, ``depth`` and ``root`` of every node. Roots are nodes whose parent isn't there, or is themselves. Walks
+    down level by level, each level a join with the one above, until a level is empty; each level is written out, so
+    the plan doesn't grow and a lost executor costs one level. A walk that comes to an id again, as reused ids make it,
+    goes no further below it. Nodes that no root reaches, those of cycles and what hangs on them, are rows with their
+    own name as path, without depth and root."""
     from .store import cut
 
     n = nodes.select(*keys, F.col(id).alias("_id"), F.col(parent).alias("_parent"), F.col(name).cast("string").alias("_name"))
-    known = n.select(*keys, F.col("_id").alias("_parent"))
+    known = n.select(*keys, F.col("_id").alias("_parent")).distinct()
     own = n.filter(F.col("_id").eqNullSafe(F.col("_parent")))
-    orphans = n.filter(~F.col("_id").eqNullSafe(F.col("_parent"))).join(known.distinct(), [*keys, "_parent"], "left_anti")
-    level = own.unionByName(orphans).select(*keys, "_id", F.col("_name").alias("path"), F.lit(0).alias("depth"), F.col("_id").alias("root"))
     inner = n.filter(~F.col("_id").eqNullSafe(F.col("_parent")))
-    levels = []
-    for depth in range(max_depth):
+    orphans = inner.join(known, [*keys, "_parent"], "left_anti")
+    level = own.unionByName(orphans).select(*keys, "_id", F.col("_name").alias("path"), F.lit(0).alias("depth"), F.col("_id").alias("root"), F.array("_id").alias("_seen"), F.lit(False).alias("_again"))
+    levels, depth = [], 0
+    while True:
         level = cut(level)
         if not level.take(1):
             break
-        levels.append(level)
-        up = level.select(*keys, F.col("_id").alias("_parent"), F.col("path").alias("_above"), "root")
-        level = inner.join(up, [*keys, "_parent"]).select(*keys, "_id", F.concat_ws(separator, "_above", "_name").alias("path"), F.lit(depth + 1).alias("depth"), "root")
-    out = levels[0] if levels else level
-    for one in levels[1:]:
-        out = out.unionByName(one)
-    return out.withColumnRenamed("_id", id)
-
-
-def variant_tree(df: DataFrame, text: str, keys: list[str], children: str, fields: dict[str, str], id: str = "ID", max_depth: int = 64) -> DataFrame:
+        levels = _union_of_levels(levels, level.drop("_seen", "_again"), depth)
+        depth += 1
+        up = level.filter("NOT _again").select(*keys, F.col("_id").alias("_parent"), F.col("path").alias("_above"), "root", "_seen")
+        again = F.coalesce(F.array_contains("_seen", F.col("_id")), F.lit(False))
+        level = inner.join(up, [*keys, "_parent"]).select(*keys, "_id", F.concat_ws(separator, "_above", "_name").alias("path"), F.lit(depth).alias("depth"), "root", F.array_append("_seen", F.col("_id")).alias("_seen"), again.alias("_again"))
+    out = reduce(DataFrame.unionByName, levels) if levels else level.drop("_seen", "_again")
+    reached = out.select(*keys, F.col("_id").alias("_parent")).distinct()
+    rest = inner.join(known, [*keys, "_parent"], "left_semi").join(reached, [*keys, "_parent"], "left_anti")
+    rest = rest.select(*keys, "_id", F.col("_name").alias("path"), F.lit(None).cast("int").alias("depth"), F.when(F.lit(False), F.col("_id")).alias("root"))
+    return out.unionByName(rest).withColumnRenamed("_id", id)
+
+
+def variant_tree(df: DataFrame, text: str, keys: list[str], children: str, fields: dict[str, str], id: str = "ID") -> DataFrame:
     """Nodes of a recursive JSON text: ``node_path`` (ids from the root), ``depth``, ``parent`` and the fields, given as
     name to type. Level by level like tree_paths: no limit on the rows of a whole fleet, as recursive SQL has one. Texts
     that aren't JSON give one node of nulls."""
@@ -84,17 +102,16 @@ def variant_tree(df: DataFrame, text: str, keys: list[str], children: str, field
         return F.try_variant_get(v, f"$.{id}", "string")
 
     level = df.select(*keys, F.try_parse_json(text).alias("_v")).select(*keys, "_v", own(F.col("_v")).alias("node_path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
-    levels = []
-    for depth in range(max_depth):
+    levels, depth = [], 0
+    while True:
         level = cut(level)
         if levels and not level.take(1):
             break
-        levels.append(level)
+        levels = _union_of_levels(levels, level, depth)
+        depth += 1
         kids = F.explode(F.try_variant_get("_v", f"$.{children}", "array<variant>")).alias("_w")
-        level = level.select(*keys, "node_path", kids).select(*keys, F.col("_w").alias("_v"), F.concat_ws("/", "node_path", own(F.col("_w"))).alias("node_path"), F.lit(depth + 1).alias("depth"), F.col("node_path").alias("parent"))
-    out = levels[0]
-    for one in levels[1:]:
-        out = out.unionByName(one)
+        level = level.select(*keys, "node_path", kids).select(*keys, F.col("_w").alias("_v"), F.concat_ws("/", "node_path", own(F.col("_w"))).alias("node_path"), F.lit(depth).alias("depth"), F.col("node_path").alias("parent"))
+    out = reduce(DataFrame.unionByName, levels)
     return out.select(*keys, "node_path", "depth", "parent", *(F.try_variant_get("_v", f"$.{f}", t).alias(f) for f, t in fields.items()))
 
 

@@ -123,6 +123,19 @@ def test_tree_and_take_until(spark):
     assert sorted(r[0] for r in lists.select(T.mru_positions(F.col("a"))).collect()) == [[], [2, 0, 1], [3, 4]]
 
 
+def test_deep_trees_and_cycles(spark):
+    rows = [(i, i - 1, f"n{i}") for i in range(1, 71)] + [(101, 102, "a"), (102, 101, "b"), (103, 102, "c")]
+    rows += [(201, 200, "first"), (202, 201, "child"), (201, 202, "reused")]  # a cycle that a root reaches
+    got = [(r.id, r.path, r.depth, r.root) for r in N.tree_paths(spark.createDataFrame(rows, "id int, up int, name string"), [], "id", "up", "name").collect()]
+    assert {d: (i, p.count("\\"), r) for i, p, d, r in got if r == 1} == {d: (d + 1, d, 1) for d in range(70)}
+    assert sorted(x for x in got if x[0] > 100) == sorted([(101, "a", None, None), (102, "b", None, None), (103, "c", None, None), (201, "first", 0, 201), (202, "first\\child", 1, 201), (201, "first\\child\\reused", 2, 201)])
+    text = '{"ID": 70, "Childs": []}'
+    for i in range(69, -1, -1):
+        text = f'{{"ID": {i}, "Childs": [{text}]}}'
+    deep = N.variant_tree(spark.createDataFrame([("k", text)], "k string, j string"), "j", ["k"], "Childs", {"ID": "int"}).collect()
+    assert sorted((r.depth, r.ID) for r in deep) == [(i, i) for i in range(71)]
+
+
 def test_options_and_sinks(spark, tmp_path):
     assert "events" not in A.Options().kinds() and len(A.Options(events=True).kinds()) == 23
     df = spark.createDataFrame([("h", bytearray(b"ab"))], "host string, content binary")
