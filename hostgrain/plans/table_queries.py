@@ -353,14 +353,23 @@ def s2_repair_json(spark, sf):
     return good.unionByName(bad.select(F.col("f").alias("name"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("good")))
 
 
+def write_host_files(d, root, file_bytes=32 << 20):
+    """Lines (doc_id, host, value) as text files below host folders, about file_bytes in each file and task."""
+    sizes = d.groupBy(F.col("host").alias("_h")).agg(F.ceil(F.sum(F.octet_length("value") + 1) / file_bytes).alias("_files"))
+    part = F.pmod(F.xxhash64("doc_id", "value"), F.col("_files")).alias("part")
+    placed = d.join(sizes, F.col("host").eqNullSafe(F.col("_h"))).select("host", part, "value")
+    placed.repartition("host", "part").write.partitionBy("host", "part").text(root)
+
+
 @query("SELECT source AS host, count(*) AS n, sum(octet_length(encode(coalesce(text, ''))))::BIGINT AS bytes, min(md5(coalesce(text, ''))) AS least FROM documents GROUP BY source")
 def s3_binary_files(spark, sf):
-    """Texts written as files below host folders (a line each; a file a host), scanned as binary, and hashed again."""
+    """Texts written as files below host folders (a line each; as many files a host as its bytes need), scanned as binary,
+    and hashed again."""
     from ..operators.store import scratch
 
-    d = table(spark, sf, "documents").select(F.col("source").alias("host"), F.hex(F.coalesce("text", F.lit("")).cast("binary")).alias("value"))
+    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("host"), F.hex(F.coalesce("text", F.lit("")).cast("binary")).alias("value"))
     root = scratch(spark)
-    d.repartition("host").write.partitionBy("host").text(root)
+    write_host_files(d, root)
     files = A.read_binary(spark, root, "txt")
     line = files.select("host", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("l")).filter("l <> ''")
     whole = line.select("host", F.unhex("l").alias("b"))

@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from hostgrain.plans.table_queries import write_host_files
 from hostgrain.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -60,3 +62,11 @@ def test_replay_counts_every_row_of_many_unordered_files(spark, tmp_path, name):
     c.sql(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
     want = c.sql(ORACLE[name])
     assert rows == sorted(repr(plain([dict(zip(want.columns, r))[x] for x in columns])) for r in want.fetchall())
+
+
+def test_host_files_are_bounded(spark, tmp_path):
+    d = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") > 50, "big").alias("host"), F.repeat(F.lit("ab"), 100).alias("value"))
+    write_host_files(d, str(tmp_path / "out"), file_bytes=10_000)
+    files = [p for p in (tmp_path / "out/host=big").rglob("*.txt")]
+    assert len(files) > 3 and max(p.stat().st_size for p in files) < 20_000
+    assert sorted(r.value for r in spark.read.text([str(p) for p in (tmp_path / "out").rglob("*.txt")]).collect()) == ["ab" * 100] * 400
