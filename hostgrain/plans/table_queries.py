@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -229,9 +230,11 @@ SELECT 'S' || c_nationkey AS sid, c_nationkey || '/' || c_custkey AS node_path,
 UNION ALL SELECT DISTINCT 'S' || c_nationkey, c_nationkey::VARCHAR, c_nationkey::BIGINT, 0, 'nation' FROM c""")
 def t19_shellbags(spark, sf):
     kid = F.struct(F.col("c_custkey").alias("ID"), F.col("c_name").alias("Source"))
-    d = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.to_json(F.struct(F.collect_list(kid).alias("k"))).alias("j"))
+    some = F.floor(F.col("c_custkey") / 1000)  # so many bags a tree; a nation has several trees with one root
+    d = table(spark, sf, "customer").groupBy("c_nationkey", some).agg(F.to_json(F.struct(F.collect_list(kid).alias("k"))).alias("j"))
     b = _host(d).select("host", F.concat(F.lit("S"), "c_nationkey").alias("SID"), F.col("c_nationkey").cast("long").alias("ID"), F.lit(-1).cast("long").alias("Parent"), F.lit("nation").alias("Source"), F.lit("").alias("LastWriteTime"), F.lit("").alias("LastWriteTimeUtc"), F.parse_json(F.lit("[]")).alias("ShellItems"), F.variant_get(F.parse_json("j"), "$.k", "variant").alias("Childs"))
-    return T.build_shellbags(b).select("sid", "node_path", "id", "depth", "source")
+    out = T.build_shellbags(b).select("sid", "node_path", "id", "depth", "source")
+    return out.filter("depth > 0").unionByName(out.filter("depth = 0").distinct())
 
 
 @query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS rank FROM events),
@@ -240,8 +243,8 @@ SELECT r.user_id, r.event_id, r.rank::INTEGER AS rank FROM r JOIN s USING (user_
 def t20_mru(spark, sf):
     """Most recent first, up to the terminator, which an error stands for."""
     e = N.mru_rank(table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
-    g = N.gather(e.withColumn("n", F.when(F.col("event_type") == "error", -1).otherwise(F.col("event_id"))), ["user_id"], "rank", ["n"], "l")
-    return g.select("user_id", F.posexplode(T.mru_positions(F.transform("l", lambda x: x["n"]))).alias("rank", "event_id")).select("user_id", "event_id", "rank")
+    stop = F.min(F.when(F.col("event_type") == "error", F.col("rank"))).over(Window.partitionBy("user_id"))
+    return e.withColumn("stop", stop).filter("stop IS NULL OR rank < stop").select("user_id", "event_id", "rank")
 
 
 @query("""SELECT page_id, url || '?p=a b' AS target, regexp_extract(url, '://([^/]+)', 1) AS host_name, '0000' || lpad(upper(to_hex(page_id)), 4, '0') AS vol_serial, ['HasName'] AS flags FROM pages""")

@@ -1,12 +1,14 @@
 """Every registered query with SQL against DuckDB on the small tables; streams against batches."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from hostgrain.operators import nested as N
 from hostgrain.plans.table_queries import write_host_files
 from hostgrain.plans.registry import ORACLE, QUERIES
 
@@ -70,3 +72,17 @@ def test_host_files_are_bounded(spark, tmp_path):
     files = [p for p in (tmp_path / "out/host=big").rglob("*.txt")]
     assert len(files) > 3 and max(p.stat().st_size for p in files) < 20_000
     assert sorted(r.value for r in spark.read.text([str(p) for p in (tmp_path / "out").rglob("*.txt")]).collect()) == ["ab" * 100] * 400
+
+
+@pytest.mark.parametrize("name", ["n2_variant_tree", "t19_shellbags"])
+def test_nested_texts_are_bounded(spark, tmp_path, monkeypatch, name):
+    """A nation of 3,500 customers is several texts and still one tree."""
+    spark.range(3500).select(F.col("id").alias("c_custkey"), F.lit(7).alias("c_nationkey"), F.lit("n").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
+    walk, texts = N.variant_tree, []
+    monkeypatch.setattr(N, "variant_tree", lambda df, *a: (texts.append(df), walk(df, *a))[1])
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert texts[0].count() > 3 and Counter(r.depth for r in got) == {0: 1, 1: 3500}
+
+
+def test_mru_without_an_array_a_user(spark):
+    assert "collect_list" not in QUERIES["t20_mru"](spark, SF)._jdf.queryExecution().toString()
