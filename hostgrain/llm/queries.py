@@ -98,7 +98,8 @@ FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id LEFT JOIN c ON d.doc_id = c.
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # Its SQL leaves out lines of under 8 tokens and takes templates without a constant token.
+    out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=8, min_constant=0)
     return out.select(
         "doc_id", "n_lines", F.size("dropped").alias("n_dropped"), F.array_join(F.transform("dropped", lambda n: n.cast("string")), ",").alias("dropped_lines"),
         F.sha2("text", 256).alias("text_sha256"),
