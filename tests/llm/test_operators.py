@@ -177,10 +177,10 @@ def test_line_dedup_on_edges(edge, empty):
     assert [r.text for r in again] == ["z", "z"]
 
 
-def test_line_dedup_of_number_tables(spark):
-    rows = [(1, "a one\n1 2 3 4 5 6 7 8"), (2, "b two\n9 8 7 6 5 4 3 2")]
+def test_line_dedup_of_short_lines_and_number_tables(spark):
+    rows = [(1, "a one\nAll rights reserved.\n1 2 3 4 5 6 7 8\n\n同じ行です。"), (2, "b two\nAll rights reserved.\n9 8 7 6 5 4 3 2\n\n同じ行です。")]
     got = {r.doc_id: r.dropped for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: [], 2: []}
+    assert got == {1: [], 2: [1, 4]}
 
 
 # 6
