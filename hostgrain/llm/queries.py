@@ -98,8 +98,7 @@ FROM documents d LEFT JOIN w ON d.doc_id = w.doc_id LEFT JOIN c ON d.doc_id = c.
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Its SQL leaves out lines of under 8 tokens and takes templates without a constant token.
-    out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=8, min_constant=0)
+    out = drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
         "doc_id", "n_lines", F.size("dropped").alias("n_dropped"), F.array_join(F.transform("dropped", lambda n: n.cast("string")), ",").alias("dropped_lines"),
         F.sha2("text", 256).alias("text_sha256"),
@@ -107,17 +106,27 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH l AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n
-  FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, text, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM d),
+m AS (SELECT doc_id, text, i, trim(line, e' \t\x0b\x0c\r') AS s FROM l),
 g AS (
-  SELECT doc_id, text, n, regexp_split_to_array(regexp_replace(trim(line, ' '), '[^\s]*[0-9][^\s]*', '<*>', 'g'), '\s+') AS tokens FROM l),
-r AS (
-  SELECT tokens, min(struct_pack(doc_id := doc_id)).doc_id AS keeps, count(DISTINCT text) AS texts
-  FROM g WHERE len(tokens) >= 8 GROUP BY tokens HAVING count(DISTINCT text) >= 2),
-h AS (
-  SELECT g.doc_id, list(n ORDER BY n) AS dropped FROM g JOIN r USING (tokens) WHERE g.doc_id <> r.keeps GROUP BY g.doc_id)
-SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::INTEGER AS n_lines,
+  SELECT doc_id, text, i, regexp_split_to_array(regexp_replace(s, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+') AS t
+  FROM m WHERE strlen(s) >= 16),
+e AS (SELECT *, len(t) AS n, len(list_filter(t, lambda x: x = '<*>')) AS wild FROM g),
+c AS (SELECT t, n, wild, count(DISTINCT text) AS texts FROM e WHERE 2 * wild <= n GROUP BY ALL),
+q AS (SELECT t, n, texts, q, CASE WHEN n < 8 THEN t ELSE t[q * n // 4 + 1 : (q + 1) * n // 4] END AS part
+      FROM c, (VALUES (0), (1), (2), (3)) AS v(q) WHERE n >= 8 OR q = 0),
+r AS (SELECT n, t[1] AS first, q, part FROM (SELECT DISTINCT q.n, q.t, q.q, q.part, e.text FROM q JOIN e ON q.t = e.t) GROUP BY ALL HAVING count(DISTINCT text) > 1),
+k AS (SELECT DISTINCT c.t, c.n, c.wild, c.texts FROM c JOIN q ON c.t = q.t JOIN r ON q.n = r.n AND q.t[1] = r.first AND q.q = r.q AND q.part = r.part),
+p AS (SELECT t, n, wild, texts, unnest(t) AS x, unnest(range(1, n + 1)) AS p FROM k),
+f AS (SELECT n, t[1] AS first, p, x, sum(texts) AS seen FROM p WHERE x <> '<*>' GROUP BY ALL),
+w AS (SELECT p.t, p.n, p.wild, list(coalesce(f.seen, 0) ORDER BY p.p) AS seen
+      FROM p LEFT JOIN f ON p.n = f.n AND p.t[1] = f.first AND p.p = f.p AND p.x = f.x GROUP BY ALL),
+u AS (SELECT *, list_reverse_sort(seen)[greatest((n + 1) // 2, n - wild - CASE WHEN n < 8 THEN 0 ELSE n // 5 END)] AS level FROM w),
+v AS (SELECT t, list_transform(list_zip(t, seen), lambda z: CASE WHEN z[2] >= 2 AND 2 * z[2] >= level THEN z[1] ELSE '<*>' END) AS template FROM u WHERE level >= 2),
+o AS (SELECT template, min(doc_id) AS keeps FROM e JOIN v ON e.t = v.t GROUP BY template HAVING count(DISTINCT text) >= 2),
+h AS (SELECT e.doc_id, list(e.i ORDER BY e.i) AS dropped FROM e JOIN v ON e.t = v.t JOIN o ON v.template = o.template WHERE e.doc_id <> o.keeps GROUP BY e.doc_id)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::INTEGER AS n_lines,
        coalesce(len(dropped), 0)::INTEGER AS n_dropped, coalesce(array_to_string(dropped, ','), '') AS dropped_lines,
        sha256(CASE WHEN dropped IS NULL THEN text
          ELSE array_to_string(list_transform(list_filter(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10))))), lambda x: NOT list_contains(dropped, x[2])), lambda x: x[1]), chr(10)) END) AS text_sha256

@@ -51,20 +51,49 @@ def hits(text, items, size=10):
     return len(w), hit, own
 
 
-def dropped_lines(docs, min_tokens=8, min_docs=2):
+def dropped_lines(docs, min_docs=2, depth=1, min_bytes=16):
     """Per document (by place) the numbers of the lines that go."""
-    def template(line):
-        return tuple(re.split(r"\s+", re.sub(r"\S*[0-9]\S*", "<*>", line.strip(" "))))
-
-    texts, first = defaultdict(set), {}
-    for d, t in docs:
-        if t is not None:
-            for line in t.split("\n"):
-                k = template(line)
-                if len(k) >= min_tokens:
-                    texts[k].add(t)
-                    first[k] = min(first.get(k, d), d)
-    return [[i for i, line in enumerate(t.split("\n")) if len(texts[template(line)]) >= min_docs and first[template(line)] != d] if t is not None else [] for d, t in docs]
+    blank = " \t\x0b\x0c\r"
+
+    def tokens(line):
+        s = line.strip(blank)
+        t = tuple("<*>" if re.search("[0-9]", x) else x for x in re.split(f"[{blank}]+", s))
+        return t if len(s.encode()) >= min_bytes and 2 * t.count("<*>") <= len(t) else None
+
+    def parts(t):
+        n = len(t)
+        if n < 8:
+            return [(n, t)]
+        return [(n, t[:depth], q, t[q * n // 4 : (q + 1) * n // 4]) for q in range(4)]
+
+    holding, sharing = defaultdict(set), defaultdict(set)
+    for _, text in docs:
+        for line in (text or "").split("\n"):
+            if t := tokens(line):
+                holding[t].add(text)
+                for p in parts(t):
+                    sharing[p].add(text)
+    seen = Counter()
+    candidates = [t for t in holding if any(len(sharing[p]) > 1 for p in parts(t))]
+    for t in candidates:
+        for i, x in enumerate(t):
+            if x != "<*>":
+                seen[len(t), t[:depth], i, x] += len(holding[t])
+    template, texts, first = {}, defaultdict(set), {}
+    for t in candidates:
+        n = len(t)
+        counts = [seen[n, t[:depth], i, x] for i, x in enumerate(t)]
+        need = max((n + 1) // 2, n - t.count("<*>") - (n // 5 if n >= 8 else 0))
+        level = sorted(counts)[-need]
+        if level > 1:
+            template[t] = tuple(x if c > 1 and 2 * c >= level else "<*>" for x, c in zip(t, counts, strict=True))
+    for d, text in docs:
+        for line in (text or "").split("\n"):
+            if k := template.get(tokens(line)):
+                texts[k].add(text)
+                first[k] = min(first.get(k, d), d)
+    goes = {t for t, k in template.items() if len(texts[k]) >= min_docs}
+    return [[i for i, line in enumerate(t.split("\n")) if (k := tokens(line)) in goes and first[template[k]] != d] if t is not None else [] for d, t in docs]
 
 
 def targets(sizes, weights, share, passes):
