@@ -20,6 +20,8 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16  # of each width
 #: Windows that are scored at a time.
 BATCH = 256
+#: Probabilities are added up in whole units of this size, so that sums don't depend on order, and means given to DIGITS.
+UNIT, DIGITS = 1e-9, 6
 #: Bound of the training sample: documents of each language, and windows of each of them.
 PER_LANG, PER_DOC = 1200, 4
 
@@ -88,7 +90,8 @@ class ByteNet:
                     q -= rate * (mm / (1 - 0.9**t)) / (np.sqrt(vv / (1 - 0.999**t)) + 1e-8)
 
     def scorer(self):
-        """A function from rows of windows to probabilities. Two neighbouring bytes are looked up at once."""
+        """A function from rows of windows to probabilities. Two neighbouring bytes are looked up at once. Nothing but
+        element-wise operations, whose results don't depend on what else is in the batch, as those of a matrix product do."""
         pair = np.arange(65536)
         hi, lo = pair >> 8, pair & 255
         tables = []
@@ -109,8 +112,11 @@ class ByteNet:
                     part = t.take(two[:, j : j + n], axis=0)
                     total = part if total is None else np.add(total, part, out=total)
                 pooled.append(total.max(1) + bias)
-            hidden = np.maximum(np.concatenate(pooled, 1), 0)
-            return _softmax(hidden @ self.dense + self.offset)
+            hidden = np.maximum(np.concatenate(pooled, 1), 0).astype(np.float64)
+            z = np.tile(self.offset.astype(np.float64), (len(x), 1))
+            for k, weight in enumerate(self.dense.astype(np.float64)):
+                z += hidden[:, k, None] * weight
+            return _softmax(z)
 
         return score
 
@@ -153,7 +159,8 @@ def train_language_net(labelled: DataFrame, per_lang: int = PER_LANG, per_doc: i
 
 def identify_language(docs: DataFrame, net: ByteNet | None, id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named in keep, ``lang_pred`` and ``score`` of every row: the language with the
-    highest mean probability over all windows of the whole text, weighted by their bytes, and that mean. Null texts and those without a
+    highest mean probability over all windows of the whole text, weighted by their bytes, and that mean, to six digits.
+    Equal texts have equal scores, whatever batch or partition they are in. Null texts and those without a
     letter are ``und`` with score 0, as is everything without a network. Repeated rows stay; an empty table gives an
     empty result."""
     src = docs.select(F.col(id).alias("doc_id"), *(F.col(c) for c in keep), F.col(text).alias("_text"))
@@ -163,13 +170,13 @@ def identify_language(docs: DataFrame, net: ByteNet | None, id: str = "doc_id",
         score = net.scorer() if net else None
         for b in batches:
             texts = b.column(b.num_columns - 1).to_pylist()
-            total = np.zeros((len(texts), len(net.langs) if net else 1))
+            total = np.zeros((len(texts), len(net.langs) if net else 1), np.int64)
             held, owner, n = [], [], 0  # windows, and of each its row and bytes
 
             def flush():
                 x, who, share = np.concatenate(held), *np.concatenate(owner, 1)
                 for at in range(0, len(x), BATCH):
-                    np.add.at(total, who[at : at + BATCH], score(x[at : at + BATCH]) * share[at : at + BATCH, None])
+                    np.add.at(total, who[at : at + BATCH], np.rint(score(x[at : at + BATCH]) / UNIT).astype(np.int64) * share[at : at + BATCH, None])
 
             known = [bool(net) and has_letter(t) for t in texts]
             count = np.ones(len(texts))
@@ -187,8 +194,8 @@ def identify_language(docs: DataFrame, net: ByteNet | None, id: str = "doc_id",
                     held, owner, n = [], [], 0
             if held:
                 flush()
-            mean = total / count[:, None]
-            best = mean.argmax(1)
+            mean = np.round(total / count[:, None] * UNIT, DIGITS)
+            best = total.argmax(1)
             pred = [net.langs[k] if ok else "und" for k, ok in zip(best, known, strict=True)]
             value = [min(1.0, float(mean[i, k])) if known[i] else 0.0 for i, k in enumerate(best)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(value, pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])

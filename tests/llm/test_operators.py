@@ -183,6 +183,43 @@ def test_line_dedup_of_short_lines_and_number_tables(spark):
     assert got == {1: [], 2: [1, 4]}
 
 
+NAMES = ["alice", "bob", "carol", "dave", "erin", "frank"]
+LOGS = [
+    *((i, f"text {i}\nuser {name} logged in from the main office today") for i, name in enumerate(NAMES)),
+    *((10 + i, f"user alice logged in from the main office today\nrow {i} x{i * i}") for i in range(3)),
+    (20, "Posted by Anna in Berlin under news and weather today"), (21, "Posted by Omar in Paris under news and weather today\n"), (22, "Posted by Kim in Rome with all her own photographs inside"),
+    (23, "short line of seven plain tokens a"), (24, "short line of seven plain tokens b"), (25, "12 13 14 15 16 17 and 18 19 20"), (26, "22 23 24 25 26 27 and 28 29 20"),
+    (27, "  total of rows: 17 in table\t\r\n"), (28, "total of rows: 4 in table\nx y z in a long line of its own that nobody else has at all"),
+]
+
+
+def test_templates_have_fields_without_digits(spark):
+    df = spark.createDataFrame(LOGS, "doc_id long, text string")
+    got = {r.doc_id: r.dropped for r in drop_recurring_lines(df).collect()}
+    want = dict(zip((d for d, _ in LOGS), brute.dropped_lines(LOGS), strict=True))
+    assert got == want
+    assert [got[i] for i in range(6)] == [[], *[[1]] * 5] and [got[i] for i in (10, 11, 12)] == [[0]] * 3  # one template, whoever logged in
+    assert got[21] == [0] and got[22] == [] and got[24] == [] and got[26] == [] and got[28] == [0]
+    deep = {r.doc_id: r.dropped for r in drop_recurring_lines(df, depth=3).collect()}
+    assert deep == dict(zip((d for d, _ in LOGS), brute.dropped_lines(LOGS, depth=3), strict=True))
+    assert deep[1] == [] and deep[10] == [0]  # the name is a leading token now, and so leads to other leaves
+
+
+def test_line_dedup_of_long_texts_with_many_dropped_lines(spark):
+    shared = [f"a shared line with the words w{'x' * (i % 7)} and {chr(97 + i % 26) * (3 + i // 26)} in it" for i in range(20_000)]
+    rows = [(1, "\n".join(shared)), (2, "\n".join(["first", *shared, "last"])), (3, None), (4, "")]
+    got = {r.doc_id: r for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].dropped == [] and got[2].dropped == list(range(1, 20_001)) and got[2].text == "first\nlast"
+    assert got[3].text is None and (got[4].text, got[4].n_lines) == ("", 1)
+
+
+def test_line_dedup_on_documents(spark):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    got = {r.doc_id: r.dropped_lines for r in queries.op4_line_dedup(spark, SF).collect()}
+    for (d, _), lines in zip(docs, brute.dropped_lines(docs), strict=True):
+        assert got[d] == ",".join(map(str, lines))
+
+
 # 6
 
 
@@ -361,6 +398,14 @@ def test_language_on_edges(spark, edge, empty):
     assert train_language_net(edge.filter("doc_id in (1, 2, 3, 15)")) is None
 
 
+def test_scores_do_not_depend_on_partitions(spark, edge):
+    """Texts of one to many windows, in company of others or alone."""
+    net = ByteNet(["a", "b", "c"])
+    docs = edge.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, BASE * (i % 9 + 1) + str(i % 13)) for i in range(200)], "doc_id long, text string"))
+    runs = [{(r.doc_id, r.lang_pred, r.score) for r in identify_language(docs.repartition(n, F.xxhash64("doc_id", F.lit(n))), net).collect()} for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == docs.count()
+
+
 def test_scorer_is_the_network():
     """The scorer's pair tables give what the plain filters give."""
     net = ByteNet(["a", "b", "c"])
