@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators.store import clear_cuts, cut, shared_dir
 
-__all__ = ["ascii_lower", "clear_cuts", "cut", "shared_dir", "table"]
+__all__ = ["ascii_lower", "clear_cuts", "cut", "join_to_one", "shared_dir", "table"]
+
+#: A key is heavy if it holds more than one row in HEAVY_SHARE, and more than LIGHT: so at most HEAVY_SHARE keys are.
+HEAVY_SHARE, LIGHT = 10_000, 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,3 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ascii_lower(col):
     """A-Z to a-z and nothing else (lower() also maps letters beyond ASCII)."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def heavy_limit(total: int) -> int:
+    return max(LIGHT, total // HEAVY_SHARE)
+
+
+def join_to_one(rows: DataFrame, ones: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with ones, which has one row a key and in ``_n`` how many of the total rows hold the key. No task gets
+    all rows of a heavy key: what ones has for these, HEAVY_SHARE rows at most, is broadcast; the others are shuffled."""
+    limit = heavy_limit(total)
+    heavy = ones.filter(F.col("_n") > limit)
+    spread = rows.join(F.broadcast(heavy), key)
+    shuffled = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(ones.filter(F.col("_n") <= limit), key)
+    return spread.unionByName(shuffled).drop("_n")

@@ -11,10 +11,13 @@ class from the start. Each bucket names as its pivot the member with the largest
 centre of its family, and only pairs with a pivot are examined. Most families are one component after that. Only what
 a bucket still holds of different components is compared across them: its documents get a finer sketch, of which one bit
 a register is kept, and the join compares these bits, so that just those pairs come out, once each, that agree often
-enough. A pair is examined by a joint likelihood estimate
-of its similarity from both sketches, which lets go of pairs that are clearly below, and then verified on the whole sets.
+enough; no task compares more than two blocks of ``BLOCK`` members. A pair is examined by a joint likelihood estimate
+of its similarity from both sketches, which lets go of pairs that are clearly below, and then verified on the whole sets
+(64-bit hashes of all shingles).
 
-Components come from alternating large-star and small-star steps over the links, as joins and aggregations.
+Components come from alternating large-star and small-star steps over the links, as joins and aggregations. Wherever one
+key may have many rows (a bucket, a pivot, a hub), what is joined to it is broadcast for the bounded number of heavy
+keys, or copied to parts, so that its rows stay where they are or are dealt out.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, heavy_limit, join_to_one
 from .words import NOT_SPACE, shingle_set
 
 BANDS, ROWS = 36, 5
@@ -37,6 +40,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, 65_534
 MARGIN = 16.0
 #: Registers of the finer sketch, of which the parity is kept; and the same margin in standard deviations of their number.
 FINE, SIGMAS = 4096, 5.66
+#: Members of a bucket that a task compares with as many others at a time.
+BLOCK = 2048
 
 _rng = np.random.default_rng(20_240_229)
 _XOR = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -124,6 +129,7 @@ def _examine(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, per
     kind = dict(pairs.dtypes)["a"]
     one = classes.select(F.col("rid").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("r_a"))
     two = classes.select(F.col("rid").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("r_b"))
+    one = one.join(pairs.groupBy("a").agg(F.count("*").alias("_n")), "a")
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -133,7 +139,8 @@ def _examine(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, per
                 r_a, r_b = (x.column(i).flatten().to_numpy().view(np.uint16).reshape(x.num_rows, -1) for i in (3, 5))
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(may_reach(n_a, n_b, r_a, r_b, percent))) for c in x.columns[:2]], ["a", "b"])
 
-    likely = pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(estimate, f"a {kind}, b {kind}")
+    both = join_to_one(pairs, one, "a", pairs.count()).join(two, "b").select("a", "b", "n_a", "r_a", "n_b", "r_b")
+    likely = cut(both.mapInArrow(estimate, f"a {kind}, b {kind}"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, left = None, None
@@ -147,20 +154,40 @@ def _examine(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, per
                 keep.append(both > 0 and 100 * both >= percent * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in x.columns[:2]], ["a", "b"])
 
-    full = likely.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("t_b")), "b")
+    # The text of an a with many pairs goes to several tasks, each of which has a part of them.
+    limit = heavy_limit(likely.count())
+    heavy = likely.groupBy("a").agg(F.ceil(F.count("*") / limit).alias("_parts")).filter("_parts > 1")  # HEAVY_SHARE rows at most
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = likely.join(F.broadcast(heavy), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("_part"))
+    copied = texts.select(F.col("rid").alias("a"), F.col("text").alias("t_a")).join(F.broadcast(heavy), "a", "left")
+    copied = copied.select("a", "t_a", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("_part"))
+    full = dealt.join(copied, ["a", "_part"]).join(texts.select(F.col("rid").alias("b"), F.col("text").alias("t_b")), "b")
     return full.select("a", "b", "t_a", "t_b").mapInArrow(verify, f"a {kind}, b {kind}").distinct()
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """Per u its least neighbour m, and how many edges it has."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none of its own."""
+    ends = edges.select("v").distinct().join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+    return not ends.take(1) and not edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("v")).filter("m <> v").take(1)
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, component (its least node) of every node of the links (a, b). Alternates large-star and small-star steps
-    until every edge leads to a root; a node's neighbours are never gathered."""
+    until every edge leads to a root; a node's neighbours are never gathered, and those of a hub are dealt to all tasks."""
     edges = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").take(1) or edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("v")).filter("m <> v").take(1):
+    while not _settled(edges):
+        n = edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = _least(both).withColumn("m", F.least("m", "u"))
+        large = join_to_one(both, least, "u", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = cut(large.distinct())
+        least = _least(large)
+        small = join_to_one(large, least, "u", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -187,16 +214,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
 
     central = members.groupBy("rid").agg(F.sum("members").alias("weight"))
     placed = members.select("key", "rid").join(central, "rid")
-    pivots = placed.groupBy("key").agg(F.max(F.struct("weight", "rid"))["rid"].alias("pivot"))
-    to_pivot = members.select("key", "rid").join(pivots, "key").filter("rid <> pivot")
-    pairs = cut(to_pivot.select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b")).distinct())
+    pivots = placed.groupBy("key").agg(F.max(F.struct("weight", "rid"))["rid"].alias("pivot"), F.count("*").alias("_n"))
+    to_pivot = join_to_one(members.select("key", "rid"), pivots, "key", members.count()).filter("rid <> pivot")
+    pairs = cut(to_pivot.select(F.col("pivot").alias("a"), F.col("rid").alias("b")).distinct())
     links = cut(_examine(pairs, classes, texts, k, percent))
     found = components(links)
 
     # What is left: buckets that still hold more than one component.
     named = members.join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d")).filter("_c < _d").select("key")
-    left = cut(named.join(mixed, "key").join(classes.select("rid", "n", "registers"), "rid"))
+    named = cut(named)
+    mixed = named.groupBy("key").agg(F.min("component").alias("_c"), F.max("component").alias("_d"), F.count("*").alias("_n")).filter("_c < _d")
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")
+    left = join_to_one(named, mixed.select("key", "_n", blocks), "key", named.count())
+    left = left.withColumn("block", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    left = cut(left.join(classes.select("rid", "n", "registers"), "rid"))
     kind = dict(left.dtypes)["rid"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,16 +237,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id: str = "d
 
     signs = texts.join(left.select("rid").distinct(), "rid", "left_semi").select("rid", "text").mapInArrow(sign, f"rid {kind}, bits array<bigint>")
     left = cut(left.join(signs, "rid"))
-    one, two = (left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "component", "n", "registers", "bits")), *(["band"] if s == "a" else [])) for s in "ab")
+    # A bucket's members are dealt to blocks, and each pair of blocks is a key of the join of its own.
+    to = {"a": F.sequence("block", F.col("blocks") - 1), "b": F.sequence(F.lit(0), "block")}
+    side = lambda s: left.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("rid", "component", "n", "registers", "bits", "block")), F.explode(to[s]).alias(f"other_{s}"), "band")
+    one, two = side("a"), side("b").drop("band")
+    meet = (one["key"] == two["key"]) & (F.col("block_a") == F.col("other_b")) & (F.col("other_a") == F.col("block_b"))
+    apart = F.when(F.col("block_a") == F.col("block_b"), F.col("component_a") < F.col("component_b")).otherwise(F.col("component_a") != F.col("component_b"))
     sizes = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent)
     differing = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     often = differing <= most_differing(percent)
     # A pair comes out of the first band it shares.
     part = lambda r, i: F.slice(r, i * ROWS + 1, ROWS)
     earlier = F.exists(F.slice(F.sequence(F.lit(0), F.lit(BANDS - 1)), F.lit(1), F.col("band")), lambda i: part(F.col("registers_a"), i) == part(F.col("registers_b"), i))
-    across = one.join(two, "key").filter((F.col("component_a") < F.col("component_b")) & sizes & often & ~earlier)
+    across = one.join(two, meet & apart & sizes & often & ~earlier)
     rest = across.select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")).distinct()
-    more = cut(_examine(cut(rest.join(pairs, ["a", "b"], "left_anti")), classes, texts, k, percent))
+    seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = cut(_examine(cut(rest.join(seen, ["a", "b"], "left_anti")), classes, texts, k, percent))
     if more.take(1):
         found = components(links.unionByName(more))
 

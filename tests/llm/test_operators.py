@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from hostgrain.llm import media, queries
+from hostgrain.llm import media, neardup, queries
 from hostgrain.llm.decontam import find_windows, item_digest
 from hostgrain.llm.langid import ByteNet, held_out, identify_language, train_language_net, windows_of
 from hostgrain.llm.linededup import drop_recurring_lines
@@ -92,8 +92,10 @@ def test_near_duplicates_on_edges(edge, empty):
     assert near_duplicates(empty).count() == 0
 
 
-def test_near_duplicates_in_crowds(spark):
+@pytest.mark.parametrize("block", [neardup.BLOCK, 16])
+def test_near_duplicates_in_crowds(spark, monkeypatch, block):
     """A family of near copies around one base, some too far from it, and documents that share a long passage."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = np.random.default_rng(5)
     words = [f"v{i}" for i in range(4000)]
     base = list(rng.choice(words, 150))
@@ -137,7 +139,11 @@ def test_fine_bits_let_similar_sets_through():
 
 def test_components(spark):
     pairs = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 1), (20, 21), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
+    pairs += [(5000, 5001 + i) for i in range(300)] + [(9000, 8000 + i) for i in range(300)] + [(5100, 9000)]  # hubs
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    hubs = {n: c for n, c in got.items() if n >= 5000}
+    assert hubs == dict.fromkeys([*range(5000, 5301), *range(8000, 8300), 9000], 5000)
+    got = {n: c for n, c in got.items() if n < 5000}
     assert got == {**dict.fromkeys((1, 2, 3, 7, 8, 9), 1), 20: 20, 21: 20, **{100 + i: 100 for i in range(41)}}
 
 
