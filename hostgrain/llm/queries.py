@@ -6,16 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
-from .common import table
+from .common import scratch, table
 from .decontam import find_windows, item_digest
 from .langid import held_out, identify_language, train_language_net
 from .linededup import drop_recurring_lines
 from .media import digest, from_streams, to_streams
 from .mixing import fair_mix
 from .neardup import near_duplicates
-from .secrets import RULES, joined_spans, scan
+from .secrets import RULES, joined_spans, scan_into
 from .sharding import shard_documents
 from .tokencount import count_tokens
 from .urlfilter import match_urls, rules_frame
@@ -136,7 +134,7 @@ FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
-    found, _ = scan(docs)
+    found = scan_into(docs, scratch(spark))  # a ledger of its own, empty at first
     kinds = [r.kind for r in RULES]
     out = found.withColumn("spans", joined_spans(kinds))
     return out.select(F.col("path").alias("doc_id"), *(F.size(k).cast("long").alias(f"n_{k}") for k in kinds), F.sha2("spans", 256).alias("base_sha256"), "spans")
@@ -186,6 +184,8 @@ FROM c LEFT JOIN g ON c.doc_id = g.doc_id AND c.cum = g.cum AND c.size = g.size
 """
 
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 

@@ -2,7 +2,8 @@
 
 Every historical version of a path is content-addressed (SHA-256 of its text), so that a text that occurs
 under many paths or versions is one blob. The ledger holds the pairs of blob and rule version that have been
-scanned; only unseen pairs are scanned, and what is found in a blob is joined back to all its paths.
+scanned; only unseen pairs are scanned, and what is found in a blob is joined back to all its paths. So a new version of
+one rule costs a scan by that rule, and texts that were there before cost their hash.
 
 Everything is DataFrame operations: a rule's matches come from ``regexp_extract_all``, and their positions from
 the lengths of what ``split`` by the same pattern leaves between them.
@@ -12,7 +13,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -45,29 +46,31 @@ RULES = (
 SPAN = "array<struct<start:int,end:int>>"
 
 
-def matches(text: Column, rule: Rule) -> Column:
-    """Struct of the pieces between the matches of a rule, the matches, and their measured groups; null without any."""
-    p = F.lit(rule.pattern)
-    found = F.struct(
-        F.split(text, rule.pattern, -1).alias("between"), F.regexp_extract_all(text, p, 0).alias("whole"),
-        (F.regexp_extract_all(text, p, rule.measured) if rule.measured else F.regexp_extract_all(text, p, 0)).alias("measured"),
-    )
-    return F.when(F.regexp_like(text, F.lit(rule.only_if or rule.pattern)), found)
+def may_match(text: Column, rule: Rule) -> Column:
+    return F.regexp_like(text, F.lit(rule.only_if or rule.pattern))
+
 
+def _lengths(text: Column, rule: Rule) -> Column:
+    """Of each match and the text before it: their lengths, and that of the measured group; last the text after them all."""
+    p = F.lit(rule.pattern)
+    length = lambda x: F.length(x)
+    whole = F.transform(F.regexp_extract_all(text, p, 0), length)
+    measured = F.transform(F.regexp_extract_all(text, p, rule.measured), length) if rule.measured else whole
+    return F.arrays_zip(F.transform(F.split(text, rule.pattern, -1), length).alias("before"), whole.alias("whole"), measured.alias("measured"))
 
-def spans(found: Column, rule: Rule) -> Column:
-    """Start and end, in code points, end exclusive, of the matches that are long enough. Running sums of
-    lengths; pieces and matches take turns."""
-    state = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def add(acc, i):
-        start = acc["at"] + F.length(F.get(found["between"], i))
-        end = start + F.length(F.get(found["whole"], i))
-        kept = F.length(F.get(found["measured"], i)) >= rule.min_length
-        return F.struct(end.alias("at"), F.when(kept, F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"]).alias("spans"))
+def find_spans(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob, kind and ``spans``, by start, of every blob and kind that holds any: start and end in code points, end exclusive.
 
-    numbers = F.when(F.size(found["whole"]) > 0, F.sequence(F.lit(0), F.size(found["whole"]) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.aggregate(numbers, state, add, lambda acc: acc["spans"]), F.array().cast(SPAN))
+    blobs: blob, ``_content`` and ``kinds``, the rules to be tried. Positions are running sums over a text's matches,
+    a row each, so that the work grows with their number and not its square.
+    """
+    tries = [F.when(F.array_contains("kinds", r.kind) & may_match(F.col("_content"), r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.min_length).alias("least"), _lengths(F.col("_content"), r).alias("lengths"))) for r in rules]
+    tried = blobs.select("blob", F.explode(F.array(*tries)).alias("x")).filter(F.col("x").isNotNull()).select("blob", "x.kind", "x.least", F.posexplode("x.lengths").alias("i", "n"))
+    order = Window.partitionBy("blob", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = tried.withColumn("end", F.sum(F.coalesce("n.before", F.lit(0)) + F.coalesce("n.whole", F.lit(0))).over(order).cast("int"))
+    held = ends.filter(F.col("n.measured") >= F.col("least")).select("blob", "kind", F.struct((F.col("end") - F.col("n.whole")).alias("start"), "end").alias("span"))
+    return held.groupBy("blob", "kind").agg(F.array_sort(F.collect_list("span")).cast(SPAN).alias("spans"))
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path: str = "path", content: str = "content") -> tuple[DataFrame, DataFrame]:
@@ -77,34 +80,48 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     looked at. ledger: ``blob, kind, version, spans`` of earlier scans. Findings: path, ``blob`` and, per rule, an array
     of (start, end) named after its kind, in the versions' multiplicity: repeated rows stay. New ledger rows
     are to be appended to the ledger once the scan is over; a blob without findings has a row with no spans.
+
+    Every text is read once, where it lies, to be hashed and tried by each rule's cheap pattern; only what passes one is
+    moved, and scanned once a blob for the rules in whose version the ledger doesn't hold it.
     """
     text = F.coalesce(F.col(content), F.lit(""))
-    own = versions.select(F.col(path).alias("path"), text.alias("_content")).withColumn("blob", F.sha2("_content", 256))
-    blobs = own.groupBy("blob").agg(F.any_value("_content").alias("_content"))
-    wanted = blobs
-    if ledger is not None:
-        done = ledger.join(F.broadcast(_versions(ledger, rules)), ["kind", "version"], "left_semi").groupBy("blob").agg(F.count_distinct("kind").alias("_n"))
-        wanted = blobs.join(done.filter(F.col("_n") >= len(rules)), "blob", "left_anti")
-    found = wanted.select("blob", *(matches(F.col("_content"), r).alias(r.kind) for r in rules))
-    found = cut(found.select("blob", *(spans(F.col(r.kind), r).alias(r.kind) for r in rules)))  # scanned once, for both results
-    news = found.select("blob", F.explode(F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(r.kind).alias("spans")) for r in rules))).alias("x")).select("blob", "x.*")
-    known = found
+    own = versions.select(F.col(path).alias("path"), text.alias("_content"))
+    passing = F.filter(F.array(*(F.when(may_match(F.col("_content"), r), F.lit(r.kind)) for r in rules)), lambda k: k.isNotNull())
+    own = own.select("path", F.sha2("_content", 256).alias("blob"), "_content", passing.alias("passing"))
+    own = cut(own.withColumn("_content", F.when(F.size("passing") > 0, F.col("_content"))))
+
+    at_hand = own.select("blob", "passing").distinct()
+    force = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
+    pairs = at_hand.select("blob", "passing", F.explode(force).alias("x")).select("blob", "x.kind", "x.version", F.array_contains("passing", F.col("x.kind")).alias("passes"))
+    old = None
     if ledger is not None:
-        news = news.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-        old = ledger.join(F.broadcast(_versions(ledger, rules)), ["kind", "version"], "left_semi").dropDuplicates(["blob", "kind", "version"])
-        rows = old.select("blob", "kind", "spans").unionByName(news.select("blob", "kind", "spans"))
-        known = rows.groupBy("blob").agg(*(F.any_value(F.when(F.col("kind") == r.kind, F.col("spans")), True).alias(r.kind) for r in rules))
-    # Few blobs hold anything: only those are joined back, the others have empty arrays.
-    holding = known.filter(" OR ".join(f"size(`{r.kind}`) > 0" for r in rules))
+        old = ledger.filter(F.array_contains(force, F.struct("kind", "version"))).join(at_hand.select("blob"), "blob", "left_semi")
+        old = cut(old.dropDuplicates(["blob", "kind"]).select("blob", "kind", "spans"))
+        pairs = pairs.join(old.select("blob", "kind"), ["blob", "kind"], "left_anti")
+    pairs = cut(pairs)
+    due = pairs.filter("passes").groupBy("blob").agg(F.collect_set("kind").alias("kinds"))
+    texts = own.filter(F.col("_content").isNotNull()).groupBy("blob").agg(F.any_value("_content").alias("_content"))
+    found = cut(find_spans(texts.join(due, "blob"), rules))
     none = F.array().cast(SPAN)
+    news = pairs.join(found, ["blob", "kind"], "left").select("blob", "kind", "version", F.coalesce("spans", none).alias("spans"))
+    # Few blobs hold anything: only those are joined back, the others have empty arrays.
+    known = found if old is None else found.unionByName(old.filter(F.size("spans") > 0))
+    holding = known.groupBy("blob").agg(*(F.any_value(F.when(F.col("kind") == r.kind, F.col("spans")), True).alias(r.kind) for r in rules))
     out = own.select("path", "blob").join(holding, "blob", "left")
     return out.select("path", "blob", *(F.coalesce(r.kind, none).alias(r.kind) for r in rules)), news
 
 
-def _versions(ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """The rule versions in force: a row per rule."""
-    values = ", ".join(f"('{r.kind}', {r.version})" for r in rules)
-    return ledger.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(kind, version)")
+def scan_into(versions: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, path: str = "path", content: str = "content") -> DataFrame:
+    """Findings of every version, as scan() gives them. Pairs of blob and rule version that the ledger at ledger_path
+    holds are not scanned again; the others are appended to it. The folder may not be there yet. If a run ends early, the
+    next scans again what the ledger lacks."""
+    spark = versions.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    ledger = spark.read.schema(f"blob string, spans {SPAN}, kind string, version int").parquet(ledger_path) if there else None
+    found, news = scan(versions, ledger, rules, path, content)
+    news.write.mode("append").partitionBy("kind", "version").parquet(ledger_path)
+    return found
 
 
 def joined_spans(kinds: list[str]) -> Column:

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hostgrain.llm import queries
-from hostgrain.llm.secrets import RULES, joined_spans, scan
+from hostgrain.llm.common import scratch
+from hostgrain.llm.secrets import RULES, joined_spans, scan, scan_into
 
 SF = "/root/testdata/sf0.01"
 KINDS = ["assign", "access", "hex"]
@@ -71,6 +72,30 @@ def test_ledger_skips_seen_pairs_and_keeps_findings(spark):
     assert {(r.kind, r.version) for r in again.filter(F.col("blob") == hashlib.sha256(b"nothing").hexdigest()).collect()} == {("hex", 2)}
 
 
+def test_kept_ledger(spark):
+    """A second run scans nothing; a new version of one rule scans by that rule alone."""
+    where = scratch(spark)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(EDGE)], "path long, content string")
+    show = lambda df: sorted((r.path, r.s) for r in df.select("path", joined_spans(KINDS).alias("s")).collect())
+    want = [(i, brute(t)) for i, t in enumerate(EDGE)]
+    assert show(scan_into(docs, where)) == want
+    n = spark.read.parquet(where).count()
+    assert n == len({t or "" for t in EDGE}) * len(RULES)
+    assert show(scan_into(docs, where)) == want and spark.read.parquet(where).count() == n
+    assert scan(docs, spark.read.parquet(where))[1].count() == 0
+    newer = tuple(type(r)(**{**r.__dict__, "version": 2, "min_length": 20}) if r.kind == "hex" else r for r in RULES)
+    got = scan_into(docs, where, newer)
+    fresh = spark.read.parquet(where).filter("version = 2")
+    assert fresh.count() * len(RULES) == n and {r.kind for r in fresh.select("kind").distinct().collect()} == {"hex"}
+    assert show(got) == [(i, ",".join(x for x in s.split(",") if not x.startswith("hex") or int(x.split(":")[2]) - int(x.split(":")[1]) >= 20)) for i, s in want]
+
+
+def test_many_matches_in_one_text(spark):
+    text = "AKIA0123456789ABCD " * 40_000
+    out, _ = scan(spark.createDataFrame([(1, text)], "path long, content string"))
+    assert out.select(F.size("access"), F.element_at("access", -1)["end"]).first()[:] == (40_000, len(text) - 1)
+
+
 def test_empty_table(spark):
     out, news = scan(spark.createDataFrame([], "path long, content string"))
     assert out.count() == 0 and news.count() == 0
