@@ -1,24 +1,25 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-A group is all documents of equal text; its size is the sum of theirs. Every shard has the same capacity.
-Groups larger than a fixed fraction of it, of which there are at most ``GRAIN`` a shard whatever the data,
-are packed one by one in decreasing size, each into the shard with the least room that still holds it, which
-a segment tree over the shards finds. The smaller groups follow, in decreasing order of size class, as one
-long row that is poured into the remaining rooms: a distributed running sum says at which offset a group
-lies, and so into which shard it goes. Each such shard is off by less than one small group.
+A group is all documents of equal text; its size is the sum of theirs. Every shard has the same capacity. In decreasing
+order of size, each group enters the shard with the least room that still holds it, which a balanced tree over the
+shards' rooms finds.
+
+The packing needs no groups, only how many there are of each size: groups of equal size fill one shard after another, in
+runs. These runs go back to the groups by a join on their size, where each group takes the shard of its place.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A group of more than 1 / GRAIN of a shard's capacity is packed one by one.
-GRAIN = 512
-#: Buckets that each size class of small groups, and each shard, is spread over for running sums.
-BUCKETS = 1024
+from .common import cut
+
+#: Buckets that each shard is spread over for running sums; and groups of a bucket among those of one size.
+BUCKETS, PER_BUCKET = 1024, 50_000
 
 
 class RoomTree:
@@ -61,28 +62,47 @@ class RoomTree:
             self.blocks[at : at + 1] = [block[: self.BLOCK], block[self.BLOCK :]]
 
 
-def pack(groups: list[tuple[int, str]], shards: int, total: int) -> tuple[dict[str, int], list[int]]:
-    """Best fit decreasing of (size, group), ties by group; the shard of each and the room left in each.
+def pack_sizes(sizes: list[tuple[int, int]], shards: int, total: int) -> tuple[dict[int, list[tuple[int, int]]], list[int]]:
+    """Best fit decreasing of (size, number of groups of this size): per size the shards its groups enter in turn, as
+    (groups up to and including this shard, shard), and the room left in each shard.
 
     The capacity is the level at which the shards would be equally full; shards that one oversized group
-    alone fills above it are left out of the level. A group that fits nowhere goes where most room is.
+    alone fills above it are left out of the level. A group that fits nowhere goes where most room is. Where a group
+    has entered the tightest shard, that shard is the tightest for the next of equal size, as long as it fits: so groups of
+    one size go in runs, and what this takes grows with the number of different sizes.
     """
-    groups = sorted(groups, key=lambda g: (-g[0], g[1]))
-    over = 0
-    rest = total
-    while over < min(len(groups), shards - 1) and groups[over][0] * (shards - over) > rest:
-        rest -= groups[over][0]
-        over += 1
+    left = {size: n for size, n in sorted(sizes, reverse=True) if n}
+    plan: dict[int, list[tuple[int, int]]] = {size: [] for size in left}
+    over, rest = 0, total
+    for size in left:
+        while left[size] and over < shards - 1 and size * (shards - over) > rest:
+            plan[size].append((len(plan[size]) + 1, over))
+            rest -= size
+            left[size] -= 1
+            over += 1
+        if left[size]:
+            break
     level = -(-rest // (shards - over))
-    placed = {name: k for k, (_, name) in enumerate(groups[:over])}
     room = [0] * over + [level] * (shards - over)
     tree = RoomTree([(level, k) for k in range(over, shards)])
-    for size, name in groups[over:]:
-        item = tree.tightest(size) or tree.largest()
-        placed[name] = item[1]
-        room[item[1]] = item[0] - size
-        tree.move(item, room[item[1]])
-    return placed, room
+    for size, n in left.items():
+        done = plan[size][-1][0] if plan[size] else 0
+        while n:
+            item = tree.tightest(size)
+            take = min(n, item[0] // size) if item else 1
+            item = item or tree.largest()
+            n, done = n - take, done + take
+            plan[size].append((done, item[1]))
+            room[item[1]] = item[0] - take * size
+            tree.move(item, room[item[1]])
+    return plan, room
+
+
+def pack(groups: list[tuple[int, str]], shards: int, total: int) -> tuple[dict[str, int], list[int]]:
+    """The shard of each of (size, group), ties by group, and the room left in each shard."""
+    plan, room = pack_sizes(list(Counter(size for size, _ in groups).items()), shards, total)
+    turns = {size: (k for done, k, before in zip(*zip(*runs, strict=True), [0, *(d for d, _ in runs)], strict=False) for _ in range(done - before)) for size, runs in plan.items()}
+    return {name: next(turns[size]) for size, name in sorted(groups, key=lambda g: (-g[0], g[1]))}, room
 
 
 def shard_documents(docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,51 +111,37 @@ def shard_documents(docs: DataFrame, shards: int, id: str = "doc_id", text: str
     Equal texts share a shard; null texts are one group of size 1 each, empty texts another. Slots are
     gapless from 0 in each shard. A group of more than a shard's share fills a shard of its own and the
     others stay equal among themselves. Repeated rows are kept, an empty table gives an empty result, and
-    other columns are not looked at. At most ``shards * GRAIN`` group sizes come to the driver.
+    other columns are not looked at.
     """
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     rows = docs.select(
         F.col(id).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.coalesce(F.sha2(F.col(text), 256), F.lit("null")).alias("_group"),
+        F.coalesce(F.unhex(F.sha2(F.col(text), 256)), F.lit(b"null")).alias("_group"),
     )
-    return assign_shards(rows, shards).select("doc_id", "size", "text_crc32", "shard", "slot")
+    return assign_shards(cut(rows), shards).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def assign_shards(rows: DataFrame, shards: int) -> DataFrame:
-    """rows: doc_id, size, _group and whatever else is to be kept; adds shard and slot, drops _group."""
-    groups = rows.groupBy("_group").agg(F.sum("size").alias("_size"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    limit = max(1, total // (shards * GRAIN))
-    large = [(r[0], r[1]) for r in groups.filter(F.col("_size") > limit).select("_size", "_group").collect()]  # at most shards * GRAIN
-    placed, room = pack(large, shards, total)
-    spark = rows.sparkSession
-    big = spark.createDataFrame([(g, k) for g, k in placed.items()], "_group string, _shard int")
-
-    small = groups.filter(F.col("_size") <= limit)
-    small = small.withColumn("_class", F.floor(F.log2("_size")).cast("int")).withColumn("_b", F.pmod(F.xxhash64("_group"), F.lit(BUCKETS)).cast("int"))
-    sums = small.groupBy("_class", "_b").agg(F.sum("_size").alias("_n"))
-    before = Window.orderBy(F.desc("_class"), "_b").rowsBetween(Window.unboundedPreceding, -1)  # at most 64 * BUCKETS rows
-    sums = sums.select("_class", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy("_class", "_b").orderBy("_group").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    poured = small.withColumn("_at", F.sum("_size").over(within) - F.col("_size")).join(sums, ["_class", "_b"])
-    poured = poured.select("_group", _room_at(F.col("_at") + F.col("_offset"), room).alias("_shard"))
-    assigned = poured.unionByName(big.select("_group", "_shard"))
-
-    out = rows.join(assigned, "_group").drop("_group").withColumnRenamed("_shard", "shard")
-    return number_slots(out)
-
-
-def _room_at(offset: Column, room: list[int]) -> Column:
-    """The shard into whose room an offset of the poured row falls; fuller shards come first."""
-    order = sorted((k for k, r in enumerate(room) if r > 0), key=lambda k: (room[k], k)) or [0]
-    ends, shard = [], []
-    at = 0
-    for k in order:
-        at += max(room[k], 0)
-        ends.append(at)
-        shard.append(k)
-    first = F.size(F.filter(F.array(*map(F.lit, ends[:-1])) if len(ends) > 1 else F.array().cast("array<bigint>"), lambda e: e <= offset))
-    return F.get(F.array(*map(F.lit, shard)), first).cast("int")
+    """rows: doc_id, size, _group and whatever else is to be kept; adds shard and slot, drops _group. The driver gets how
+    many groups each size has, n different sizes at most where all together are n * n / 2."""
+    groups = cut(rows.groupBy("_group").agg(F.sum("size").alias("_size")))
+    sizes = [(r[0], r[1]) for r in groups.groupBy("_size").agg(F.count("*").alias("_n")).toLocalIterator()]
+    plan, _ = pack_sizes(sizes, shards, sum(size * n for size, n in sizes))
+    number = dict(sizes)
+    table = [(size, [done for done, _ in runs], [k for _, k in runs], 1 + number[size] // PER_BUCKET) for size, runs in plan.items()]
+    runs = rows.sparkSession.createDataFrame(table, "_size long, _upto array<long>, _shards array<int>, _buckets int")
+
+    # The place of a group among those of its size, through sums per bucket where there are many.
+    placed = groups.join(runs, "_size").withColumn("_b", F.pmod(F.xxhash64("_group"), "_buckets").cast("int"))
+    within = Window.partitionBy("_size", "_b").orderBy("_group")
+    counts = placed.groupBy("_size", "_b").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_size").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_size", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    placed = placed.withColumn("_k", F.row_number().over(within)).join(counts, ["_size", "_b"])
+    place = F.col("_k") + F.col("_offset")
+    shard = F.get("_shards", F.size(F.filter("_upto", lambda e: e < place)))
+    assigned = placed.select("_group", shard.alias("shard"))
+    return number_slots(rows.join(assigned, "_group").drop("_group"))
 
 
 def number_slots(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from hostgrain.llm import media, neardup, queries
+from hostgrain.llm import media, neardup, queries, sharding
 from hostgrain.llm.decontam import find_windows, item_digest
 from hostgrain.llm.langid import ByteNet, held_out, identify_language, train_language_net, windows_of
 from hostgrain.llm.linededup import drop_recurring_lines
@@ -285,6 +285,23 @@ def test_sharding_is_even(spark):
     assert len(load) == 8 and max(load.values()) < 1.002 * sum(load.values()) / 8
 
 
+def test_sharding_packs_all_groups_best_fit_decreasing(spark, monkeypatch):
+    """Sizes per shard are those of a plain best fit decreasing over all groups, with a list for the tree."""
+    monkeypatch.setattr(sharding, "PER_BUCKET", 3)
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    group = Counter()
+    for t in docs.values():
+        group[t] += len((t or "").encode()) + 1
+    left = [-(-sum(group.values()) // 8)] * 8
+    want = []
+    for n in sorted(group.values(), reverse=True):
+        k = min(((r, k) for k, r in enumerate(left) if r >= n), default=None) or max((r, k) for k, r in enumerate(left))
+        left[k[1]] -= n
+        want.append((n, k[1]))
+    got = {docs[r.doc_id]: r.shard for r in queries.op7_sharding(spark, "/root/testdata/sf0.01").collect()}
+    assert sorted((group[t], k) for t, k in got.items()) == sorted(want)
+
+
 def test_packing_is_best_fit_decreasing():
     rng = np.random.default_rng(1)
     for _ in range(50):
