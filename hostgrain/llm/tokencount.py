@@ -11,32 +11,72 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that are encoded at a time; no batch holds more, but for a single chunk that can't be split.
 BATCH_BYTES = 1 << 20
-#: Chunks whose counts a task remembers; beyond that it starts anew.
-WORDS_KEPT = 600_000
+#: Bytes of chunks whose counts a task remembers, beyond which it starts anew; longer chunks than REMEMBERED aren't kept.
+KEPT_BYTES, REMEMBERED = 1 << 24, 64
+#: Characters from which on a chunk is split further.
+LONG = 1 << 16
 
 #: A space between two characters that are neither spaces nor the mark that stands for one. No piece of the vocabulary
 #: spans it (pieces hold the mark in front only, or nothing else), and the encoder puts a mark before each text.
 _PIECE_SPLIT = re.compile("(?<=[^ ▁]) (?=[^ ▁])")
 
 
+def n_bytes(t: str) -> int:
+    return len(t) if t.isascii() else len(t.encode())
+
+
 def _piece_counter(path: str):
-    """Counts of texts by a sentencepiece model. Texts are split at safe spaces; each distinct chunk of a
-    bounded memory of chunks is encoded once."""
+    """Counts of texts by a sentencepiece model. Texts are split at safe spaces, and what is still long between two
+    characters that no piece holds side by side; each distinct chunk of a bounded memory of chunks is encoded once."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    inner = [p for p in map(model.id_to_piece, range(model.get_piece_size())) if "▁" in p[1:] and p.strip("▁")]
-    splits = not inner and model.encode("a b") == model.encode("a") + model.encode("b")  # the model allows it
+    pieces = [p for p in map(model.id_to_piece, range(model.get_piece_size())) if p.strip("▁")]
+    splits = not any("▁" in p[1:] for p in pieces) and model.encode("a b") == model.encode("a") + model.encode("b")  # the model allows it
+    side_by_side = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
     known: dict[str, int] = {}
+    held = 0
+
+    def length(text: str) -> int:
+        return len(model.encode(text))
+
+    def safe(a: str, b: str) -> bool:
+        """Whether a text may be split between a and b: no merge spans them, nor b and the mark that would come before
+        it, which is one token more."""
+        if a in " ▁" or b in " ▁" or a + b in side_by_side or "▁" + b in side_by_side:
+            return False
+        return length(a + b) == length(a) + length(b) - 1 and length(b + b) == 2 * length(b) - 1
+
+    def long_parts(chunk: str) -> list[str]:
+        out, at = [], 0
+        while len(chunk) - at > LONG:
+            end = next((i for i in range(at + LONG, len(chunk)) if safe(chunk[i - 1], chunk[i])), None)
+            if end is None:
+                break
+            out.append(chunk[at:end])
+            at = end
+        return [*out, chunk[at:]]
+
+    def long_count(chunk: str) -> int:
+        parts = long_parts(chunk) if splits else [chunk]
+        return sum(map(length, parts)) - len(parts) + 1
 
     def count(texts: list[str]) -> list[int]:
+        nonlocal held
         parts = [_PIECE_SPLIT.split(t) if splits else [t] for t in texts]
-        if len(known) > WORDS_KEPT:
+        if held > KEPT_BYTES:
             known.clear()
-        new = [c for c in set().union(*parts) if c not in known]
-        for batch in by_bytes(new):
-            known.update(zip(batch, map(len, model.encode(batch, num_threads=1)), strict=True))
-        return [sum(map(known.__getitem__, p)) for p in parts]
+            held = 0
+        new = {c for c in set().union(*parts) if c not in known}
+        passing = {c: long_count(c) for c in new if len(c) > LONG}
+        for batch in by_bytes([c for c in new if c not in passing]):
+            for c, n in zip(batch, map(len, model.encode(batch, num_threads=1)), strict=True):
+                if len(c) > REMEMBERED:
+                    passing[c] = n
+                else:
+                    known[c] = n
+                    held += n_bytes(c) + 100  # about what an entry takes besides
+        return [sum(known[c] if c in known else passing[c] for c in p) for p in parts]
 
     return count
 
@@ -57,14 +97,15 @@ def _json_counter(path: str):
 
 
 def by_bytes(texts: list[str], limit: int = BATCH_BYTES) -> Iterator[list[str]]:
-    """Runs of texts, in order, of about limit bytes each."""
+    """Runs of texts, in order, of at most limit bytes (UTF-8) each; a longer text is a run by itself."""
     batch, n = [], 0
     for t in texts:
-        if batch and n + len(t) > limit:
+        size = n_bytes(t)
+        if batch and n + size > limit:
             yield batch
             batch, n = [], 0
         batch.append(t)
-        n += len(t)
+        n += size
     if batch:
         yield batch
 

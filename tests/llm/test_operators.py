@@ -11,14 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from hostgrain.llm import media, neardup, queries, sharding
+from hostgrain.llm import media, neardup, queries, sharding, tokencount
 from hostgrain.llm.decontam import find_windows, item_digest
 from hostgrain.llm.langid import ByteNet, held_out, identify_language, train_language_net, windows_of
 from hostgrain.llm.linededup import drop_recurring_lines
 from hostgrain.llm.mixing import fair_mix
 from hostgrain.llm.neardup import components, fine_bits, most_differing, near_duplicates, registers
 from hostgrain.llm.sharding import RoomTree, pack, shard_documents
-from hostgrain.llm.tokencount import count_tokens
+from hostgrain.llm.tokencount import by_bytes, count_tokens
 from hostgrain.llm.urlfilter import match_urls, rules_frame
 from hostgrain.llm.words import shingle_set
 
@@ -368,6 +368,26 @@ def test_token_counts(spark, edge, empty, name):
     assert count_tokens(empty, path).count() == 0
 
 
+def test_batches_go_by_bytes():
+    runs = list(by_bytes(["日本" * 20, "x" * 100, "é" * 30, "y" * 300, "", "z"], 200))
+    assert runs == [["日本" * 20], ["x" * 100, "é" * 30], ["y" * 300], ["", "z"]]
+
+
+def test_long_texts_are_split_safely(spark, monkeypatch):
+    """Texts without spaces, in parts of 20 characters and more: of scripts in and out of the vocabulary, of letters that merge."""
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(tokencount, "LONG", 20)
+    rng = np.random.default_rng(4)
+    alphabets = ["日本語の文章数据获取一个", "ภาษาไทย", "abcdefghij", "a\n\tb日é😀x", "한국어문장", "e\u0301ａ１２３", "▁a日 \n"]
+    texts = ["".join(rng.choice(list(x), int(rng.integers(15, 400)))) for x in alphabets for _ in range(30)]
+    count = tokencount._piece_counter(path)
+    assert [count([t])[0] for t in texts] == [len(model.encode(t)) for t in texts]
+    assert count(texts) == [len(model.encode(t)) for t in texts]
+
+
 def test_token_counts_of_documents(spark):
     import sentencepiece
 
