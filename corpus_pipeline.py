@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostgrain.llm.common import cut, table
+from hostgrain.llm.common import clear_cuts, cut, cuts_written, table
 from hostgrain.llm.decontam import find_windows
 from hostgrain.llm.langid import held_out, identify_language, train_language_net
 from hostgrain.llm.mixing import fair_mix
@@ -88,7 +88,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents. Once a stage's rows are written, what it and those before it wrote is deleted."""
+    docs, since = table(spark, sf_dir, "documents"), cuts_written()
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        clear_cuts(spark, since, keep_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.store import clear_cuts, cut, scratch, shared_dir
+from ..operators.store import clear_cuts, cut, cuts_written, scratch, shared_dir
 
-__all__ = ["ascii_lower", "clear_cuts", "cut", "join_to_one", "scratch", "shared_dir", "table"]
+__all__ = ["ascii_lower", "clear_cuts", "cut", "cuts_written", "join_to_one", "scratch", "shared_dir", "table"]
 
 #: A key is heavy if it holds more than one row in HEAVY_SHARE, and more than LIGHT: so at most HEAVY_SHARE keys are.
 HEAVY_SHARE, LIGHT = 10_000, 32

@@ -1,7 +1,7 @@
 """URL filters as a sort-merge range join.
 
-A host is written with its labels reversed (``www.example.com`` becomes ``com.example.www.`` with a
-separator that sorts before every other byte), so a rule on a host and all its subdomains is the
+A host is written with its labels reversed (``www.example.com`` becomes ``com.example.www.``), each with an end that
+no label holds, so a rule on a host and all its subdomains is the
 interval of keys that start with the rule's key. Rule keys and the distinct hosts of the data are
 range-partitioned and sorted together; a sweep over the sorted keys keeps a stack of the rule hosts
 whose intervals are open: slot d of the stack holds the last rule host of d labels, and it is open
@@ -15,14 +15,13 @@ urls is an equi-join that adaptive execution may split.
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, cut
 
-#: Sorts before every character that a host can hold, so that subdomains follow their parent at once.
-SEP = "\x01"
+#: Ends each label of a key. A host may hold it, and what it is escaped with, so these are escaped.
+SEP, ESCAPE = "\x01", "\x02"
 
 
 def url_host(url: Column) -> Column:
@@ -36,7 +35,8 @@ def url_path(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), SEP), F.lit(SEP)))
+    plain = F.replace(F.replace(host, F.lit(ESCAPE), F.lit(ESCAPE * 2)), F.lit(SEP), F.lit(ESCAPE + "\x03"))
+    return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(plain, r"\.")), SEP), F.lit(SEP)))
 
 
 def match_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", partitions: int | None = None) -> DataFrame:

@@ -51,6 +51,7 @@ def empty(spark):
 URLS = [
     None, "", "no scheme", "http://com/", "HTTP://A.Com/x", "http://x.example.com/en/1", "http://www.example.com/en/", "http://www.example.com/fr/", "http://notexample.com/en/", "http://example.com", "http://example.com?q",
     "http://b.net/es/a#t", "http://net/fr/", "http://c.org/", "http://a.com/?u=http://b.net/es/", "://h/p", "http://EXAMPLE.com/en/x?y#z", "http://example.com/en", "http://a\nb.com/x",
+    "http://net\x01x/es/a", "http://x.net\x01/es/a", "http://\x00\x01\x02\x03.net/es/a", "http://a\x01.\x02com/x", "http://b\x02.a.com/x", "http://com\x00/x", "http://com\x01a/x",
 ]
 
 
