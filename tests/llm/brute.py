@@ -66,33 +66,33 @@ def dropped_lines(docs, min_docs=2, depth=1, min_bytes=16):
             return [(n, t)]
         return [(n, t[:depth], q, t[q * n // 4 : (q + 1) * n // 4]) for q in range(4)]
 
-    holding, sharing = defaultdict(set), defaultdict(set)
+    holding, sharing, variants = defaultdict(set), defaultdict(set), defaultdict(set)
     for _, text in docs:
         for line in (text or "").split("\n"):
             if t := tokens(line):
                 holding[t].add(text)
                 for p in parts(t):
                     sharing[p].add(text)
+                    variants[p].add(t)
     seen = Counter()
-    candidates = [t for t in holding if any(len(sharing[p]) > 1 for p in parts(t))]
+    candidates = [t for t in holding if any(len(sharing[p]) > 1 and len(variants[p]) > 1 for p in parts(t))]
     for t in candidates:
         for i, x in enumerate(t):
             if x != "<*>":
                 seen[len(t), t[:depth], i, x] += len(holding[t])
-    template, texts, first = {}, defaultdict(set), {}
+    template, texts, first = {t: (False, t) for t in holding}, defaultdict(set), {}
     for t in candidates:
         n = len(t)
         counts = [seen[n, t[:depth], i, x] for i, x in enumerate(t)]
         need = max((n + 1) // 2, n - t.count("<*>") - (n // 5 if n >= 8 else 0))
         level = sorted(counts)[-need]
-        if level > 1:
-            template[t] = tuple(x if c > 1 and 2 * c >= level else "<*>" for x, c in zip(t, counts, strict=True))
+        template[t] = level > 1 and (True, tuple(x if c > 1 and 2 * c >= level else "<*>" for x, c in zip(t, counts, strict=True)))
     for d, text in docs:
         for line in (text or "").split("\n"):
             if k := template.get(tokens(line)):
                 texts[k].add(text)
                 first[k] = min(first.get(k, d), d)
-    goes = {t for t, k in template.items() if len(texts[k]) >= min_docs}
+    goes = {t for t, k in template.items() if k and len(texts[k]) >= min_docs}
     return [[i for i, line in enumerate(t.split("\n")) if (k := tokens(line)) in goes and first[template[k]] != d] if t is not None else [] for d, t in docs]
 
 
