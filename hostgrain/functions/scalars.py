@@ -41,8 +41,8 @@ ARCHIVE_SUFFIXES = ["ZIP", "TAR", ".GZ", ".7Z", "RAR"]
 
 
 def filetime_to_ts(ticks: Column) -> Column:
-    """100 ns since 1601 to an instant; 0 and null give null."""
-    return F.when(ticks != 0, F.timestamp_micros(F.floor((ticks - EPOCH_TICKS) / F.lit(10).cast("decimal(20,0)")).cast("long")))
+    """100 ns since 1601 to an instant; 0, null and what is out of range give null."""
+    return F.when(ticks != 0, F.timestamp_micros(F.floor(F.try_subtract(ticks.cast("long"), F.lit(EPOCH_TICKS)) / F.lit(10).cast("decimal(20,0)")).cast("long")))
 
 
 def ts_to_filetime(ts: Column) -> Column:
@@ -93,8 +93,8 @@ def local_to_utc(ts: Column, bias: Column) -> Column:
 
 
 def ole_to_ts(days: Column) -> Column:
-    """Days since 1899-12-30 to an instant, to the nearest microsecond."""
-    return F.timestamp_micros(F.round((days - OLE_EPOCH_DAYS) * F.lit(86_400_000_000.0)).cast("long"))
+    """Days since 1899-12-30 to an instant, to the nearest microsecond; out of range, null."""
+    return F.timestamp_micros(F.round((days - OLE_EPOCH_DAYS) * F.lit(86_400_000_000.0)).try_cast("long"))
 
 
 def rot13(text: Column) -> Column:
@@ -253,14 +253,17 @@ def luid(high: Column, low: Column) -> Column:
 
 
 def event_text(kind: Column, value: Column) -> Column:
-    """Text of an event's value by its kind; unknown kinds show as empty text."""
+    """Text of an event's value by its kind; unknown kinds show as empty text. uint64 covers all 64 bits; an array of
+    strings is given as its joined text."""
     number = value.try_cast("long")
     return (
         F.when(kind.isin("int", "uint"), number.cast("string"))
         .when(kind == "bool", bool_text(number != 0))
         .when(kind == "hex32", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(number)), 8, "0")))
         .when(kind == "hex64", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(number)), 16, "0")))
-        .when(kind.isin("string", "guid", "sid"), value)
+        .when(kind == "uint64", value.try_cast("decimal(20,0)").cast("string"))
+        .when(kind.isin("float", "double"), value.try_cast("double").cast("string"))
+        .when(kind.isin("string", "guid", "sid", "string_array"), value)
         .otherwise("")
     )
 
@@ -281,6 +284,12 @@ def serial_normal(text: Column) -> Column:
     return F.upper(F.lpad(text, 8, "0"))
 
 
+def serial_kept(text: Column) -> Column:
+    """A serial's text as it was collected, in upper case. A shorter text than eight digits may have lost the leading
+    zero of any byte, so it isn't filled up: lookups compare it with that spelling of known serials."""
+    return F.upper(F.trim(text))
+
+
 def serial_unpadded(text: Column) -> Column:
     """The spelling that lost the leading zero of each byte, in upper case, of a normal serial."""
     return F.concat(*(F.regexp_replace(F.substring(text, 1 + 2 * i, 2), "^0", "") for i in range(4)))

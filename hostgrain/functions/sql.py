@@ -7,7 +7,7 @@ from pyspark.sql.functions import udtf
 
 #: Name to parameters, result and body.
 SQL_FUNCTIONS = {
-    "af_filetime_to_ts": ("t BIGINT", "TIMESTAMP", "CASE WHEN t <> 0 THEN timestamp_micros((t - 116444736000000000) div 10) END"),
+    "af_filetime_to_ts": ("t BIGINT", "TIMESTAMP", "CASE WHEN t <> 0 THEN timestamp_micros(try_subtract(t, 116444736000000000) div 10) END"),
     "af_ts_to_filetime": ("ts TIMESTAMP", "BIGINT", "unix_micros(ts) * 10 + 116444736000000000"),
     "af_fat_to_ts": ("v BIGINT", "TIMESTAMP", """CASE WHEN v <> 0 THEN try_make_timestamp(CAST(1980 + (shiftright(v, 9) & 127) AS INT), CAST(shiftright(v, 5) & 15 AS INT), CAST(v & 31 AS INT),
         CAST(shiftright(v, 27) & 31 AS INT), CAST(shiftright(v, 21) & 63 AS INT), CAST((shiftright(v, 16) & 31) * 2 AS DECIMAL(8, 6))) END"""),
@@ -23,19 +23,23 @@ SQL_FUNCTIONS = {
 }
 
 
-@udtf(returnType="pos: int, item: binary")
+@udtf(returnType="pos: int, item: binary, error: string", useArrow=True)
 class ChainItems:
-    """Items of a chain with 16-bit sizes."""
+    """Items of a chain with 16-bit sizes; where it is damaged, a last row with the error."""
 
     def eval(self, blob: bytes):
         from hostgrain.operators.decode import chain_items
 
-        if blob is not None:
-            for pos, item in enumerate(chain_items(blob)):
-                yield pos, item
+        pos = 0
+        try:
+            for item in chain_items(blob or b""):
+                yield pos, item, None
+                pos += 1
+        except ValueError as e:
+            yield pos, None, str(e)
 
 
-@udtf(returnType="pos: int, path: string, ticks: bigint, executed: boolean")
+@udtf(returnType="pos: int, path: string, ticks: bigint, executed: boolean", useArrow=True)
 class ShimcacheRows:
     """Records of a shimcache blob up to the first unknown one."""
 

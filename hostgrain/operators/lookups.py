@@ -111,7 +111,7 @@ def replace_guids(df: DataFrame, text: str, names: DataFrame) -> DataFrame:
 def expected_keys(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every registry key that should exist: profiles times the catalogue of keys. The catalogue is a fixed list of
     this package, a few dozen rows whatever the fleet's size."""
-    return profiles.crossJoin(F.broadcast(catalog))
+    return profiles.crossJoin(catalog)
 
 
 def entry_streams(entries: DataFrame, streams: DataFrame, keys: list[str], number: str = "entry_no", name: str = "stream", stop_at_gap: str | None = None) -> DataFrame:

@@ -286,10 +286,10 @@ def app_id(file: Column) -> Column:
 def build_prefetch(b: DataFrame) -> DataFrame:
     runs = F.filter(F.transform(F.slice("RunsUtc", 1, 8), S.parse_display_time), lambda t: t.isNotNull())
     files = F.transform("FilesStrings", lambda f: F.struct(f["Filename"].alias("file"), f["FullPath"].alias("path"), f["Md5"].alias("md5")))
-    volumes = F.transform("Volumes", lambda v: F.struct(v["DeviceName"].alias("device"), S.serial_normal(v["SerialNumber"]).alias("serial"), v["MountPoint"].alias("mount"), S.parse_display_time(v["CreationTimeUtc"]).alias("created_ts"), F.size(v["Dirs"]).alias("n_dirs"), v["Dirs"].alias("dirs")))
+    volumes = F.transform("Volumes", lambda v: F.struct(v["DeviceName"].alias("device"), S.serial_kept(v["SerialNumber"]).alias("serial"), v["MountPoint"].alias("mount"), S.parse_display_time(v["CreationTimeUtc"]).alias("created_ts"), F.size(v["Dirs"]).alias("n_dirs"), v["Dirs"].alias("dirs")))
     own = N.last_match(F.col("FilesStrings"), lambda f: F.upper(S.base_name(f["Filename"])) == F.upper(F.col("Filename")))
     return b.select(
-        "host", F.col("Path").alias("path"), S.serial_normal(F.col("Hash")).alias("hash"), F.col("Filename").alias("filename"), F.coalesce(own["FullPath"], F.col("FullPath")).alias("full_path"), F.col("Md5").alias("md5"),
+        "host", F.col("Path").alias("path"), S.serial_kept(F.col("Hash")).alias("hash"), F.col("Filename").alias("filename"), F.coalesce(own["FullPath"], F.col("FullPath")).alias("full_path"), F.col("Md5").alias("md5"),
         *_file_times("prefetch"), _int("RunCount").alias("run_count"), runs.alias("runs"), volumes.alias("volumes"), files.alias("files"),
     )
 

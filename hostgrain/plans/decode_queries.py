@@ -44,7 +44,7 @@ def b1_lnk(spark, sf):
     args = F.concat(F.lit("-k "), F.col("o_custkey").cast("string"))
     d = o.select("o_orderkey", F.concat(header, ids, info, text(F.col("o_orderpriority")), text(args)).alias("b"))
     r = _good(B.decode_lnk(d, "b", ["o_orderkey"]))
-    return r.select("o_orderkey", F.col("link_flags").cast("int").alias("link_flags"), "attributes", ntz(S.filetime_to_ts(F.col("created_ticks"))).alias("created"), "icon_index", "drive_code", "vol_serial", "vol_label", "base_path", "descr", "args")
+    return r.select("o_orderkey", F.col("link_flags").cast("int").alias("link_flags"), "attributes", ntz(S.filetime_to_ts(F.col("created_ticks"))).alias("created"), "icon_index", F.col("drive_code").cast("int").alias("drive_code"), "vol_serial", "vol_label", "base_path", "descr", "args")
 
 
 @query("""SELECT l_orderkey, 'ORDER.EXE' AS name, lpad(upper(to_hex(l_orderkey)), 8, '0') AS hash, (count(*) + 5)::INTEGER AS run_count, least(count(*), 8)::INTEGER AS n_runs,
@@ -63,7 +63,7 @@ def b2_prefetch(spark, sf):
     volume = F.concat(_u(96, 4), _u(4, 4), _u(F.lit(0), 8), _u(F.col("l_orderkey"), 4), _zeros(8), _u(106, 4), _u(1, 4), _zeros(60), device, _zeros(2), _u(6, 2), folder, _zeros(2))
     r = _good(B.decode_prefetch(d.select("l_orderkey", F.concat(head, info, names, volume).alias("b")), "b", ["l_orderkey"]))
     v = F.get("volumes", F.lit(0))
-    return r.select("l_orderkey", "name", "hash", "run_count", F.size("runs").alias("n_runs"), "files", v["device"].alias("device"), v["dirs"].alias("dirs"))
+    return r.select("l_orderkey", "name", "hash", F.col("run_count").cast("int").alias("run_count"), F.size("runs").alias("n_runs"), "files", v["device"].alias("device"), v["dirs"].alias("dirs"))
 
 
 @query("SELECT p_partkey // 50 AS list_id, p_name AS path, p_partkey * 10000000 + 116444736000000000 AS ticks, p_size % 2 = 1 AS executed FROM part")

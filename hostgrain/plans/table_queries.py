@@ -292,9 +292,9 @@ def _prefetch(spark, sf):
     k = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", name.alias("n"), _shown("l_shipdate").alias("t"))
     g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(k)).alias("k"))
     g = _host(g).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    volume = F.struct(F.lit("\\VOLUME").alias("DeviceName"), F.lower(F.hex("o_orderkey")).alias("SerialNumber"), F.lit("C:").alias("MountPoint"), F.lit("").alias("CreationTime"), _shown("o_orderdate").alias("CreationTimeUtc"), F.lit("1").alias("NbDirs"), F.array(F.struct(F.lit("\\D").alias("Dir"), F.lit("C:\\D").alias("FullPath"))).alias("Dirs"))
+    volume = F.struct(F.lit("\\VOLUME").alias("DeviceName"), F.lpad(F.lower(F.hex("o_orderkey")), 8, "0").alias("SerialNumber"), F.lit("C:").alias("MountPoint"), F.lit("").alias("CreationTime"), _shown("o_orderdate").alias("CreationTimeUtc"), F.lit("1").alias("NbDirs"), F.array(F.struct(F.lit("\\D").alias("Dir"), F.lit("C:\\D").alias("FullPath"))).alias("Dirs"))
     return g.select(
-        "host", F.col("o_orderkey").cast("string").alias("Path"), F.lower(F.hex("o_orderkey")).alias("Hash"), F.lit("P1.EXE").alias("Filename"), F.lit("").alias("FullPath"), F.lit("").alias("Md5"),
+        "host", F.col("o_orderkey").cast("string").alias("Path"), F.lpad(F.lower(F.hex("o_orderkey")), 8, "0").alias("Hash"), F.lit("P1.EXE").alias("Filename"), F.lit("").alias("FullPath"), F.lit("").alias("Md5"),
         *(v.alias(n) for n, v in _none("Created", "CreatedUtc", "Modified", "ModifiedUtc", "Accessed", "AccessedUtc", "NbVolumes", "NbFilesStrings").items()), F.size("k").cast("string").alias("RunCount"),
         F.transform("k", lambda x: F.lit("")).alias("Runs"), F.transform("k", lambda x: x["t"]).alias("RunsUtc"), F.array(volume).alias("Volumes"),
         F.transform("k", lambda x: F.struct(F.concat(F.lit("\\VOLUME\\"), x["n"]).alias("Filename"), F.concat(F.lit("C:\\"), x["l_partkey"].cast("string"), F.lit("\\"), x["n"]).alias("FullPath"), F.lit("").alias("Md5"))).alias("FilesStrings"),

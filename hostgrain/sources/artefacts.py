@@ -89,7 +89,9 @@ def repair_json(text: Column) -> Column:
 def parse_drops(files: DataFrame, kind: str, repair: bool = True, text: str = "value") -> tuple[DataFrame, DataFrame]:
     """Rows of whole-file texts, and the quarantine. A file is parsed as it stands; only one that fails is repaired and
     parsed again, so that a sound file's strings are never touched. Files that fail twice, single array elements that
-    aren't objects, and empty files go to the quarantine with a reason. Other columns of files are carried along."""
+    aren't objects, and empty files go to the quarantine with a reason. Of a key that an object repeats, as some items do,
+    the last value counts. Other columns of files are carried along."""
+    files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     whole = ArrayType(StructType.fromDDL(KINDS[kind][1]))
     array = F.when(F.startswith(F.ltrim(F.col(text)), F.lit("[")), F.col(text)).otherwise(F.concat(F.lit("["), F.col(text), F.lit("]")))
     fail = {"mode": "PERMISSIVE"}
@@ -99,11 +101,21 @@ def parse_drops(files: DataFrame, kind: str, repair: bool = True, text: str = "v
     if repair:
         parsed = parsed.withColumn("_json", F.when(F.col("_sound"), F.col("_json")).otherwise(repair_json(F.col("_json"))))
         parsed = parsed.withColumn("_sound", F.col("_sound") | F.try_parse_json("_json").isNotNull())
-    good = parsed.filter("_sound").withColumn("_rows", F.from_json("_json", whole, fail))
+    blank = F.coalesce(F.trim(F.regexp_replace(text, r"\s", "")), F.lit("")) == ""
+    sound = F.coalesce("_sound", F.lit(False)) & ~blank
     carried = [c for c in files.columns if c != text]
+    # Elements one by one only where some of them aren't objects.
+    good = parsed.filter(sound).withColumn("_items", F.try_variant_get(F.try_parse_json("_json"), "$", "array<variant>"))
+    is_object = lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
+    good = good.withColumn("_plain", F.forall("_items", is_object))
+    one = lambda v: F.when(is_object(v), F.get(F.from_json(F.concat(F.lit("["), F.to_json(v), F.lit("]")), whole, fail), F.lit(0)))
+    good = good.withColumn("_rows", F.when(F.col("_plain"), F.from_json("_json", whole, fail)).otherwise(F.transform("_items", one)))
     rows = good.select(*carried, F.posexplode("_rows").alias("pos", "_r")).filter(F.col("_r").isNotNull()).select(*carried, "pos", "_r.*")
-    bad = parsed.filter(~F.coalesce("_sound", F.lit(False))).select(*carried, F.lit("invalid JSON").alias("reason"), F.col(text).alias("text"))
-    return rows, bad
+    bad = parsed.filter(~sound).select(*carried, F.when(blank, "empty file").otherwise("invalid JSON").alias("reason"), F.col(text).alias("text"))
+    odd = good.filter(~F.col("_plain")).select(*carried, F.explode(F.filter("_items", lambda v: ~is_object(v))).alias("_v"))
+    odd = odd.select(*carried, F.lit("not an object").alias("reason"), F.coalesce(F.to_json("_v"), F.lit("null")).alias("text"))
+    lost = good.filter(F.col("_rows").isNull()).select(*carried, F.lit("not an array of objects").alias("reason"), F.col(text).alias("text"))
+    return rows, bad.unionByName(odd).unionByName(lost)
 
 
 def read_artefact(spark: SparkSession, root: str, kind: str, repair: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -113,6 +113,23 @@ def test_prefetch(spark):
     assert {r.id: r.error.split()[0] for r in B.decode_prefetch(frame(spark, prefetch(26)), "b", ["id"]).collect()} == {0: "version"} and bad.count() == 2
 
 
+def test_numbers_of_32_bits_and_values_that_fit_no_column(spark):
+    """Damaged numbers are values or quarantined rows; the good rows of the same batch stay."""
+    big = bytearray(lnk())
+    big[60:64] = b"\xff\xff\xff\xff"  # show command
+    at = bytes(big).index(struct.pack("<II", 3, 0x0A1B2C3D))
+    big[at:at + 4] = b"\xfe\xff\xff\xff"  # drive type
+    good, bad = B.split_errors(B.decode_lnk(frame(spark, bytes(big), lnk()), "b", ["id"]))
+    assert sorted((r.id, r.show_code, r.drive_code) for r in good.collect()) == [(0, 2**32 - 1, 2**32 - 2), (1, 1, 3)] and bad.count() == 0
+    pf = bytearray(prefetch())
+    pf[0:4] = b"\xff\xff\xff\xff"
+    assert {r.id: r.version for r in B.split_errors(B.decode_prefetch(frame(spark, bytes(pf), prefetch()), "b", ["id"]))[0].collect()} == {0: 2**32 - 1, 1: 30}
+    odd = lambda d: iter([{"n": 1}, {"n": 2**40 if d == b"x" else 2}, {"n": "text" if d == b"y" else 3}])
+    rows = B.decode(frame(spark, b"x", b"y", b"z"), "b", ["id"], "n int", odd).collect()
+    assert sorted((r.id, r.pos, r.n) for r in rows if r.error is None) == [(0, 0, 1), (0, 2, 3), (1, 0, 1), (1, 1, 2), (2, 0, 1), (2, 1, 2), (2, 2, 3)]
+    assert sorted((r.id, r.pos) for r in rows if r.error) == [(0, 1), (1, 2)]
+
+
 def test_shimcache(spark):
     good, bad = B.split_errors(B.decode_shimcache(frame(spark, shimcache()), "b", ["id"]))
     assert [(r.pos, r.path, r.executed) for r in good.orderBy("pos").collect()] == [(0, "C:\\a b.exe", False), (1, "C:\\c.exe", True), (2, "C:\\d.exe", False)]

@@ -91,8 +91,19 @@ def test_paths_and_labels(spark):
     assert one(spark, S.text_bool(F.lit("x")), S.text_bool(F.lit("true"))) == (None, True)
 
 
+def test_garbage_numbers_are_null(spark):
+    low, high = F.lit(-(2**63)), F.lit(2**63 - 1)
+    assert one(spark, S.filetime_to_ts(low), S.ole_to_ts(F.lit(1e300)), S.ole_to_ts(F.lit(float("nan")))) == (None, None, None)
+    assert spark.range(1).select(S.filetime_to_ts(high).isNotNull()).first()[0]
+    kinds = [("uint64", str(2**64 - 1)), ("double", "1.5"), ("float", "x"), ("string_array", "a; b"), ("other", "z")]
+    assert [one(spark, S.event_text(F.lit(k), F.lit(v))) for k, v in kinds] == [str(2**64 - 1), "1.5", None, "a; b", ""]
+
+
 def test_sql_names(spark):
     register_functions(spark)
+    damaged = spark.sql("SELECT t.* FROM VALUES (X'0400414201'), (X'0400414201000000'), (NULL) AS b(x), LATERAL af_chain_items(x) AS t").collect()
+    assert [(r.pos, r.item and bytes(r.item), r.error is None) for r in damaged] == [(0, b"AB", True), (0, b"AB", True), (1, None, False)]
+    assert spark.sql("SELECT af_filetime_to_ts(-9223372036854775808)").first()[0] is None
     assert spark.sql("SELECT af_rot13('Uryyb'), af_luid(1, 2), af_serial('ab'), af_exe_path('a -b')").first()[:] == ("Hello", 2**32 + 2, "000000AB", "a")
     assert spark.sql(f"SELECT CAST(af_fat_to_ts({((4 << 11 | 6 << 5 | 4) << 16) | (21 << 9 | 2 << 5 | 3)}) AS STRING)").first()[0] == "2001-02-03 04:06:08"
     assert len(SQL_FUNCTIONS) == 12

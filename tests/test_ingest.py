@@ -57,6 +57,30 @@ def test_repair_and_quarantine(spark, root):
     assert rows.count() == 0 and bad.count() == 1
 
 
+def test_repeated_keys_odd_elements_and_empty_files(spark):
+    files = spark.createDataFrame([
+        ("a", '[{"SID": "S-1", "SID": "S-2", "Name": "n"}, {"Name": "m", "Data": "1.50"}]'), ("b", '[1, {"Name": "x", "Data": "y"}, null, [2]]'), ("c", ""), ("d", " \r\n"), ("e", None), ("f", "[]"), ("g", "[3]"),
+    ], "host string, value string")
+    rows, bad = A.parse_drops(files, "muicache")
+    assert sorted((r.host, r.pos, r.SID, r.Name, r.Data) for r in rows.collect()) == [("a", 0, "S-2", "n", None), ("a", 1, None, "m", "1.50"), ("b", 1, None, "x", "y")]
+    assert sorted((r.host, r.reason, r.text or "") for r in bad.collect()) == [
+        ("b", "not an object", "1"), ("b", "not an object", "[2]"), ("b", "not an object", "null"), ("c", "empty file", ""), ("d", "empty file", " \r\n"), ("e", "empty file", ""), ("g", "not an object", "3"),
+    ]
+    nested = spark.createDataFrame([("a", '[{"ID": 1, "ShellItems": [{"Type": "Network", "Name": "n", "Type": "Server"}]}]')], "host string, value string")
+    got = A.parse_drops(nested, "mru")[0].select("ID", F.expr("variant_get(ShellItems, '$[0].Type', 'string')").alias("t")).collect()
+    assert [r[:] for r in got] == [(1, "Server")]
+
+
+def test_serials_keep_their_spelling(spark):
+    """A text that lost the leading zero of some byte isn't filled up in front; it is found by that spelling."""
+    from hostgrain.operators import lookups as L
+
+    d = spark.createDataFrame([("h", "1f2ab"), ("h", "01F20A0B"), ("h", "1f20a0b")], "host string, serial string")
+    kept = d.withColumn("serial", T.S.serial_kept(F.col("serial")))
+    volumes = spark.createDataFrame([("h", "01F20A0B", "D:")], "host string, serial string, letter string")
+    assert [(r.serial, r.mount) for r in L.mount_points(kept, "serial", volumes).collect()] == [("1F2AB", "D:"), ("01F20A0B", "D:"), ("1F20A0B", "")]
+
+
 def test_both_time_conventions_give_one_instant(spark, root):
     bam = T.build_bam(A.read_artefact(spark, root, "bam")[0]).select("exec_ts").first()[0]
     run = [r[0] for r in T.build_run(A.read_artefact(spark, root, "run")[0]).select("key_last_write").collect()]
