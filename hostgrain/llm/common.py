@@ -26,11 +26,11 @@ def heavy_limit(total: int) -> int:
     return max(LIGHT, total // HEAVY_SHARE)
 
 
-def join_to_one(rows: DataFrame, ones: DataFrame, key: str, total: int) -> DataFrame:
-    """rows joined with ones, which has one row a key and in ``_n`` how many of the total rows hold the key. No task gets
+def join_to_one(rows: DataFrame, ones: DataFrame, key: str | list[str], total: int) -> DataFrame:
+    """rows joined with ones, which has one row a key (one column or several) and in ``_n`` how many of the total rows hold the key. No task gets
     all rows of a heavy key: what ones has for these, HEAVY_SHARE rows at most, is broadcast; the others are shuffled."""
     limit = heavy_limit(total)
     heavy = ones.filter(F.col("_n") > limit)
     spread = rows.join(F.broadcast(heavy), key)
-    shuffled = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(ones.filter(F.col("_n") <= limit), key)
+    shuffled = rows.join(F.broadcast(heavy.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(ones.filter(F.col("_n") <= limit), key)
     return spread.unionByName(shuffled).drop("_n")
