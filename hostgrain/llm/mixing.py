@@ -34,7 +34,8 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, passes:
 
     Sources in code-point order, null last, take the weights in turn. Targets are ``min(passes * source_size,
     weight * level)`` with the one level at which they add up to share of all words: what lies above a
-    source's limit is shared again by weight. One row per source is handled, never a row per document.
+    source's limit is shared again by weight. One row per source is handled, never a row per document; these rows are
+    sorted in one task, so that sources are meant to be collections, millions of them at most, and not pages.
     """
     order = Window.orderBy(F.col("source").isNull().cast("int"), F.col("source"))
     w = F.array(*(F.lit(float(x)) for x in weights))
@@ -78,7 +79,7 @@ def fair_mix(docs: DataFrame, weights: list[float], share: float, passes: int =
     offsets = buckets.select("_s", "_b", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")).join(targets, "_s")
     within = Window.partitionBy("_s", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("_c", F.sum("size").over(within)).join(offsets, ["_s", "_b"])
-    placed = placed.withColumn("_c", F.col("_c") + F.col("_offset"))
+    placed = cut(placed.withColumn("_c", F.col("_c") + F.col("_offset")))  # read four times below
 
     def finish(k: int) -> Column:
         return (F.col("_c") + F.col("source_size") * k) / F.col("target")
