@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.store import clear_cuts, cut, cuts_written, scratch, shared_dir
 
-__all__ = ["ascii_lower", "clear_cuts", "cut", "cuts_written", "join_to_one", "scratch", "shared_dir", "table"]
+__all__ = ["ascii_lower", "clear_cuts", "cut", "cuts_written", "join_copied", "join_to_one", "scratch", "shared_dir", "table"]
 
 #: A key is heavy if it holds more than one row in HEAVY_SHARE, and more than LIGHT: so at most HEAVY_SHARE keys are.
 HEAVY_SHARE, LIGHT = 10_000, 32
@@ -34,3 +34,14 @@ def join_to_one(rows: DataFrame, ones: DataFrame, key: str | list[str], total: i
     spread = rows.join(F.broadcast(heavy), key)
     shuffled = rows.join(F.broadcast(heavy.select(*([key] if isinstance(key, str) else key))), key, "left_anti").join(ones.filter(F.col("_n") <= limit), key)
     return spread.unionByName(shuffled).drop("_n")
+
+
+def join_copied(rows: DataFrame, ones: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """rows joined with ones, which has one row a key that may be too large to be broadcast. A heavy key's is copied to as
+    many parts as the key's rows, dealt by a hash of the column by, need; just these numbers of parts are broadcast."""
+    limit = heavy_limit(rows.count())
+    heavy = rows.groupBy(key).agg(F.ceil(F.count("*") / limit).cast("int").alias("_parts")).filter("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(heavy), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    copied = ones.join(F.broadcast(heavy), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copied, [key, "_part"], how).drop("_part")

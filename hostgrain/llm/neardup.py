@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, heavy_limit, join_to_one
+from .common import cut, join_copied, join_to_one
 from .words import NOT_SPACE, shingle_set
 
 BANDS, ROWS = 36, 5
@@ -155,13 +155,7 @@ def _examine(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, per
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in x.columns[:2]], ["a", "b"])
 
     # The text of an a with many pairs goes to several tasks, each of which has a part of them.
-    limit = heavy_limit(likely.count())
-    heavy = likely.groupBy("a").agg(F.ceil(F.count("*") / limit).alias("_parts")).filter("_parts > 1")  # HEAVY_SHARE rows at most
-    parts = F.coalesce("_parts", F.lit(1))
-    dealt = likely.join(F.broadcast(heavy), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("_part"))
-    copied = texts.select(F.col("rid").alias("a"), F.col("text").alias("t_a")).join(F.broadcast(heavy), "a", "left")
-    copied = copied.select("a", "t_a", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("_part"))
-    full = dealt.join(copied, ["a", "_part"]).join(texts.select(F.col("rid").alias("b"), F.col("text").alias("t_b")), "b")
+    full = join_copied(likely, texts.select(F.col("rid").alias("a"), F.col("text").alias("t_a")), "a", "b").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("t_b")), "b")
     return full.select("a", "b", "t_a", "t_b").mapInArrow(verify, f"a {kind}, b {kind}").distinct()
 
 
