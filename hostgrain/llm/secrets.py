@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_copied
 
 
 @dataclass(frozen=True)
@@ -107,7 +107,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     # Few blobs hold anything: only those are joined back, the others have empty arrays.
     known = found if old is None else found.unionByName(old.filter(F.size("spans") > 0))
     holding = known.groupBy("blob").agg(*(F.any_value(F.when(F.col("kind") == r.kind, F.col("spans")), True).alias(r.kind) for r in rules))
-    out = own.select("path", "blob").join(holding, "blob", "left")
+    out = join_copied(own.select("path", "blob"), holding, "blob", "path", "left")
     return out.select("path", "blob", *(F.coalesce(r.kind, none).alias(r.kind) for r in rules)), news
 
 
