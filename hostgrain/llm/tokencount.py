@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that are encoded at a time; no batch holds more, but for a single chunk that can't be split.
 BATCH_BYTES = 1 << 20
 #: Bytes of chunks whose counts a task remembers, beyond which it starts anew; longer chunks than REMEMBERED aren't kept.
-KEPT_BYTES, REMEMBERED = 1 << 24, 64
+KEPT_BYTES, REMEMBERED = 1 << 26, 64
 #: Characters from which on a chunk is split further.
 LONG = 1 << 16
 
