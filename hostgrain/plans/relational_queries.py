@@ -9,17 +9,18 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import lookups as L
 from ..operators import nested as N
+from ..operators import predicates as P
 from .registry import query, table
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click'")
 def p1_value_type(spark, sf):
-    return table(spark, sf, "events").filter(F.col("event_type") == "click").select("event_id", "user_id", "value")
+    return P.of_type(table(spark, sf, "events"), "event_type", "click").select("event_id", "user_id", "value")
 
 
 @query("SELECT page_id, url FROM pages WHERE lower(regexp_extract(url, '\\.([A-Za-z]+)$', 1)) IN ('html', 'htm')".replace("\\\\", "\\"))
 def p2_extension(spark, sf):
-    return table(spark, sf, "pages").filter(F.lower(F.regexp_extract("url", r"\.([A-Za-z]+)$", 1)).isin("html", "htm")).select("page_id", "url")
+    return P.with_extension(table(spark, sf, "pages"), "url", "html", "htm").select("page_id", "url")
 
 
 @query("""SELECT user_id, list_filter(list(CASE WHEN event_type = 'error' THEN 0 ELSE event_id END ORDER BY event_id), lambda t: t <> 0) AS runs FROM events GROUP BY user_id""")
@@ -43,7 +44,7 @@ def p4_version_gate(spark, sf):
 def p5_signature_gate(spark, sf):
     d = table(spark, sf, "part")
     head = d.agg(F.substring(F.min("p_name"), 1, 2).cast("binary").alias("sig"))
-    return d.crossJoin(F.broadcast(head)).filter(F.substring(F.col("p_name").cast("binary"), 1, 2) == F.col("sig")).select("p_partkey", "p_name")
+    return d.crossJoin(F.broadcast(head)).filter(P.has_signature(F.col("p_name"), F.col("sig"))).select("p_partkey", "p_name")
 
 
 @query("""WITH a AS (SELECT user_id, list(event_type ORDER BY event_id) AS t FROM events GROUP BY user_id)
@@ -59,13 +60,13 @@ def p6_take_until(spark, sf):
 
 @query("SELECT doc_id, try_cast(source[4:] AS INTEGER) AS number, try_cast(source[4:] AS INTEGER) IS NULL AS quarantined FROM documents")
 def p7_quarantine(spark, sf):
-    d = table(spark, sf, "documents").withColumn("number", F.substring("source", 4, 100).try_cast("int"))
-    return d.select("doc_id", "number", F.col("number").isNull().alias("quarantined"))
+    d = table(spark, sf, "documents").select("doc_id", F.substring("source", 4, 100).alias("text"))
+    return P.quarantine(d, "text", "int", "number").select("doc_id", "number", F.col("reason").isNotNull().alias("quarantined"))
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_acctbal > 0")
 def p8_with_profile(spark, sf):
-    return table(spark, sf, "customer").filter("c_acctbal > 0").select("c_custkey", "c_name")
+    return P.with_profile(table(spark, sf, "customer"), F.col("c_acctbal") > 0).select("c_custkey", "c_name")
 
 
 @query("SELECT o_orderkey, coalesce(c_name, '') AS owner FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_custkey % 3 <> 0")
@@ -177,7 +178,7 @@ def a3_last_match(spark, sf):
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'O' THEN l_partkey ELSE l_suppkey END AS run_count FROM lineitem")
 def a4_conditional_counter(spark, sf):
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_linestatus") == "O", F.col("l_partkey")).otherwise(F.col("l_suppkey")).alias("run_count"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", P.counter(F.col("l_linestatus") == "O", "l_partkey", "l_suppkey").alias("run_count"))
 
 
 @query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1)::INTEGER AS rank FROM events")

@@ -339,8 +339,12 @@ def t26_events(spark, sf):
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def s1_read_json(spark, sf):
+    """Events' properties as files of one object each, read as drops are; the level's text is the number."""
     e = table(spark, sf, "events")
-    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    files = e.select("event_id", F.replace("props", F.lit('"k"'), F.lit('"Name"')).alias("value"))
+    rows, bad = A.parse_drops(files, "users")
+    read = rows.select("event_id", F.col("Name").cast("long").alias("k"))
+    return read.unionByName(bad.select("event_id", F.lit(None).cast("long").alias("k")))
 
 
 @query("SELECT event_id::VARCHAR AS name, 'a, }' AS value, true AS good FROM events UNION ALL SELECT event_id::VARCHAR, NULL, false FROM events WHERE event_id % 7 = 0")

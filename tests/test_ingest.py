@@ -71,6 +71,16 @@ def test_repeated_keys_odd_elements_and_empty_files(spark):
     assert [r[:] for r in got] == [(1, "Server")]
 
 
+def test_gates_and_quarantine(spark):
+    from hostgrain.operators import predicates as P
+
+    d = spark.createDataFrame([(1, "a.LNK", b"MZab", "5"), (2, "b", b"M", "x"), (3, None, None, None), (4, "c.lnk.txt", b"MZ", "7")], "id int, path string, content binary, n string")
+    assert [r.id for r in P.with_extension(d, "path", ".lnk").collect()] == [1] and [r.id for r in P.of_type(d, "n", "5", "7").collect()] == [1, 4]
+    assert [r[0] for r in d.select(P.has_signature(F.col("content"), F.lit(b"MZ"))).collect()] == [True, False, None, True]
+    assert [(r.v, r.reason) for r in P.quarantine(d, "n", "int", "v").collect()] == [(5, None), (None, "not a int"), (None, "missing"), (7, None)]
+    assert [r[0] for r in d.select(P.counter(F.col("n") == "5", "path", "n")).collect()] == ["a.LNK", "x", None, "7"]
+
+
 def test_serials_keep_their_spelling(spark):
     """A text that lost the leading zero of some byte isn't filled up in front; it is found by that spelling."""
     from hostgrain.operators import lookups as L
