@@ -29,6 +29,11 @@ LINK_FLAG_NAMES = [
 ]
 LINK_FLAGS = [(1 << bit, name) for bit, name in enumerate(LINK_FLAG_NAMES) if name]
 
+# Class flags of file entries, and names of what the masked class of a volume says.
+FS_FLAGS = [(0x01, "IS_DIRECTORY"), (0x02, "IS_FILE"), (0x04, "IS_UNICODE"), (0x80, "HAS_CLSID"), (0x08, "UNKNOWN")]
+VOLUME_MASK = 0x8F
+VOLUME_FLAGS = {0x00: "NONE", 0x0E: "SYSTEMFOLDER", 0x0F: "LOCALDISK"}
+
 # Names of property types.
 VT_NAMES = {
     0: "VT_EMPTY", 1: "VT_NULL", 2: "VT_I2", 3: "VT_I4", 4: "VT_R4", 5: "VT_R8", 6: "VT_CY", 7: "VT_DATE", 8: "VT_BSTR", 9: "VT_DISPATCH",

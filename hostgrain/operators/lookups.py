@@ -44,19 +44,30 @@ CODE_LABELS = {
         0x3F0000: "WNNC_NET_VMWARE", 0x400000: "WNNC_NET_RSFX", 0x410000: "WNNC_NET_MFILES", 0x420000: "WNNC_NET_MS_NFS", 0x430000: "WNNC_NET_GOOGLE",
     },
     "custom_category": ["Recent", "Frequent", "Tasks"],
+    "custom_type": ["Custom category", "Known category", "User tasks"],
+    "control_panel": [
+        "All Control Panel Items", "Appearance and Personalization", "Hardware and Sound", "Network and Internet", "Sounds, Speech, and Audio Devices",
+        "System and Security", "Clock, Language, and Region", "Ease of Access", "Programs", "User Accounts", "Security Center (Windows XP [SP2~SP3])",
+        "Mobile PC (Windows Vista Mobile)",
+    ],
+    "service_type": {
+        0x1: "SERVICE_KERNEL_DRIVER", 0x2: "SERVICE_FILE_SYSTEM_DRIVER", 0x10: "SERVICE_WIN32_OWN_PROCESS", 0x20: "SERVICE_WIN32_SHARE_PROCESS",
+        0x50: "SERVICE_USER_OWN_PROCESS", 0x60: "SERVICE_USER_SHARE_PROCESS",
+    },
+    "net_subtype": {0x41: "Domain/Workgroup name", 0x42: "Server UNC path", 0x43: "Share UNC path", 0x46: "Microsoft Windows Network", 0x47: "Entire Network"},
     "sort_index": {
         0x00: "INTERNET_EXPLORER", 0x42: "LIBRARIES", 0x44: "USERS", 0x48: "MY_DOCUMENTS", 0x50: "MY_COMPUTER", 0x58: "MY_NETWORK_PLACES",
         0x60: "RECYCLE_BIN", 0x68: "INTERNET_EXPLORER", 0x70: "UNKNOWN", 0x80: "MY_GAMES",
     },
     "shell_item": {
-        0x1F: "RootFolder", 0x2E: "Volume", 0x2F: "Volume", 0x31: "FileEntry", 0x32: "FileEntry", 0x35: "FileEntry", 0x36: "FileEntry",
+        0x01: "ControlPanelCategory", 0x1F: "RootFolder", 0x2E: "Volume", 0x2F: "Volume", 0x31: "FileEntry", 0x32: "FileEntry", 0x35: "FileEntry", 0x36: "FileEntry",
         0x41: "Network", 0x42: "Network", 0x46: "Network", 0x47: "Network", 0x4C: "Network", 0x52: "ArchiveContent", 0x61: "URI",
         0x71: "ControlPanel", 0x74: "UsersFilesFolder", 0xC3: "Network",
     },
 }
 
 # Labels of codes without one.
-DEFAULT_LABELS = {"drive_type": "BAD TYPE", "net_provider": "BAD NET PROVIDER", "show_command": "UNKOWN", "shell_item": "Unknown"}
+DEFAULT_LABELS = {"drive_type": "BAD TYPE", "net_provider": "BAD NET PROVIDER", "show_command": "UNKOWN", "shell_item": "Unknown", "control_panel": "Unknown", "net_subtype": "Unknown", "custom_type": ""}
 
 # Well-known security identifiers.
 WELL_KNOWN_SIDS = {
@@ -73,7 +84,7 @@ def code_label(domain: str, code: Column, default: str | None = None) -> Column:
     """Label of a number; what has none gets the domain's default."""
     labels = CODE_LABELS[domain]
     labels = labels if isinstance(labels, dict) else dict(enumerate(labels))
-    return F.coalesce(F.element_at(_map(labels), code.cast("int")), F.lit(default or DEFAULT_LABELS.get(domain, "UNKNOWN")))
+    return F.coalesce(F.element_at(_map(labels), code.cast("int")), F.lit(DEFAULT_LABELS.get(domain, "UNKNOWN") if default is None else default))
 
 
 def label_join(df: DataFrame, code: str, labels: DataFrame, default: str, out: str = "label") -> DataFrame:
@@ -82,6 +93,12 @@ def label_join(df: DataFrame, code: str, labels: DataFrame, default: str, out: s
     return df.join(dim, df[code] == dim["_code"], "left").drop("_code").withColumn(out, F.coalesce("_label", F.lit(default))).drop("_label")
 
 
+def app_names(df: DataFrame, app_id: str, apps: DataFrame, out: str = "application") -> DataFrame:
+    """Names of application ids, whatever their case; an id without one stands for itself. apps: app_id, name."""
+    dim = apps.select(F.lower("app_id").alias("_app"), F.col("name").alias("_name")).dropDuplicates(["_app"])
+    return df.join(dim, F.lower(df[app_id]) == dim["_app"], "left").withColumn(out, F.coalesce("_name", app_id)).drop("_app", "_name")
+
+
 def sid_names(df: DataFrame, users: DataFrame, sid: str = "sid", out: str = "sid_name") -> DataFrame:
     """Account names by (host, sid), then well-known ones; otherwise empty text. users: host, sid, name."""
     dim = users.select(F.col("host").alias("_host"), F.col("sid").alias("_sid"), F.col("name").alias("_name")).dropDuplicates(["_host", "_sid"])

@@ -92,6 +92,18 @@ def tree_paths(nodes: DataFrame, keys: list[str], id: str, parent: str, name: st
     return out.unionByName(rest).withColumnRenamed("_id", id)
 
 
+def folder_paths(items: DataFrame, folders: DataFrame, keys: list[str], folder: str, name: str, id: str = "id", parent: str = "parent", label: str = "label", out: str = "path", separator: str = "\\") -> DataFrame:
+    """items with their full path: that of their folder, from its root down, and their own name. folders: keys, id, parent
+    and label, walked by tree_paths. An item whose folder isn't there has a null path, as has one without a name."""
+    paths = tree_paths(folders, keys, id, parent, label, separator)
+    dim = paths.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(id).alias("_folder"), F.col("path").alias("_path"))
+    on = items[folder] == dim["_folder"]
+    for k in keys:
+        on &= items[k] == dim[f"_{k}"]
+    joined = items.join(dim, on, "left").withColumn(out, F.concat("_path", F.lit(separator), F.col(name)))
+    return joined.drop("_folder", "_path", *(f"_{k}" for k in keys))
+
+
 def variant_tree(df: DataFrame, text: str, keys: list[str], children: str, fields: dict[str, str], id: str = "ID") -> DataFrame:
     """Nodes of a recursive JSON text: ``node_path`` (ids from the root), ``depth``, ``parent`` and the fields, given as
     name to type. Level by level like tree_paths: no limit on the rows of a whole fleet, as recursive SQL has one. Texts

@@ -106,4 +106,38 @@ def test_sql_names(spark):
     assert spark.sql("SELECT af_filetime_to_ts(-9223372036854775808)").first()[0] is None
     assert spark.sql("SELECT af_rot13('Uryyb'), af_luid(1, 2), af_serial('ab'), af_exe_path('a -b')").first()[:] == ("Hello", 2**32 + 2, "000000AB", "a")
     assert spark.sql(f"SELECT CAST(af_fat_to_ts({((4 << 11 | 6 << 5 | 4) << 16) | (21 << 9 | 2 << 5 | 3)}) AS STRING)").first()[0] == "2001-02-03 04:06:08"
-    assert len(SQL_FUNCTIONS) == 12
+    assert len(SQL_FUNCTIONS) == 38
+
+
+def test_sql_names_agree_with_the_functions(spark):
+    register_functions(spark)
+    raw = [b"", bytes(range(16)), b"\xff" * 20, "a\0b😀\0\0c".encode("utf-16-le"), b"\x00\xd8a\x00", None]
+    b = F.col("b")
+    d = spark.createDataFrame([(bytearray(x) if x is not None else None,) for x in raw], "b binary")
+    pairs = {
+        "af_guid(b)": S.guid_text(b), "af_utf16(b)": S.utf16(b), "af_multi_sz(b)": S.multi_sz(b), "af_hex_dump(b)": S.hex_dump(b), "af_md5(b)": S.md5_upper(b),
+        "af_le_uint(b, 1, 2)": S.le_uint(b, 1, 2), "af_le_uint(b, 0, 8)": S.le_uint(b, 0, 8), "af_le_int(b, 3, 4)": S.le_int(b, 3, 4), "af_le_int(b, 8, 8)": S.le_int(b, 8, 8),
+    }
+    for sql, own in pairs.items():
+        assert [r[:] for r in d.select(F.expr(sql), own).collect() if r[0] != r[1]] == [], sql
+    texts = ['C:\\a "b"\n\tc\r', "x{00021401-0000-0000-C000-000000000046}y", "0A1B2C0D", "[InternetShortcut]\r\nURL=http://x/a%20b+c\r\n", "", "%A%\\%B%", None]
+    t, env = F.col("s"), F.create_map(F.lit("A"), F.lit("x"))
+    d = spark.createDataFrame([(x,) for x in texts], "s string")
+    pairs = {
+        "af_json_escape(s)": S.json_escape(t), "af_first_guid(s)": S.first_guid(t), "af_serial_unpadded(s)": S.serial_unpadded(t), "af_base_name(s)": S.base_name(t), "af_url_target(s)": S.url_target(t),
+        "af_rewrite_path(s, 'C:', 'D:')": S.rewrite_path(t, F.lit("C:"), F.lit("D:")), "af_expand_env(s, map('A', 'x'))": S.expand_env(t, ["A"], env),
+        "af_replace_guid(s, 'N')": F.when(S.first_guid(t).isNull(), t).otherwise(F.replace(t, S.first_guid(t), F.lit("N"))),
+    }
+    for sql, own in pairs.items():
+        assert [r[:] for r in d.select(F.expr(sql), own).collect() if r[0] != r[1]] == [], sql
+    n = F.col("id")
+    d = spark.range(0, 5000, 7)
+    pairs = {
+        "af_file_attributes(id)": S.flag_names(n, S.FILE_ATTRIBUTES), "af_link_flags(id)": S.flag_names(n, S.LINK_FLAGS), "af_fs_flags(id)": S.flag_names(n, S.FS_FLAGS), "af_volume_flag(id)": S.masked_name(n, S.VOLUME_MASK, S.VOLUME_FLAGS),
+        "af_vt_name(id)": S.vt_name(n), "af_unix_to_filetime(id)": S.unix_to_filetime(n), "af_ole_to_ts(id / 7D)": S.ole_to_ts(n / 7), "af_utc_to_local(af_ole_to_ts(id), 90)": S.utc_to_local(S.ole_to_ts(n), F.lit(90)),
+        "af_local_to_utc(af_ole_to_ts(id), 90)": S.local_to_utc(S.ole_to_ts(n), F.lit(90)), "af_bool_text(id % 2 = 0)": S.bool_text(n % 2 == 0),
+        **{f"af_event_text('{k}', CAST(id AS STRING))": S.event_text(F.lit(k), n.cast("string")) for k in ("int", "bool", "hex32", "hex64", "uint64", "double", "string", "other")},
+    }
+    for sql, own in pairs.items():
+        assert [r[:] for r in d.select(F.expr(sql), own).collect() if r[0] != r[1]] == [], sql
+    assert one(spark, S.flag_names(F.lit(0x86), S.FS_FLAGS), S.masked_name(F.lit(0x2F), S.VOLUME_MASK, S.VOLUME_FLAGS), S.masked_name(F.lit(0x21), S.VOLUME_MASK, S.VOLUME_FLAGS)) == (["IS_FILE", "IS_UNICODE", "HAS_CLSID"], "LOCALDISK", None)
