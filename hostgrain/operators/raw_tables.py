@@ -44,7 +44,7 @@ def items_of(df: DataFrame, blob: str, keys: list[str], out: str = "items") -> D
     def parse(data: bytes) -> Iterator[dict]:
         found, error = [], None
         try:
-            for item in B.parse_shell_items(data):
+            for item in B.parse_shell_items(data, archives=True):
                 found.append({f: item.get(f) for f in fields})
         except ValueError as e:
             error = str(e)[:200]
@@ -61,7 +61,7 @@ def _listed(reg: DataFrame, pattern: str) -> DataFrame:
     d = d.select("host", "hive", "sid", "key_path", "value_name", "data", "key_last_write")
     key = ["host", "hive", "sid", "key_path"]
     order = d.filter(F.lower("value_name") == MRU_ORDER.lower()).select(*key, "key_last_write", F.posexplode(mru_numbers(F.col("data"))).alias("rank", "id"))
-    values = d.filter(F.col("value_name").rlike("^[0-9]+$")).select(*(F.col(k).alias(f"_{k}") for k in key), F.col("value_name").cast("bigint").alias("_id"), "data")
+    values = d.filter(F.col("value_name").rlike("^[0-9]+$")).select(*(F.col(k).alias(f"_{k}") for k in key), F.col("value_name").try_cast("bigint").alias("_id"), "data")
     same = F.lit(True)
     for k in key:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import decode as B
+from ..operators import lookups as L
 from ..operators import nested as N
 from .registry import ntz, query, table, utc
 
@@ -26,10 +27,8 @@ def _good(df):
     return B.split_errors(df)[0]
 
 
-@query("""SELECT o_orderkey, 167 AS link_flags, o_custkey & 65535 AS attributes, o_orderdate AS created, o_orderkey::INTEGER AS icon_index, 3 AS drive_code,
-  lpad(upper(to_hex(o_orderkey)), 8, '0') AS vol_serial, o_orderstatus AS vol_label, 'C:\\' || o_orderkey AS base_path, o_orderpriority AS descr, '-k ' || o_custkey AS args FROM orders""".replace("\\\\", "\\"))
-def b1_lnk(spark, sf):
-    """Orders packed as shell links with an item list, link information with a volume, a name and arguments."""
+def _links(spark, sf):
+    """Orders packed as shell links with an item list, link information with a volume, a name and arguments, as column b."""
     o = table(spark, sf, "orders")
     t = S.le_bytes(S.ts_to_filetime(utc("o_orderdate")), 8)
     header = F.concat(F.lit(B.LNK_HEADER), _u(0x1 | 0x2 | 0x4 | 0x20 | 0x80, 4), _u(F.col("o_custkey").bitwiseAND(65535), 4), t, t, t, _u(7, 4), _u(F.col("o_orderkey"), 4), _u(1, 4), _zeros(12))
@@ -42,8 +41,13 @@ def b1_lnk(spark, sf):
     info = F.concat(_u(size, 4), _u(28, 4), _u(1, 4), _u(28, 4), _u(at, 4), _u(0, 4), _u(size - 1, 4), volume, path, _zeros(2))
     text = lambda c: F.concat(_u(F.length(c), 2), _wide(c))
     args = F.concat(F.lit("-k "), F.col("o_custkey").cast("string"))
-    d = o.select("o_orderkey", F.concat(header, ids, info, text(F.col("o_orderpriority")), text(args)).alias("b"))
-    r = _good(B.decode_lnk(d, "b", ["o_orderkey"]))
+    return o.withColumn("b", F.concat(header, ids, info, text(F.col("o_orderpriority")), text(args)))
+
+
+@query("""SELECT o_orderkey, 167 AS link_flags, o_custkey & 65535 AS attributes, o_orderdate AS created, o_orderkey::INTEGER AS icon_index, 3 AS drive_code,
+  lpad(upper(to_hex(o_orderkey)), 8, '0') AS vol_serial, o_orderstatus AS vol_label, 'C:\\' || o_orderkey AS base_path, o_orderpriority AS descr, '-k ' || o_custkey AS args FROM orders""".replace("\\\\", "\\"))
+def b1_lnk(spark, sf):
+    r = _good(B.decode_lnk(_links(spark, sf).select("o_orderkey", "b"), "b", ["o_orderkey"]))
     return r.select("o_orderkey", F.col("link_flags").cast("int").alias("link_flags"), "attributes", ntz(S.filetime_to_ts(F.col("created_ticks"))).alias("created"), "icon_index", F.col("drive_code").cast("int").alias("drive_code"), "vol_serial", "vol_label", "base_path", "descr", "args")
 
 
@@ -125,6 +129,48 @@ def b7_properties(spark, sf):
     return r.select("s_suppkey", F.col("property_id").cast("int").alias("id"), S.vt_name(F.col("vt")).alias("vt"), "value")
 
 
+def _typed(id, vt, *parts):
+    value = F.concat(_u(id, 4), _zeros(1), _u(vt, 2), _u(0, 2), *parts)
+    return F.concat(_u(F.octet_length(value) + 4, 4), value)
+
+
+def _store(guid, *values):
+    every = F.concat(*values, _u(0, 4))
+    return F.concat(_u(F.octet_length(every) + 24, 4), F.lit(b"1SPS"), guid, every)
+
+
+@query("""SELECT s_suppkey, 2 AS id, 'VT_VECTOR | VT_UI4' AS vt, '["' || s_suppkey || '", "' || s_nationkey || '"]' AS value FROM supplier
+UNION ALL SELECT s_suppkey, 3, 'VT_VECTOR | VT_LPWSTR', '["' || s_name || '", "ab"]' FROM supplier
+UNION ALL SELECT s_suppkey, 4, 'VT_DATE', '1900-01-' || lpad((s_nationkey % 25 + 1)::VARCHAR, 2, '0') || ' 00:00:00' FROM supplier
+UNION ALL SELECT s_suppkey, 5, 'VT_CY', s_suppkey || '.5000' FROM supplier""")
+def b7_vectors(spark, sf):
+    """Vectors of numbers and texts, dates and currencies. A date is a double: a whole number of days is packed by its bits."""
+    n = F.col("s_nationkey") % 25 + 2  # days since 1899-12-30
+    power = F.floor(F.log2(n + F.lit(0.5)))  # n is no power of two and a half
+    bits = F.shiftleft((power + 1023).cast("long"), 52) + ((n / F.pow(F.lit(2.0), power) - 1) * F.lit(2.0 ** 52)).cast("long")
+    texts = [F.concat(_u(F.length(t) + 1, 4), _wide(F.concat(t, F.lit("\0")))) for t in (F.col("s_name"), F.lit("ab"))]
+    padded = [F.when(F.octet_length(t) % 4 == 2, F.concat(t, _zeros(2))).otherwise(t) for t in texts]
+    store = _store(
+        F.unhex(F.md5("s_name")), _typed(2, 0x1013, _u(2, 4), _u(F.col("s_suppkey"), 4), _u(F.col("s_nationkey"), 4)), _typed(3, 0x101F, _u(2, 4), *padded),
+        _typed(4, 7, S.le_bytes(bits, 8)), _typed(5, 6, S.le_bytes(F.col("s_suppkey") * 10000 + 5000, 8)),
+    )
+    r = _good(B.decode_properties(table(spark, sf, "supplier").select("s_suppkey", F.concat(store, _u(0, 4)).alias("b")), "b", ["s_suppkey"]))
+    return r.select("s_suppkey", F.col("property_id").cast("int").alias("id"), S.vt_name(F.col("vt")).alias("vt"), "value")
+
+
+@query("""SELECT s_suppkey, 'Programs' AS category, 'beef0021' AS signature, s_nationkey::VARCHAR AS value, NULL AS guid2 FROM supplier
+UNION ALL SELECT s_suppkey, 'Programs', 'beef0000', NULL, '{00000000-0000-0000-0000-' || lpad(to_hex(s_suppkey), 12, '0') || '}' FROM supplier""")
+def b6_stores(spark, sf):
+    """Suppliers packed as control-panel categories with two blocks, one that holds a property store and one of two GUIDs."""
+    store = F.concat(_store(F.unhex(F.md5("s_name")), _typed(2, 3, _u(F.col("s_nationkey"), 4))), _u(0, 4))
+    first = F.concat(_u(F.octet_length(store) + 10, 2), _u(1, 2), F.unhex(F.lit("2100EFBE")), store, _zeros(2))
+    second = F.concat(_u(42, 2), _u(1, 2), F.unhex(F.lit("0000EFBE")), _zeros(26), F.unhex(F.lpad(F.hex("s_suppkey"), 12, "0")), _zeros(2))
+    item = F.concat(_u(F.octet_length(first) + F.octet_length(second) + 12, 2), F.lit(b"\x01\x00"), _zeros(4), _u(8, 4), first, second)
+    r = _good(B.decode_shell_items(table(spark, sf, "supplier").select("s_suppkey", F.concat(item, _u(0, 2)).alias("b")), "b", ["s_suppkey"]))
+    d = r.select("s_suppkey", L.code_label("control_panel", F.col("category")).alias("category"), F.explode("blocks").alias("k"))
+    return d.select("s_suppkey", "category", "k.signature", F.get("k.properties", F.lit(0))["value"].alias("value"), "k.guid2")
+
+
 @query("SELECT event_id, event_type AS name, user_id::INTEGER AS count, ts AS last_ts, ts AS bam_ts FROM events")
 def b8_fixed_values(spark, sf):
     e = table(spark, sf, "events")

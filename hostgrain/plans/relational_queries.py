@@ -258,6 +258,8 @@ def n4_token_positions(spark, sf):
 
 @query("SELECT doc_id, 'root\\' || lang || '\\' || source AS path FROM documents".replace("\\\\", "\\"))
 def n5_folder_paths(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.concat_ws("\\", F.lit("root"), "lang", "source").alias("path"))
-
-
+    """Documents in folders of their language below one root."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    of = d.filter("lang IS NOT NULL").select(F.col("lang").alias("id"), F.lit("/").alias("parent"), F.col("lang").alias("label")).distinct()
+    folders = of.unionByName(table(spark, sf, "region").select(F.lit("/").alias("id"), F.lit(None).cast("string").alias("parent"), F.lit("root").alias("label")).distinct())
+    return N.folder_paths(d, folders, [], "lang", "source").select("doc_id", "path")

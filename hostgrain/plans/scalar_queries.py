@@ -123,6 +123,16 @@ def fn_flags(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(a, ", ").alias("attributes"), F.array_join(k, ", ").alias("link_flags"))
 
 
+_FS = ", ".join(f"CASE WHEN l_partkey & {m} <> 0 THEN '{n}' END" for m, n in S.FS_FLAGS)
+_VOLUME = " ".join(f"WHEN {k} THEN '{n}'" for k, n in S.VOLUME_FLAGS.items())
+
+
+@query(f"SELECT l_orderkey, l_linenumber, coalesce(concat_ws(', ', {_FS}), '') AS fs_flags, CASE l_partkey & {S.VOLUME_MASK} {_VOLUME} END AS volume_flag FROM lineitem")
+def fn_item_flags(spark, sf):
+    fs = F.array_join(S.flag_names(F.col("l_partkey"), S.FS_FLAGS), ", ").alias("fs_flags")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fs, S.masked_name(F.col("l_partkey"), S.VOLUME_MASK, S.VOLUME_FLAGS).alias("volume_flag"))
+
+
 @query("SELECT doc_id, lower(lang) AS a, source AS b, 2::INTEGER AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
 def fn_multi_sz(spark, sf):
     d = table(spark, sf, "documents").dropna(subset=["lang", "source"])

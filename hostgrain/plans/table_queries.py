@@ -285,6 +285,76 @@ def t23_custom_signature(spark, sf):
     return B.find_signature(d, "b", ["doc_id"], b"tion").select("doc_id", "offset")
 
 
+@query("""WITH p AS (SELECT p_partkey // 20 AS list_id, p_partkey, row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_partkey DESC) - 1 AS rank FROM part),
+s AS (SELECT list_id, min(rank) FILTER (p_partkey % 7 = 0) AS stop FROM p GROUP BY list_id)
+SELECT list_id, p_partkey AS id, rank::INTEGER AS rank, coalesce(n_name, '') AS sid_name, 'P' || p_partkey AS name FROM p JOIN s USING (list_id) LEFT JOIN nation ON list_id = n_nationkey WHERE stop IS NULL OR rank < stop""")
+def t20_mru_registry(spark, sf):
+    """Parts as values of registry keys, each with an item list, and an order per key that ends where a part is divisible by 7."""
+    from ..operators import raw_tables as R
+
+    d = table(spark, sf, "part").withColumn("list_id", F.floor(F.col("p_partkey") / 20))
+    name = F.concat(F.lit("P"), F.col("p_partkey").cast("string"), F.lit("\0")).cast("binary")
+    item = F.concat(S.le_bytes(F.octet_length(name) + 14, 2), F.lit(b"\x32\x00"), F.lit(bytes(10)), name, F.lit(bytes(2)))
+    path = F.concat(F.lit("Software\\ComDlg32\\OpenSavePidlMRU\\e"), F.col("list_id").cast("string"))
+    number = F.when(F.col("p_partkey") % 7 == 0, F.lit(R.MRU_END)).otherwise(F.col("p_partkey"))
+    own = [F.lit("h").alias("host"), F.lit("ntuser").alias("hive"), F.concat(F.lit("S-1-5-21-"), F.col("list_id").cast("string")).alias("sid"), path.alias("key_path")]
+    values = d.select(*own, F.col("p_partkey").cast("string").alias("value_name"), F.lit("REG_BINARY").alias("value_type"), item.alias("data"))
+    numbers = N.gather(d.select("list_id", (-F.col("p_partkey")).alias("back"), F.hex(S.le_bytes(number, 4)).alias("x")), ["list_id"], "back", ["x"], "c")
+    order = numbers.select(*own, F.lit(R.MRU_ORDER).alias("value_name"), F.lit("REG_BINARY").alias("value_type"), F.unhex(F.array_join(F.transform("c", lambda c: c["x"]), "")).alias("data"))
+    reg = values.unionByName(order).withColumn("key_last_write", F.lit(None).cast("timestamp"))
+    users = table(spark, sf, "nation").select(F.lit("h").alias("host"), F.concat(F.lit("S-1-5-21-"), F.col("n_nationkey").cast("string")).alias("sid"), F.col("n_name").alias("name"))
+    out = R.mru_from_registry(reg, users)
+    return out.select(F.substring("extension", 2, 20).cast("bigint").alias("list_id"), "id", "rank", "sid_name", F.get("items", F.lit(0))["name"].alias("name"))
+
+
+@query("""SELECT 'o' || o_orderkey || '.lnk' AS path, 'C:\\' || o_orderkey AS target, o_orderpriority AS descr, 'DRIVE_FIXED' AS drive_type, lpad(upper(to_hex(o_orderkey)), 8, '0') AS vol_serial, o_orderdate AS target_created_ts FROM orders
+UNION ALL SELECT 'p' || page_id || '.url', url, NULL, NULL, NULL, NULL FROM pages""".replace("\\\\", "\\"))
+def t21_shortcut_files(spark, sf):
+    """Orders as .lnk files and pages as .url files, both to the table of shortcuts."""
+    from ..operators import raw_tables as R
+    from .decode_queries import _links
+
+    own = [F.lit("h").alias("host"), F.lit("u").alias("owner")]
+    lnk = _links(spark, sf).select(F.concat(F.lit("o"), F.col("o_orderkey"), F.lit(".lnk")).alias("path"), *own, F.col("b").alias("content"))
+    body = F.concat(F.lit("[InternetShortcut]\r\nURL="), F.replace("url", F.lit("%"), F.lit("%25")), F.lit("\r\n")).cast("binary")
+    url = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id"), F.lit(".url")).alias("path"), *own, body.alias("content"))
+    out, _ = R.recent_docs_from_files(lnk, url)
+    return out.select("path", "target", "descr", "drive_type", "vol_serial", ntz(F.col("target_created_ts")).alias("target_created_ts"))
+
+
+@query("""SELECT o_orderkey AS entry_no, 'APP ' || o_orderkey % 10 AS application, o_orderpriority AS host_name, o_orderdate AS last_mod_ts, 'C:\\' || o_orderkey AS target, '-k ' || o_custkey AS args FROM orders WHERE o_orderkey % 3 <> 0""".replace("\\\\", "\\"))
+def t22_jumplist_streams(spark, sf):
+    """Orders as jump lists of one entry, two in three with the link it names."""
+    from ..operators import raw_tables as R
+    from .decode_queries import _links
+
+    o = _links(spark, sf)
+    file = F.concat(F.lit("C:\\j\\A"), F.col("o_orderkey") % 10, F.lit("."), F.col("o_orderkey"), F.lit(".automaticDestinations-ms"))
+    host = F.substring(F.concat(F.col("o_orderpriority").cast("binary"), F.lit(bytes(16))), 1, 16)
+    entry = F.concat(F.lit(bytes(72)), host, S.le_bytes(F.col("o_orderkey"), 4), F.lit(bytes(8)), S.le_bytes(S.ts_to_filetime(utc("o_orderdate")), 8), F.lit(bytes(20)), S.le_bytes(F.lit(1), 2), F.encode(F.lit("p"), "UTF-16LE"), F.lit(bytes(4)))
+    own = [F.lit("h").alias("host"), file.alias("file")]
+    destlist = o.select(*own, F.concat(S.le_bytes(F.lit(4), 4), S.le_bytes(F.lit(1), 4), F.lit(bytes(24)), entry).alias("content"))
+    streams = o.filter("o_orderkey % 3 <> 0").select(*own, F.lower(F.hex("o_orderkey")).alias("stream"), F.col("b").alias("content"))
+    apps = o.select(F.concat(F.lit("a"), F.col("o_orderkey") % 10).alias("app_id"), F.concat(F.lit("APP "), F.col("o_orderkey") % 10).alias("name")).distinct()
+    out, _ = R.jumplist_auto_from_streams(destlist, streams, apps)
+    return out.select("entry_no", "application", "host_name", ntz(F.col("last_mod_ts")).alias("last_mod_ts"), "target", "args")
+
+
+@query("""SELECT o_orderkey::VARCHAR AS file, ['Custom category', 'Known category', 'User tasks'][o_orderkey % 3 + 1] AS type, i AS n, CASE WHEN i > 0 THEN 'C:\\' || o_orderkey END AS target
+FROM (SELECT *, unnest(CASE WHEN o_orderkey % 3 = 2 THEN [1, 2] ELSE [0] END) AS i FROM orders)""".replace("\\\\", "\\"))
+def t23_custom_files(spark, sf):
+    """Orders as custom destinations: of one in three, user tasks with the order's link twice."""
+    from ..operators import raw_tables as R
+    from .decode_queries import _links
+
+    o = _links(spark, sf)
+    content = F.concat(S.le_bytes(F.col("o_orderkey") % 3, 4), F.lit(bytes(20)), F.col("b"), F.lit(b"between"), F.col("b"))
+    apps = table(spark, sf, "region").select(F.lit("none").alias("app_id"), F.lit("none").alias("name"))
+    out, _ = R.jumplist_custom_from_files(o.select(F.lit("h").alias("host"), F.col("o_orderkey").cast("string").alias("file"), content.alias("content")), apps)
+    n = F.when(F.col("offset").isNull(), 0).when(F.col("offset") == 24, 1).otherwise(2)
+    return out.select("file", "type", n.alias("n"), "target")
+
+
 def _prefetch(spark, sf):
     """Orders as prefetch files: lines as run times, volumes and referenced files."""
     li = table(spark, sf, "lineitem")
