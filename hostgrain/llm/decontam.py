@@ -27,6 +27,8 @@ from .words import ALNUM, Words
 SIZE = 10
 #: Words of a shingle.
 SHINGLE = 5
+#: About so many rows of shingles, a multiple of a window's, are held at a time.
+ROWS_A_BATCH = 20_000
 #: The bit table has 2 ** TABLE_BITS entries: 1 MB.
 TABLE_BITS = 23
 
@@ -35,8 +37,16 @@ def _windows(items: DataFrame, size: int, id: str, text: str) -> DataFrame:
     """item_id, window (its words joined by spaces), and each shingle of it: h, at (its first word), k, n (words)."""
     kind = items.select(id).schema[0].dataType
 
+    names = ["item_id", "window", "h", "at", "k", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            types = [b.column(0).type, pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+            def full(out: list[tuple], types=types) -> pa.RecordBatch:
+                columns = list(zip(*out, strict=True)) or [[]] * 6
+                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
             out = []
             for item, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = Words(t, ALNUM)
@@ -44,14 +54,14 @@ def _windows(items: DataFrame, size: int, id: str, text: str) -> DataFrame:
                 if not n:
                     continue
                 k = min(SHINGLE, n)
-                h = w.shingles(k).view(np.int64).tolist()
+                h = w.shingles(k).view(np.int64)
                 for first in range(len(w) - n + 1):
                     window = w.text(first, first + n)
-                    out += [(item, window, h[first + at], at, k, n) for at in range(n - k + 1)]
-            names = ["item_id", "window", "h", "at", "k", "n"]
-            types = [b.column(0).type, pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+                    out += [(item, window, x, at, k, n) for at, x in enumerate(h[first : first + n - k + 1].tolist())]
+                    if len(out) >= ROWS_A_BATCH:
+                        yield full(out)
+                        out = []
+            yield full(out)
 
     rows = items.select(F.col(id).alias("item_id"), F.col(text).alias("_text"))
     return rows.mapInArrow(run, f"item_id {kind.simpleString()}, window string, h long, at int, k int, n int")

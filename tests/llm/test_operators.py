@@ -153,6 +153,15 @@ def test_components(spark):
 ITEMS = [(1, BASE), (2, None), (3, ""), (4, "one two"), (5, "!!!"), (6, "Seven grey GEESE watch, from a cold pond near the old stone mill"), (6, "one two"), (7, "one two"), (8, "é日本 ünï")]
 
 
+def test_decontamination_by_an_item_of_several_batches(spark):
+    """The item has more rows of shingles than are held at a time; its first, middle and last windows are found."""
+    words = [f"w{i}" for i in range(5000)]
+    items = spark.createDataFrame([("long", " ".join(words))], "item_id string, text string")
+    docs = spark.createDataFrame([(i, "x " + " ".join(words[at : at + 10]) + " y") for i, at in enumerate((0, 2500, 3333, 4990))] + [(4, " ".join(words[4991:]))], "doc_id long, text string")
+    got = {r.doc_id: (r.hits, r["items"]) for r in find_windows(docs, items).collect()}
+    assert got == {**{i: (list(range(1, 11)), ["long"]) for i in range(4)}, 4: ([], [])}
+
+
 def test_decontamination_on_edges(spark, edge, empty):
     items = spark.createDataFrame([(*r, 1) for r in ITEMS], "item_id long, text string, h long")
     got = find_windows(edge.unionByName(edge.filter("doc_id = 8")), items).collect()
