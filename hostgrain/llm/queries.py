@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import cut, scratch, table
 from .decontam import find_windows, item_digest
 from .langid import held_out, identify_language, train_language_net
 from .linededup import drop_recurring_lines
@@ -17,6 +17,7 @@ from .secrets import RULES, joined_spans, scan_into
 from .sharding import shard_documents
 from .tokencount import count_tokens
 from .urlfilter import match_urls, rules_frame
+from .vectorcodes import compress_vectors, digest as codebooks_digest, with_group_error
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -198,6 +199,43 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = compress_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), keep=("label",))
+    out = with_group_error(cut(coded), "label")
+    return out.select("vec_id", "code", "error", "label_error", F.lit(codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def _op13_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    nearest = """
+a{i} AS MATERIALIZED (
+  SELECT id, p.q, any_value(p.s) AS s, min(struct_pack(d := list_sum(list_transform(list_zip(p.s, c.s), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, e := c.e)) AS b
+  FROM p JOIN c{i} c ON p.q = c.q GROUP BY id, p.q)"""
+    average = """
+c{j} AS MATERIALIZED (
+  SELECT c.q, c.e, coalesce(m.s, c.s) AS s
+  FROM c{i} c LEFT JOIN (
+    SELECT q, e, list(floor(total::DOUBLE / n)::BIGINT ORDER BY i) AS s
+    FROM (SELECT q, b.e AS e, i, sum(s[i]) AS total, count(*) AS n FROM a{i}, w, range(1, w.w + 1) AS r(i) GROUP BY ALL) GROUP BY q, e) m
+  ON c.q = m.q AND c.e = m.e)"""
+    steps = [(nearest + "," + average).format(i=i, j=i + 1) for i in range(rounds)] + [nearest.format(i=rounds)]
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+w AS (SELECT max(len(v)) // {parts} AS w FROM k),
+p AS MATERIALIZED (SELECT id, q, v[q * w + 1 : q * w + w] AS s FROM k, w, range({parts}) AS r(q)),
+c0 AS MATERIALIZED (SELECT q, id - 1 AS e, s FROM p WHERE id <= {entries}),
+{",".join(steps)},
+f AS (SELECT id, string_agg(printf('%02x', b.e), '' ORDER BY q) AS code, sum(b.d)::BIGINT AS error FROM a{rounds} GROUP BY id)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY q, e)) FROM c{rounds}) AS codebooks_sha256
+FROM f JOIN k ON f.id = k.id
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_near_duplicates": op2_near_duplicates,
@@ -209,5 +247,6 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_source_mix": op9_source_mix,
     "op10_language": op10_language,
+    "op13_vector_codes": op13_vector_codes,
 }
-ORACLE = {"op1_url_filter": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_source_mix": OP9_SQL}
+ORACLE = {"op1_url_filter": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_source_mix": OP9_SQL, "op13_vector_codes": OP13_SQL}
