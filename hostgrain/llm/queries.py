@@ -15,6 +15,7 @@ from .mixing import fair_mix
 from .neardup import near_duplicates
 from .secrets import RULES, joined_spans, scan_into
 from .sharding import shard_documents
+from .spelling import damaged_words, group_variants, vocabulary
 from .tokencount import count_tokens
 from .urlfilter import match_urls, rules_frame
 from .vectorcodes import compress_vectors, digest as codebooks_digest, with_group_error
@@ -199,6 +200,41 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_variants(vocabulary(damaged_words(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+#: CRC-32 byte by byte: the table's entry of a byte is the sum of those of its bits.
+_CRC_BITS = [0x77073096, 0xEE0E612C, 0x076DC419, 0x0EDB8832, 0x1DB71064, 0x3B6E20C8, 0x76DC4190, 0xEDB88320]
+_CRC_STEP = "c >> 8"
+for _i, _v in enumerate(_CRC_BITS):
+    _CRC_STEP = f"xor({_CRC_STEP}, ((xor(c, b) >> {_i}) & 1) * {_v})"
+OP12_SQL = rf"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) WHERE length(run) >= 7),
+d AS (SELECT doc_id, run, count(*) AS times FROM r GROUP BY ALL),
+y AS (
+  SELECT *, list_prepend(4294967295::BIGINT, list_concat(
+    list_transform(string_split(doc_id::VARCHAR || ':', ''), lambda x: unicode(x)::BIGINT),
+    flatten(list_transform(string_split(run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6)::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END)))) AS b
+  FROM d),
+h AS (SELECT run, times, xor(list_reduce(b, lambda c, b: {_CRC_STEP}), 4294967295::BIGINT) AS h, length(run) AS n FROM y),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, (h % n)::BIGINT) || substr(run, (h % n)::BIGINT + 2) ELSE run END AS word, times FROM h),
+v AS MATERIALIZED (SELECT word, sum(times)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+x AS MATERIALIZED (SELECT word, i, left(word, i) || substr(word, i + 2) AS less FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+p AS (
+  SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, v.word FROM x JOIN v ON x.less = v.word
+  UNION SELECT v.word, x.word FROM x JOIN v ON x.less = v.word),
+g AS (SELECT a, count(*) AS n_near, max(v.n) AS most, arg_min(b, struct_pack(n := -v.n, b := encode(b))) AS best FROM p JOIN v ON p.b = v.word GROUP BY a),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN best END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n FROM v LEFT JOIN g ON word = a),
+t(word, reached) AS (SELECT word, word FROM f UNION ALL SELECT t.word, f.form FROM t JOIN f ON t.reached = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.reached AS root, f.n, f.n_near, f.form_n
+FROM f JOIN t ON f.word = t.word JOIN f e ON t.reached = e.word WHERE e.form IS NULL
+"""
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = compress_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), keep=("label",))
     out = with_group_error(cut(coded), "label")
@@ -247,6 +283,7 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_source_mix": op9_source_mix,
     "op10_language": op10_language,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_vector_codes": op13_vector_codes,
 }
-ORACLE = {"op1_url_filter": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_source_mix": OP9_SQL, "op13_vector_codes": OP13_SQL}
+ORACLE = {"op1_url_filter": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_line_dedup": OP4_SQL, "op9_source_mix": OP9_SQL, "op12_spelling_variants": OP12_SQL, "op13_vector_codes": OP13_SQL}
