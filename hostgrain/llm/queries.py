@@ -17,6 +17,7 @@ from .secrets import RULES, joined_spans, scan_into
 from .sharding import shard_documents
 from .spelling import damaged_words, group_variants, vocabulary
 from .tokencount import count_tokens
+from .toxicity import held_out as toxicity_held_out, score_toxicity, train_toxicity
 from .urlfilter import match_urls, rules_frame
 from .vectorcodes import compress_vectors, digest as codebooks_digest, with_group_error
 
@@ -200,6 +201,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity_held_out("doc_id"))
+    out = score_toxicity(docs, train_toxicity(docs, labels))
+    return out.select("doc_id", toxicity_held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_variants(vocabulary(damaged_words(table(spark, sf_dir, "documents").select("doc_id", "text"))))
 
@@ -283,6 +291,7 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_source_mix": op9_source_mix,
     "op10_language": op10_language,
+    "op11_toxicity": op11_toxicity,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_vector_codes": op13_vector_codes,
 }
