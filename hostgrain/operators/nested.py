@@ -61,35 +61,96 @@ def _union_of_levels(levels: list[DataFrame], level: DataFrame, depth: int) -> l
     return [*levels[:-STRETCH], cut(reduce(DataFrame.unionByName, levels[-STRETCH:]))] if depth % STRETCH == STRETCH - 1 else levels
 
 
-def tree_paths(nodes: DataFrame, keys: list[str], id: str, parent: str, name: str, separator: str = "\\") -> DataFrame:
-    """``path``, ``depth`` and ``root`` of every node. Roots are nodes whose parent isn't there, or is themselves. Walks
-    down level by level, each level a join with the one above, until a level is empty; each level is written out, so
-    the plan doesn't grow and a lost executor costs one level. A walk that comes to an id again, as reused ids make it,
-    goes no further below it. Nodes that no root reaches, those of cycles and what hangs on them, are rows with their
-    own name as path, without depth and root."""
+def _from_roots(n: DataFrame, keys: list[str], separator: str, inherit: tuple[str, ...]) -> DataFrame:
+    """Paths by a walk down from the roots, level by level: for trees in which an id is on several rows, whose walks may meet
+    an id again and then end."""
     from .store import cut
 
-    n = nodes.select(*keys, F.col(id).alias("_id"), F.col(parent).alias("_parent"), F.col(name).cast("string").alias("_name"))
     known = n.select(*keys, F.col("_id").alias("_parent")).distinct()
     own = n.filter(F.col("_id").eqNullSafe(F.col("_parent")))
     inner = n.filter(~F.col("_id").eqNullSafe(F.col("_parent")))
     orphans = inner.join(known, [*keys, "_parent"], "left_anti")
-    level = own.unionByName(orphans).select(*keys, "_id", F.col("_name").alias("path"), F.lit(0).alias("depth"), F.col("_id").alias("root"), F.array("_id").alias("_seen"), F.lit(False).alias("_again"))
+    level = own.unionByName(orphans).select(
+        *keys, "_id", F.col("_name").alias("path"), F.lit(0).alias("depth"), F.col("_id").alias("root"),
+        *inherit, *(F.lit(False).alias(f"{c}_above") for c in inherit), F.array("_id").alias("_seen"), F.lit(False).alias("_again"))
     levels, depth = [], 0
     while True:
         level = cut(level)
         if not level.take(1):
             break
-        levels = _union_of_levels(levels, level.drop("_seen", "_again"), depth)
+        levels = _union_of_levels(levels, level.drop("_seen", "_again", *inherit), depth)
         depth += 1
-        up = level.filter("NOT _again").select(*keys, F.col("_id").alias("_parent"), F.col("path").alias("_above"), "root", "_seen")
+        up = level.filter("NOT _again").select(*keys, F.col("_id").alias("_parent"), F.col("path").alias("_above"), "root", "_seen", *((F.col(c) | F.col(f"{c}_above")).alias(f"{c}_above") for c in inherit))
         again = F.coalesce(F.array_contains("_seen", F.col("_id")), F.lit(False))
-        level = inner.join(up, [*keys, "_parent"]).select(*keys, "_id", F.concat_ws(separator, "_above", "_name").alias("path"), F.lit(depth).alias("depth"), "root", F.array_append("_seen", F.col("_id")).alias("_seen"), again.alias("_again"))
-    out = reduce(DataFrame.unionByName, levels) if levels else level.drop("_seen", "_again")
+        level = inner.join(up, [*keys, "_parent"]).select(
+            *keys, "_id", F.concat_ws(separator, "_above", "_name").alias("path"), F.lit(depth).alias("depth"), "root",
+            *inherit, *(f"{c}_above" for c in inherit), F.array_append("_seen", F.col("_id")).alias("_seen"), again.alias("_again"))
+    out = reduce(DataFrame.unionByName, levels) if levels else level.drop("_seen", "_again", *inherit)
     reached = out.select(*keys, F.col("_id").alias("_parent")).distinct()
     rest = inner.join(known, [*keys, "_parent"], "left_semi").join(reached, [*keys, "_parent"], "left_anti")
-    rest = rest.select(*keys, "_id", F.col("_name").alias("path"), F.lit(None).cast("int").alias("depth"), F.when(F.lit(False), F.col("_id")).alias("root"))
-    return out.unionByName(rest).withColumnRenamed("_id", id)
+    return out.unionByName(_unreached(rest, keys, inherit))
+
+
+def _unreached(n: DataFrame, keys: list[str], inherit: tuple[str, ...]) -> DataFrame:
+    return n.select(
+        *keys, "_id", F.col("_name").alias("path"), F.lit(None).cast("int").alias("depth"), F.when(F.lit(False), F.col("_id")).alias("root"),
+        *(F.lit(None).cast("boolean").alias(f"{c}_above") for c in inherit))
+
+
+def _by_doubling(n: DataFrame, keys: list[str], separator: str, inherit: tuple[str, ...]) -> DataFrame:
+    """Paths where ids are unique. Every node points up to an ancestor and knows the path from below it. A round joins
+    each with the node it points to and takes over that one's pointer, so that the way covered doubles: a tree of depth d
+    takes log2(d) + 1 rounds. In any round but the last some node reaches its root unless all that are left hang on cycles,
+    since one twice as deep has an ancestor half as deep."""
+    from .skew import join_to_one
+    from .store import cut
+
+    size, on = n.count(), [*keys, "_up"]
+    ids = n.select(*keys, F.col("_id").alias("_parent"), F.lit(True).alias("_there"))
+    start = join_to_one(n, ids, [*keys, "_parent"], size, "left")
+    top = F.col("_there").isNull() | F.col("_id").eqNullSafe(F.col("_parent"))
+    ways = cut(start.select(
+        *keys, "_id", "_name", F.when(~top, F.col("_parent")).alias("_up"), F.col("_name").alias("path"), F.lit(0).alias("depth"), F.when(top, F.col("_id")).alias("root"),
+        top.alias("_done"), *inherit, *(F.lit(False).alias(f"{c}_above") for c in inherit)))
+    done, left = [ways.filter("_done")], ways.filter("NOT _done").count()
+    while left:
+        open_ = ways.filter("NOT _done").drop("root")
+        ahead = ways.select(
+            *keys, F.col("_id").alias("_up"), F.col("_up").alias("_next"), F.col("path").alias("_before"), F.col("depth").alias("_more"), "root", F.col("_done").alias("_ends"),
+            *((F.col(c) | F.col(f"{c}_above")).alias(f"_{c}_far") for c in inherit))
+        joined = join_to_one(open_, ahead, on, left)
+        joined = joined.select(
+            *keys, "_id", "_name", F.col("_next").alias("_up"), F.concat_ws(separator, "_before", "path").alias("path"), (F.col("depth") + F.col("_more") + 1).alias("depth"), "root",
+            F.col("_ends").alias("_done"), *inherit, *((F.col(f"{c}_above") | F.col(f"_{c}_far")).alias(f"{c}_above") for c in inherit))
+        joined = cut(joined)
+        done.append(joined.filter("_done"))
+        still = joined.filter("NOT _done").count()
+        if still == left:
+            break
+        # Nodes at their root stay where others may still point to them.
+        ways, left = reduce(DataFrame.unionByName, done).unionByName(joined.filter("NOT _done")), still
+    out = reduce(DataFrame.unionByName, done).select(*keys, "_id", "path", "depth", "root", *(f"{c}_above" for c in inherit))
+    return out.unionByName(_unreached(joined.filter("NOT _done"), keys, inherit)) if left else out
+
+
+def tree_paths(nodes: DataFrame, keys: list[str], id: str, parent: str, name: str, separator: str = "\\", inherit: tuple[str, ...] = ()) -> DataFrame:
+    """``path``, ``depth`` and ``root`` of every node. Roots are nodes whose parent isn't there, or is themselves. Trees whose
+    ids are unique are folded in as many rounds as their depth has binary digits; those of keys with an id on several
+    rows, as reused ids make it, are walked level by level. A walk that comes to an id again goes no further below it.
+    Nodes that no root reaches, those of cycles and what hangs on them, are rows with their own name as path, without depth and root.
+
+    inherit: boolean columns (null counts as false); ``<column>_above`` says whether any node above has it, null where there is no root.
+    What rounds leave is written out, so plans don't grow and a lost executor costs one round."""
+    n = nodes.select(*keys, F.col(id).alias("_id"), F.col(parent).alias("_parent"), F.col(name).cast("string").alias("_name"), *(F.coalesce(c, F.lit(False)).alias(c) for c in inherit))
+    twice = n.groupBy(*keys, "_id").agg(F.count("*").alias("_rows")).filter("_rows > 1").select(*keys).distinct()
+    if not twice.take(1):
+        out = _by_doubling(n, keys, separator, inherit)
+    elif not keys:
+        out = _from_roots(n, keys, separator, inherit)
+    else:
+        apart = _from_roots(n.join(twice, keys, "left_semi"), keys, separator, inherit)
+        out = apart.unionByName(_by_doubling(n.join(twice, keys, "left_anti"), keys, separator, inherit))
+    return out.withColumnRenamed("_id", id)
 
 
 def folder_paths(items: DataFrame, folders: DataFrame, keys: list[str], folder: str, name: str, id: str = "id", parent: str = "parent", label: str = "label", out: str = "path", separator: str = "\\") -> DataFrame:
