@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -165,16 +166,20 @@ def folder_paths(items: DataFrame, folders: DataFrame, keys: list[str], folder:
     return joined.drop("_folder", "_path", *(f"_{k}" for k in keys))
 
 
-def variant_tree(df: DataFrame, text: str, keys: list[str], children: str, fields: dict[str, str], id: str = "ID") -> DataFrame:
+def variant_tree(df: DataFrame, text: str, keys: list[str], children: str, fields: dict[str, str], id: str = "ID", position: str | None = None, inherit: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Nodes of a recursive JSON text: ``node_path`` (ids from the root), ``depth``, ``parent`` and the fields, given as
-    name to type. Level by level like tree_paths: no limit on the rows of a whole fleet, as recursive SQL has one. Texts
-    that aren't JSON give one node of nulls."""
+    name to type. Level by level: no limit on the rows of a whole fleet, as recursive SQL has one. Texts that aren't JSON
+    give one node of nulls. position: a column for a node's place among its siblings, null for roots. inherit: names and tests
+    of a node's variant; each is a column that says whether any node above passes."""
     from .store import cut
 
     def own(v: Column) -> Column:
         return F.try_variant_get(v, f"$.{id}", "string")
 
-    level = df.select(*keys, F.try_parse_json(text).alias("_v")).select(*keys, "_v", own(F.col("_v")).alias("node_path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
+    inherit, places = inherit or {}, [position] if position else []
+    level = df.select(*keys, F.try_parse_json(text).alias("_v")).select(
+        *keys, "_v", own(F.col("_v")).alias("node_path"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"),
+        *(F.lit(None).cast("int").alias(p) for p in places), *(F.lit(False).alias(c) for c in inherit))
     levels, depth = [], 0
     while True:
         level = cut(level)
@@ -182,10 +187,13 @@ def variant_tree(df: DataFrame, text: str, keys: list[str], children: str, field
             break
         levels = _union_of_levels(levels, level, depth)
         depth += 1
-        kids = F.explode(F.try_variant_get("_v", f"$.{children}", "array<variant>")).alias("_w")
-        level = level.select(*keys, "node_path", kids).select(*keys, F.col("_w").alias("_v"), F.concat_ws("/", "node_path", own(F.col("_w"))).alias("node_path"), F.lit(depth).alias("depth"), F.col("node_path").alias("parent"))
+        kids = F.posexplode(F.try_variant_get("_v", f"$.{children}", "array<variant>")).alias("_pos", "_w")
+        down = level.select(*keys, "node_path", *((F.col(c) | F.coalesce(test(F.col("_v")), F.lit(False))).alias(c) for c, test in inherit.items()), kids)
+        level = down.select(
+            *keys, F.col("_w").alias("_v"), F.concat_ws("/", "node_path", own(F.col("_w"))).alias("node_path"), F.lit(depth).alias("depth"), F.col("node_path").alias("parent"),
+            *(F.col("_pos").alias(p) for p in places), *inherit)
     out = reduce(DataFrame.unionByName, levels)
-    return out.select(*keys, "node_path", "depth", "parent", *(F.try_variant_get("_v", f"$.{f}", t).alias(f) for f, t in fields.items()))
+    return out.select(*keys, "node_path", "depth", "parent", *places, *inherit, *(F.try_variant_get("_v", f"$.{f}", t).alias(f) for f, t in fields.items()))
 
 
 def token_positions(text: Column, token: str) -> Column:

@@ -8,18 +8,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import decode as B
 from . import lookups as L
+from .nested import tree_paths
+from .store import cut
 from .tables import app_id
 
 # The keys below ComDlg32 that hold recent files and recent programs.
 MRU_SOURCES = ["OpenSavePidlMRU", "OpenSaveMRU"]
 MRU_APP_SOURCES = ["LastVisitedMRU", "LastVisitedPidlMRU", "LastVisitedPidlMRULegacy"]
 MRU_ORDER = "MRUListEx"
+#: The keys that hold bags; the first group is the source.
+BAG_KEYS = r"(?i)\\Shell\\(BagMRU)(?:\\[0-9]+)*$"
 #: The order's value that ends it.
 MRU_END = 0xFFFFFFFF
 
@@ -36,27 +40,29 @@ def mru_numbers(data: Column) -> Column:
     return F.when(F.octet_length(data) >= 4, listed)
 
 
-def items_of(df: DataFrame, blob: str, keys: list[str], out: str = "items") -> DataFrame:
-    """keys and the array of the shell items of each row's blob. One call a row: a list's items are few by nature of the
-    artefact. Of a damaged list, the items before the damage stay, and ``error`` says why."""
+def items_of(df: DataFrame, blob: str, keys: list[str], out: str = "items", inside: bool = False) -> DataFrame:
+    """keys, the array of the shell items of each row's blob, and ``archive``: whether any of them is an archive's file. One
+    call a row: a list's items are few by nature of the artefact. Of a damaged list, the items before the damage stay, and
+    ``error`` says why. inside: all lists are content of an archive."""
     fields = [f.split(":")[0] for f in ("type", "name", "size", "modified_fat", "attributes", "category", "guid", "blocks", "properties", "in_archive", "hex")]
 
     def parse(data: bytes) -> Iterator[dict]:
-        found, error = [], None
+        found, archive, error = [], False, None
         try:
-            for item in B.parse_shell_items(data, archives=True):
+            for item in B.parse_shell_items(data, archives=True, inside=inside):
                 found.append({f: item.get(f) for f in fields})
+                archive = archive or item["archive"]
         except ValueError as e:
             error = str(e)[:200]
-        yield {"_items": found, "_error": error}
+        yield {"_items": found, "_archive": archive, "_error": error}
 
-    d = B.decode(df, blob, keys, f"_items array<{_ITEM}>, _error string", parse)
-    return d.select(*keys, F.col("_items").alias(out), F.coalesce("_error", "error").alias("error"))
+    d = B.decode(df, blob, keys, f"_items array<{_ITEM}>, _archive boolean, _error string", parse)
+    return d.select(*keys, F.col("_items").alias(out), F.coalesce("_archive", F.lit(False)).alias("archive"), F.coalesce("_error", "error").alias("error"))
 
 
-def _listed(reg: DataFrame, pattern: str) -> DataFrame:
+def _listed(reg: DataFrame, pattern: str, how: str = "inner") -> DataFrame:
     """host, sid, source, the key's last group as ``extension``, its last write, and the value ``data`` of each number that the
-    key's order lists, with its rank. Numbers without a value are left out."""
+    key's order lists, with its rank. Numbers without a value are left out, or with how left have null data."""
     d = reg.filter(F.col("key_path").rlike(pattern) & (F.col("value_type") == "REG_BINARY"))
     d = d.select("host", "hive", "sid", "key_path", "value_name", "data", "key_last_write")
     key = ["host", "hive", "sid", "key_path"]
@@ -65,7 +71,7 @@ def _listed(reg: DataFrame, pattern: str) -> DataFrame:
     same = F.lit(True)
     for k in key:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-    out = order.join(values, same & (F.col("id") == F.col("_id"))).drop("_id", *(f"_{k}" for k in key))
+    out = order.join(values, same & (F.col("id") == F.col("_id")), how).drop("_id", *(f"_{k}" for k in key))
     return out.withColumns({"source": F.regexp_extract("key_path", pattern, 1), "extension": F.element_at(F.split("key_path", r"\\"), -1)})
 
 
@@ -87,6 +93,36 @@ def mru_apps_from_registry(reg: DataFrame, users: DataFrame) -> DataFrame:
     return L.sid_names(items_of(d, "data", keys), users).select("host", "id", "rank", "name", "sid", "sid_name", "source", "key_last_write", "items", "error")
 
 
+def shellbags_from_registry(reg: DataFrame, users: DataFrame) -> DataFrame:
+    """The tree of bags below ``BagMRU`` as rows: host, sid, sid_name, source, node_path (numbers from the root), id, parent
+    (its number, null for roots), depth (0 for roots), mru_pos (0 is the most recent of its key), key_last_write (of the key that lists it), in_archive, items, error.
+
+    A key lists its children by its order value; a number whose value is missing is a node without items, one without a key
+    of its own is a leaf, and what lies below a number that its key doesn't list is left out. A node is in an archive if any
+    node above holds an archive's file: then all its items are content of it. So the flag goes down the tree first, and
+    lists that get it are read again as content. Of one user's keys in several hives each hive is a tree."""
+    d = _listed(reg, BAG_KEYS, how="left")
+    number = F.col("id").cast("string")
+    hive = F.to_json(F.struct("host", "hive", "sid"))
+    d = cut(d.select("host", "sid", "source", "id", "rank", "key_last_write", "data", hive.alias("_tree"), F.lower("key_path").alias("_key"), F.concat(F.lower("key_path"), F.lit("\\"), number).alias("_own")))
+    # A number that an order repeats is one node, at its most recent place.
+    d = d.withColumn("_first", F.min("rank").over(Window.partitionBy("_tree", "_own"))).filter(F.col("rank") == F.col("_first")).drop("_first")
+    free = cut(items_of(d, "data", ["_tree", "_own"]))
+    nodes = d.select("_tree", "_own", "_key", "id").join(free.select("_tree", "_own", "archive"), ["_tree", "_own"], "left")
+    way = tree_paths(nodes, ["_tree"], "_own", "_key", "id", "/", inherit=("archive",))
+    # Below a number that isn't listed, a walk begins deeper than its key lies.
+    way = way.select("_tree", "_own", F.col("path").alias("node_path"), "depth", F.col("archive_above").alias("in_archive"))
+    rows = cut(d.join(way, ["_tree", "_own"]))
+    rows = rows.filter(F.col("depth") == F.size(F.split(F.regexp_extract("_key", r"\\bagmru((?:\\[0-9]+)*)$", 1), r"\\")) - 1)
+    own = ["host", "sid", "source", "node_path", "id", "depth", "rank", "key_last_write", "in_archive"]
+    content = items_of(rows.filter("in_archive"), "data", ["_tree", "_own"], inside=True).select("_tree", "_own", F.col("items").alias("_content"))
+    read = rows.select(*own, "_key", "_tree", "_own").join(free.select("_tree", "_own", "items", "error"), ["_tree", "_own"], "left").join(content, ["_tree", "_own"], "left")
+    read = read.withColumns({"items": F.coalesce("_content", "items"), "error": F.when(F.col("items").isNull(), F.coalesce("error", F.lit("no value"))).otherwise(F.col("error"))})
+    out = L.sid_names(read, users)
+    parent = F.regexp_extract("_key", r"\\bagmru(?:\\[0-9]+)*\\([0-9]+)$", 1).try_cast("bigint")
+    return out.select("host", "sid", "sid_name", "source", "node_path", "id", parent.alias("parent"), "depth", F.col("rank").alias("mru_pos"), "key_last_write", "in_archive", "items", "error")
+
+
 def _link(at: str, ticks_of_file: Column | None = None) -> dict[str, Column]:
     """The columns of a link's row from those of decode_lnk() in the struct or row named at (``""``: the row's own)."""
     c = lambda name: F.col(f"{at}.{name}" if at else name)

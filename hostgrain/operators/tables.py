@@ -216,20 +216,25 @@ def _is_archive_item(item: Column) -> Column:
 
 
 def shell_items(df: DataFrame, column: str = "items") -> DataFrame:
-    """One row per item: ``pos``, ``item_type``, ``name`` and ``in_archive`` (an archive comes earlier in the list)."""
+    """One row per item: ``pos``, ``item_type``, ``name`` and ``in_archive``: an archive comes earlier in the list, or the row
+    has the flag from the nodes above it, as build_shellbags() gives it."""
+    above = F.coalesce("in_archive", F.lit(False)) if "in_archive" in df.columns else F.lit(False)
     d = df.withColumn("_items", F.col(column).cast("array<variant>"))
-    before = F.transform(F.col("_items"), lambda x, i: F.exists(F.slice("_items", F.lit(1), i), _is_archive_item))
-    d = d.withColumn("_before", before)
-    rows = d.select(*df.columns, F.posexplode(F.arrays_zip("_items", "_before")).alias("pos", "_z"))
-    item = F.col("_z._items")
-    return rows.select(*(c for c in df.columns if c != column), "pos", F.try_variant_get(item, "$.Type", "string").alias("item_type"), F.try_variant_get(item, "$.Name", "string").alias("name"), F.col("_z._before").alias("in_archive"))
+    d = d.withColumns({"_first": F.array_position(F.transform("_items", _is_archive_item), True), "_above": above})
+    own = [c for c in df.columns if c not in (column, "in_archive")]
+    rows = d.select(*own, "_first", "_above", F.posexplode("_items").alias("pos", "_i"))
+    after = F.col("_above") | ((F.col("_first") > 0) & (F.col("pos") >= F.col("_first")))
+    return rows.select(*own, "pos", F.try_variant_get("_i", "$.Type", "string").alias("item_type"), F.try_variant_get("_i", "$.Name", "string").alias("name"), after.alias("in_archive"))
 
 
 def build_shellbags(b: DataFrame) -> DataFrame:
-    """The recursive bags as rows: node_path, depth, parent, and each node's own values."""
+    """The recursive bags as rows: node_path, depth, parent, mru_pos (place in its parent's list, whose order is that of use; null
+    for roots), in_archive (a node above holds an archive), and each node's own values."""
     d = b.select("host", F.col("SID").alias("sid"), F.to_json(F.struct("ID", "Parent", "Source", "LastWriteTime", "LastWriteTimeUtc", "ShellItems", "Childs")).alias("j"))
-    t = N.variant_tree(d, "j", ["host", "sid"], "Childs", {"ID": "bigint", "Source": "string", "LastWriteTime": "string", "LastWriteTimeUtc": "string", "ShellItems": "variant"})
-    return t.select("host", "sid", F.col("Source").alias("source"), "node_path", F.col("ID").alias("id"), "parent", "depth", instant("shellbags", "LastWriteTime").alias("key_last_write"), F.col("ShellItems").alias("items"))
+    holds = lambda v: F.exists(F.try_variant_get(v, "$.ShellItems", "array<variant>"), _is_archive_item)
+    fields = {"ID": "bigint", "Source": "string", "LastWriteTime": "string", "LastWriteTimeUtc": "string", "ShellItems": "variant"}
+    t = N.variant_tree(d, "j", ["host", "sid"], "Childs", fields, position="mru_pos", inherit={"in_archive": holds})
+    return t.select("host", "sid", F.col("Source").alias("source"), "node_path", F.col("ID").alias("id"), "parent", "depth", "mru_pos", instant("shellbags", "LastWriteTime").alias("key_last_write"), "in_archive", F.col("ShellItems").alias("items"))
 
 
 def mru_positions(order: Column) -> Column:

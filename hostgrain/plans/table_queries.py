@@ -237,6 +237,32 @@ def t19_shellbags(spark, sf):
     return out.filter("depth > 0").unionByName(out.filter("depth = 0").distinct())
 
 
+@query(r"""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey // 10 AS up, p_partkey % 7 = 0 AS zip, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey DESC) - 1 AS pos FROM part),
+t AS (
+  SELECT id, up, zip, pos, id::VARCHAR AS node_path, 0 AS depth, false AS in_archive FROM p WHERE up = 0
+  UNION ALL SELECT p.id, p.up, p.zip, p.pos, t.node_path || '/' || p.id, t.depth + 1, t.in_archive OR t.zip FROM p JOIN t ON p.up = t.id AND p.up > 0)
+SELECT id, nullif(up, 0) AS parent, node_path, depth, pos::INTEGER AS mru_pos, in_archive, CASE WHEN in_archive THEN 'ArchiveContent' ELSE 'FileEntry' END AS item_type, CASE WHEN in_archive THEN '' WHEN zip THEN id || '.zip' ELSE id || '.d' END AS name FROM t""")
+def t19_shellbags_registry(spark, sf):
+    """Parts as bags, a key for each part below that of a tenth of it; orders list the latest number first. Names that end in .zip make
+    content of all that lies below."""
+    from ..operators import raw_tables as R
+
+    number = F.col("p_partkey").cast("string")
+    above = F.array_join(F.transform(F.sequence(F.lit(1), F.length(number)), lambda i: F.concat(F.lit("\\"), F.substring(number, F.lit(1), i - 1))), "")
+    key = F.concat(F.lit("Local Settings\\Software\\Microsoft\\Windows\\Shell\\BagMRU"), F.substring(above, F.lit(2), F.length(above)))
+    d = table(spark, sf, "part").select("p_partkey", key.alias("key_path"))
+    name = F.encode(F.concat(number, F.when(F.col("p_partkey") % 7 == 0, ".zip").otherwise(".d"), F.lit("\0")), "US-ASCII")
+    item = F.concat(S.le_bytes(F.octet_length(name) + 14, 2), F.lit(b"\x32\x00"), F.lit(bytes(10)), name, F.lit(bytes(2)))
+    own = [F.lit("h").alias("host"), F.lit("usrclass").alias("hive"), F.lit("S-1-5-21-1").alias("sid"), "key_path"]
+    values = d.select(*own, number.alias("value_name"), F.lit("REG_BINARY").alias("value_type"), item.alias("data"))
+    numbers = N.gather(d.select("key_path", (-F.col("p_partkey")).alias("back"), F.hex(S.le_bytes(F.col("p_partkey"), 4)).alias("x")), ["key_path"], "back", ["x"], "c")
+    order = numbers.select(*own, F.lit(R.MRU_ORDER).alias("value_name"), F.lit("REG_BINARY").alias("value_type"), F.unhex(F.concat(F.array_join(F.transform("c", lambda c: c["x"]), ""), F.lit("FFFFFFFF"))).alias("data"))
+    reg = values.unionByName(order).withColumn("key_last_write", F.lit(None).cast("timestamp"))
+    out = R.shellbags_from_registry(reg, _users(spark, sf))
+    first = F.get("items", F.lit(0))
+    return out.select("id", "parent", "node_path", "depth", "mru_pos", "in_archive", first["type"].alias("item_type"), F.coalesce(first["name"], F.lit("")).alias("name"))
+
+
 @query("""WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) - 1 AS rank FROM events),
 s AS (SELECT user_id, min(rank) FILTER (event_type = 'error') AS stop FROM r GROUP BY user_id)
 SELECT r.user_id, r.event_id, r.rank::INTEGER AS rank FROM r JOIN s USING (user_id) WHERE stop IS NULL OR rank < stop""")
