@@ -38,6 +38,8 @@ LEXICON = (
 ).split()
 #: Bound of the sample: families of near copies of each label, or of unlabelled texts where nothing is labelled.
 PER_LABEL = 4000
+#: So many times as many labelled ids are drawn, to be one family or another.
+CANDIDATES = 4
 #: At most so many mined voters, and features of the classifier.
 VOTERS, FEATURES = 256, 1024
 #: A mined voter fires in VOTER_FAMILIES toxic families or more, VOTER_RATIO times as often as in others, and by so many standard errors.
@@ -49,6 +51,8 @@ TIMES, DENSITIES = (2, 4), (0.4, 0.8, 1.6)
 #: Correlations of voters below this count as none.
 CORRELATED = 0.1
 DIGITS = 6
+#: What a word of the lexicon weighs where the sample says nothing about it: two of them make a text toxic.
+LEXICON_WEIGHT = 2.0
 #: Texts whose features are sent on together.
 AT_ONCE = 64
 
@@ -97,7 +101,7 @@ class LabelModel:
     def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
         """Of each row the chance of class 1. given: 0, 1, or NaN where nothing is given. Who abstains says nothing, but for all abstaining together."""
         yes, no = np.log(self.fires[1] / self.fires[0]), np.log((1 - self.fires[1]) / (1 - self.fires[0]))
-        z = math.log(self.prior / (1 - self.prior)) + votes @ (self.share * (yes - no)) + (self.share * no).sum()
+        z = math.log(self.prior / (1 - self.prior)) + votes @ (self.share * (yes - no)).astype(votes.dtype) + (self.share * no).sum()
         one, zero = np.log(self.given[1] / self.given[0]), np.log((1 - self.given[1]) / (1 - self.given[0]))
         z = z + np.where(np.isnan(given), 0, np.where(given == 1, one, zero))
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
@@ -108,7 +112,7 @@ class LabelModel:
         for _ in range(rounds):
             weight = np.stack([1 - q, q])
             size = weight.sum(1, keepdims=True)
-            self.fires = np.clip((weight @ votes + 0.1) / (size + 1), 1e-4, 1 - 1e-4)
+            self.fires = np.clip((weight.astype(votes.dtype) @ votes + 0.1) / (size + 1), 1e-4, 1 - 1e-4)
             self.fires[1] = np.maximum(self.fires[1], self.fires[0])  # no voter is worse than chance
             self.prior = float(np.clip((q.sum() + 1) / (len(q) + 2), 0.01, 0.99))
             if known.any():
@@ -120,8 +124,8 @@ class LabelModel:
 
     def dependence(self, votes: np.ndarray, q: np.ndarray) -> np.ndarray:
         """For each voter, the sum of its correlations with others that the class leaves unexplained."""
-        left = votes - (np.outer(1 - q, self.fires[0]) + np.outer(q, self.fires[1]))
-        cov = left.T @ left
+        left = votes - np.stack([1 - q, q], 1).astype(votes.dtype) @ self.fires.astype(votes.dtype)
+        cov = (left.T @ left).astype(float)
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         corr = cov / np.outer(scale, scale)
         np.fill_diagonal(corr, 0)
@@ -139,15 +143,18 @@ class ToxicityModel:
         return round(1 / (1 + math.exp(-max(-50.0, min(50.0, z)))), DIGITS)
 
 
-def fit_linear(x: np.ndarray, q: np.ndarray, rounds: int = 300, rate: float = 0.05, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Adam over all rows; both classes weigh the same in total."""
-    w, b = np.zeros(x.shape[1]), 0.0
+def fit_linear(x: np.ndarray, q: np.ndarray, expected: np.ndarray | float = 0.0, rounds: int = 400, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by Adam over all rows; both classes weigh the same in total. ridge pulls weights to
+    those that are expected."""
+    w, b = np.zeros(x.shape[1]) + expected, 0.0
+    expected = w
     weight = q / max(q.sum(), 1e-9) + (1 - q) / max((1 - q).sum(), 1e-9)
     weight = weight / weight.sum()
     m = v = np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -50, 50)))
-        g = np.append(x.T @ (weight * (p - q)) + ridge * w, (weight * (p - q)).sum())
+        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(x.dtype) + b, -50, 50)))
+        off = weight * (p - q)
+        g = np.append(off.astype(x.dtype) @ x + ridge * (w - expected), off.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -159,42 +166,44 @@ def held_out(id: str) -> Column:
     return F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _sample(rows: DataFrame, per_label: int) -> DataFrame:
-    """_label, _text: one of each family of near copies, at most per_label families of each label, chosen by hash."""
+def _sample(docs: DataFrame, given: DataFrame, per_label: int) -> DataFrame:
+    """_label, _key, _text: one of each family of near copies, at most per_label families of each label. docs: _id, _text; given:
+    _id, _label. Ids are drawn first, CANDIDATES times as many, by hash: what moves of the labelled texts is bounded."""
 
     def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [int(s.min().astype(np.int64)) if len(s := shingle_set(t, 3)) else 0 for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], ["_label", "_h", "_family"])
 
-    h = F.xxhash64(F.lit("toxicity"), "_text")
-    rows = rows.filter(F.col("_text").isNotNull()).select("_label", h.alias("_h"), "_text")
-    found = rows.mapInArrow(families, "_label int, _h long, _family long")
-    one = cut(found.groupBy("_label", "_family").agg(F.min("_h").alias("_h")))
-    picked = None
-    for label in one.select("_label").distinct().collect():  # 0, 1 or null
-        of = one.filter(F.col("_label").eqNullSafe(F.lit(label._label).cast("int"))).select("_label", "_h").orderBy("_h", "_family").limit(per_label)
-        picked = of if picked is None else picked.unionByName(of)
-    if picked is None:
-        return rows.drop("_h")
-    picked = cut(picked.distinct())  # per_label rows a label at most
-    there = rows["_h"] == picked["_h"]
-    texts = rows.join(F.broadcast(picked), there & rows["_label"].eqNullSafe(picked["_label"]), "left_semi")
-    return texts.dropDuplicates(["_label", "_h"]).drop("_h")
+    def first(rows: DataFrame, n: int, *order: str) -> DataFrame:
+        """n rows of each label, in the order given."""
+        out = None
+        for r in rows.select("_label").distinct().collect():  # 0, 1 or null
+            of = rows.filter(F.col("_label").eqNullSafe(F.lit(r._label).cast("int"))).orderBy(*order).limit(n)
+            out = of if out is None else out.unionByName(of)
+        return rows.limit(0) if out is None else out
+
+    drawn = first(cut(given.filter("_id IS NOT NULL").distinct().withColumn("_draw", F.xxhash64(F.lit("toxicity"), "_id"))), CANDIDATES * per_label, "_draw", "_id")
+    drawn = cut(drawn.select("_id", "_label"))
+    key = F.xxhash64("_label", "_text").alias("_key")
+    rows = docs.filter(F.col("_text").isNotNull()).join(F.broadcast(drawn), "_id")
+    found = rows.select("_label", key, "_text").mapInArrow(families, "_label int, _h long, _family long")
+    one = cut(found.groupBy("_label", "_family").agg(F.min("_h").alias("_key")))
+    picked = cut(first(one, per_label, "_key").select("_key").distinct())  # per_label rows a label at most
+    return rows.select("_label", key, "_text").join(F.broadcast(picked), "_key", "left_semi").dropDuplicates(["_key"])
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame | None, per_label: int = PER_LABEL, id: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """Fits the label model and the classifier. labels: id and a label that is 0 or 1 (other rows teach nothing; give only those that may).
-    Where there are none, classes are estimated from how the lexicon's voters agree on a sample of docs. Without any text the classifier is
-    the lexicon alone."""
+    Where there are none, classes are estimated from how the lexicon's voters agree on a sample of docs with an id. Without any text the
+    classifier is the lexicon alone."""
     rows = docs.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    known = None
+    given = None
     if labels is not None:
         given = labels.filter(F.col(label).isin(0, 1)).select(F.col(id).alias("_id"), F.col(label).cast("int").alias("_label"))
-        known = rows.join(given, "_id")
-    if known is None or not known.take(1):
-        known = rows.withColumn("_label", F.lit(None).cast("int"))
-    sample = cut(_sample(known.select("_label", "_text"), per_label))
+    if given is None or not given.take(1):
+        given = rows.select("_id", F.lit(None).cast("int").alias("_label"))
+    sample = cut(_sample(rows, given, per_label))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -204,32 +213,31 @@ def train_toxicity(docs: DataFrame, labels: DataFrame | None, per_label: int = P
                 times = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
                 yield pa.RecordBatch.from_arrays([some.column(0).take(times), some.column(1).take(times), pa.array([x for f in found for x in f], pa.string())], ["_label", "_key", "feature"])
 
-    keyed = cut(sample.select("_label", F.xxhash64("_label", "_text").alias("_key"), "_text"))
-    held = cut(keyed.mapInArrow(spread, "_label int, _key long, feature string"))
-    keys = keyed.select("_key", "_label").distinct().toPandas().sort_values("_key")  # the sample's rows
-    size = {c: max(1, int((keys["_label"] == c).sum())) for c in (0, 1)}
+    held = cut(sample.select("_label", "_key", "_text").mapInArrow(spread, "_label int, _key long, feature string"))
+    keys = sample.select("_key", "_label").toArrow().sort_by("_key")  # the sample's rows
+    said = keys["_label"].to_numpy(zero_copy_only=False).astype(float)
+    size = {c: max(1, int((said == c).sum())) for c in (0, 1)}
     toxic, clean = F.count(F.when(F.col("_label") == 1, 1)), F.count(F.when(F.col("_label") == 0, 1))
     counts = held.groupBy("feature").agg(toxic.alias("a"), clean.alias("b"))
     a, b = F.col("a") / size[1], F.col("b") / size[0]
     pooled = (F.col("a") + F.col("b")) / (size[0] + size[1])
     z = (a - b) / F.sqrt(pooled * (1 - pooled) * (1 / size[0] + 1 / size[1]) + 1e-12)
-    given = [p for p in ("p:capitals", "p:shout", "p:you are")] + ["w:" + w for w in LEXICON]
+    given_voters = ["p:capitals", "p:shout", "p:you are", *("w:" + w for w in LEXICON)]
     mined = counts.withColumn("z", z).filter(F.abs("z") >= FEATURE_Z).orderBy(F.abs("z").desc(), "feature").limit(FEATURES).collect()
     voters = [r.feature for r in mined if r.z >= VOTER_Z and r.a >= VOTER_FAMILIES and r.a / size[1] >= VOTER_RATIO * r.b / size[0]][:VOTERS]
-    voters += [f for f in given if f not in set(voters)]
+    voters += [f for f in given_voters if f not in set(voters)]
     names = voters + [r.feature for r in mined if r.feature not in set(voters)]
-    place = {f: i for i, f in enumerate(names)}
-    x = np.zeros((len(keys), len(names)), np.float32)
-    row = {k: i for i, k in enumerate(keys["_key"])}
-    got = held.join(F.broadcast(held.sparkSession.createDataFrame([(f,) for f in names], "feature string")), "feature").select("_key", "feature").toPandas()
-    x[[row[k] for k in got["_key"]], [place[f] for f in got["feature"]]] = 1
     if not len(keys):
-        return ToxicityModel({"w:" + w: 3.0 for w in LEXICON}, -2.0)
-    labels_given = keys["_label"].to_numpy(float, na_value=np.nan)
-    votes = x[:, : len(voters)].astype(float)
-    start = np.where(np.isnan(labels_given), np.where(votes.any(1), 0.9, 0.1), np.where(labels_given == 1, 0.95, 0.05))
-    q = LabelModel().fit(votes, labels_given, start)
-    w, bias = fit_linear(x, q)
+        return ToxicityModel({"w:" + w: 2 * LEXICON_WEIGHT for w in LEXICON}, -LEXICON_WEIGHT)
+    place = held.sparkSession.createDataFrame(list(enumerate(names)), "place int, feature string")
+    got = held.join(F.broadcast(place), "feature").select("_key", "place").toArrow()  # the sample's rows times the features at most
+    x = np.zeros((len(keys), len(names)), np.float32)
+    x[np.searchsorted(keys["_key"].to_numpy(), got["_key"].to_numpy()), got["place"].to_numpy()] = 1
+    votes = x[:, : len(voters)]
+    start = np.where(np.isnan(said), np.where(votes.any(1), 0.9, 0.1), np.where(said == 1, 0.95, 0.05))
+    q = LabelModel().fit(votes, said, start)
+    known = {"w:" + w for w in LEXICON}
+    w, bias = fit_linear(x, q, np.array([LEXICON_WEIGHT if f in known else 0.0 for f in names]))
     return ToxicityModel({f: float(v) for f, v in zip(names, w, strict=True) if abs(v) > 1e-6}, bias)
 
 
