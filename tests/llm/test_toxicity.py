@@ -104,7 +104,7 @@ def test_training_on_noisy_labels(spark):
     model = train_toxicity(docs.select("doc_id", "text"), docs.select("doc_id", "toxic").filter("doc_id % 5 > 0"))
     got = {r.doc_id: r for r in score_toxicity(docs, model, keep=("toxic",)).collect()}
     wrong = [(i, got[i].score) for i, _, _ in rows if got[i].predicted != (i % 4 == 0)]
-    assert len(wrong) <= len(rows) // 100, wrong  # the given labels are wrong four times as often
+    assert 2 * len(wrong) <= len(rows) // 25, wrong  # the given labels are wrong twice as often at least
     for i, t, x in rows[:60]:  # the score in plain terms
         z = model.bias + sum(model.weights.get(f, 0.0) for f in sorted(features_of(t)))
         assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 2e-6 and got[i].toxic == x
@@ -112,7 +112,7 @@ def test_training_on_noisy_labels(spark):
 
 
 def test_training_without_labels(spark):
-    rows = [(i, f"text {i} of some words " + (" ".join(LEXICON[i % 10 : i % 10 + 3]) if i % 5 == 0 else "and nothing bad"), None, None, None) for i in range(200)]
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(9)) + " " + (" ".join(LEXICON[(i // 5 * k + k * k) % 7] for k in (1, 2, 4, 5)) if i % 5 == 0 else "and nothing bad"), None, None, None) for i in range(200)]
     docs = spark.createDataFrame(rows, COLUMNS)
     for labels in (None, docs.select("doc_id", "toxic"), docs.limit(0).select("doc_id", "toxic")):
         model = train_toxicity(docs, labels)
