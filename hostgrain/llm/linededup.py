@@ -9,12 +9,14 @@ Frequent is meant in proportion: a line has to have a certain number of constant
 largest frequency that so many of its tokens reach. Tokens with less than half of that are fields. So a name that some
 lines share is still a field of a template that many more share, and a line that recurs as it stands has no fields.
 
-Everything is DataFrame operations, without Python in any task, and in proportion to the lines: what is counted first
-are hashes of whole quarters of lines. Lines that share a quarter with a different line of another text go on to be
-counted token by token, once for each distinct line, however often it occurs; any other line is its own template.
+Everything is DataFrame operations, without Python in any task, and in proportion to the lines. A line of n tokens may
+have one field for each FIELD_EVERY of them, f, besides tokens with digits. What is counted first are hashes of its
+f + 1 equal parts: two lines of one template differ at f places at most, and so agree in a whole part. Lines that share a part
+with a different line of another text go on to be counted token by token, once for each distinct line, however often it
+occurs; any other line is its own template.
 Documents of equal text count once, so that copies of a document don't make templates of all its lines.
 
-Templates and lines are told apart by two 64-bit hashes, 128 bits. Texts are told apart by 64 bits: that only matters
+Templates, lines and rows are told apart by two 64-bit hashes, 128 bits. Texts are told apart by 64 bits: that only matters
 between the texts of one template.
 """
 
@@ -27,8 +29,8 @@ from .common import cut, join_to_one
 
 WILD = "<*>"
 BLANK = " \t\x0b\x0c\r"
-#: Lines of fewer tokens have no fields but those with a digit; longer ones one for each FIELD_EVERY tokens.
-QUARTERED, FIELD_EVERY = 8, 5
+#: A line may have a field without a digit for each FIELD_EVERY tokens.
+FIELD_EVERY = 5
 COUNT_BITS = 40
 
 
@@ -40,8 +42,11 @@ def tokens_of(line: Column) -> Column:
 
 def needed(n: Column, wild: Column) -> Column:
     """How many of n tokens, wild of them with a digit, a template has to keep as constants: half at least."""
-    free = F.when(n < QUARTERED, 0).otherwise(F.floor(n / FIELD_EVERY))
-    return F.greatest(F.ceil(n / 2), n - wild - free).cast("int")
+    return F.greatest(F.ceil(n / 2), n - wild - free(n)).cast("int")
+
+
+def free(n: Column) -> Column:
+    return F.floor(n / FIELD_EVERY).cast("int")
 
 
 def _hashes(value: Column, *names: str) -> list[Column]:
@@ -49,7 +54,7 @@ def _hashes(value: Column, *names: str) -> list[Column]:
 
 
 def _lines(rows: DataFrame, depth: int, min_bytes: int) -> DataFrame:
-    """Of each line that counts: the hashes of its quarters within their leaf (shorter lines: of the whole), and two of all."""
+    """Of each line that counts: the hashes of its parts within their leaf (of the whole, twice, if it has no field), and two of all."""
     lines = rows.filter(F.col("text").isNotNull()).select("doc_id", "_x", "_r", F.posexplode(F.split("text", "\n", -1)).alias("line", "_s"))
     lines = lines.withColumn("_s", F.btrim("_s", F.lit(BLANK))).filter(F.octet_length("_s") >= min_bytes)
     # Through a generator, so that the filter on the tokens isn't pushed below and splits the line again.
@@ -57,11 +62,11 @@ def _lines(rows: DataFrame, depth: int, min_bytes: int) -> DataFrame:
     n, t = F.size("_t"), F.col("_t")
     lines = lines.filter(~F.array_contains(t, WILD) | (2 * F.size(F.array_remove(t, WILD)) >= n))
 
-    def quarter(i: int) -> Column:
-        first = F.floor(n * i / 4).cast("int")
-        return F.xxhash64(F.lit(i), n, F.slice(t, 1, depth), F.slice(t, first + 1, F.floor(n * (i + 1) / 4).cast("int") - first))
+    def part(i: Column) -> Column:
+        first, after = (F.floor(n * k / (free(n) + 1)).cast("int") for k in (i, i + 1))
+        return F.xxhash64(i, n, F.slice(t, 1, depth), F.slice(t, first + 1, after - first))
 
-    parts = F.when(n >= QUARTERED, F.array(*map(quarter, range(4)))).otherwise(F.array(*(F.xxhash64(F.lit(i), t) for i in (4, 5))))
+    parts = F.when(free(n) > 0, F.transform(F.sequence(F.lit(0), free(n)), part)).otherwise(F.array(*(F.xxhash64(F.lit(i), t) for i in (-1, -2))))
     lines = lines.select("doc_id", "_x", "_r", "line", F.explode(F.array(parts)).alias("_parts"))
     return lines.select("*", *_hashes(F.col("_parts"), "_e1", "_e2"))
 
@@ -107,13 +112,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 1, min
     line. Texts of equal content lose the same lines unless one holds what stays; repeated rows are kept. An empty
     table gives an empty result. Other columns are not looked at.
     """
-    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).withColumns({"_x": F.xxhash64("text"), "_r": F.xxhash64("doc_id", "text")})
+    rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).withColumns({"_x": F.xxhash64("text"), "_r": F.struct(*_hashes(F.struct("doc_id", "text"), "a", "b"))})
     lines = cut(_lines(rows, depth, min_bytes))  # texts are split into tokens once
     parts = lines.select("_x", "_e1", F.explode("_parts").alias("_part")).groupBy("_part")
     parts = parts.agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.min("_e1").alias("_c"), F.max("_e1").alias("_d")).filter("_a <> _b")
     shared = lines.select("_e1", "_e2", F.explode("_parts").alias("_part")).join(parts.select("_part", F.expr("_c <> _d").alias("_varies")), "_part")
     shared = cut(shared.groupBy("_e1", "_e2").agg(F.max("_varies").alias("_varies"), F.count("*").alias("_n")))
-    candidates = cut(join_to_one(lines.drop("_parts"), shared, ["_e1", "_e2"], 4 * lines.count()))
+    candidates = cut(join_to_one(lines.drop("_parts"), shared, ["_e1", "_e2"], lines.agg(F.sum(F.size("_parts"))).head()[0] or 0))
 
     varying, same = candidates.filter("_varies"), candidates.filter("NOT _varies")
     found = varying.join(_templates(varying, rows, depth), ["_e1", "_e2"]).drop("_e1", "_e2")

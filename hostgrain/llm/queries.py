@@ -115,15 +115,14 @@ g AS (
   FROM m WHERE strlen(s) >= 16),
 e AS (SELECT *, len(t) AS n, len(list_filter(t, lambda x: x = '<*>')) AS wild FROM g),
 c AS (SELECT t, n, wild, count(DISTINCT text) AS texts FROM e WHERE 2 * wild <= n GROUP BY ALL),
-q AS (SELECT t, n, texts, q, CASE WHEN n < 8 THEN t ELSE t[q * n // 4 + 1 : (q + 1) * n // 4] END AS part
-      FROM c, (VALUES (0), (1), (2), (3)) AS v(q) WHERE n >= 8 OR q = 0),
+q AS (SELECT t, n, texts, q, t[q * n // (n // 5 + 1) + 1 : (q + 1) * n // (n // 5 + 1)] AS part FROM (SELECT *, unnest(range(n // 5 + 1)) AS q FROM c)),
 r AS (SELECT n, t[1] AS first, q, part FROM (SELECT DISTINCT q.n, q.t, q.q, q.part, e.text FROM q JOIN e ON q.t = e.t) GROUP BY ALL HAVING count(DISTINCT text) > 1 AND count(DISTINCT t) > 1),
 k AS (SELECT DISTINCT c.t, c.n, c.wild, c.texts FROM c JOIN q ON c.t = q.t JOIN r ON q.n = r.n AND q.t[1] = r.first AND q.q = r.q AND q.part = r.part),
 p AS (SELECT t, n, wild, texts, unnest(t) AS x, unnest(range(1, n + 1)) AS p FROM k),
 f AS (SELECT n, t[1] AS first, p, x, sum(texts) AS seen FROM p WHERE x <> '<*>' GROUP BY ALL),
 w AS (SELECT p.t, p.n, p.wild, list(coalesce(f.seen, 0) ORDER BY p.p) AS seen
       FROM p LEFT JOIN f ON p.n = f.n AND p.t[1] = f.first AND p.p = f.p AND p.x = f.x GROUP BY ALL),
-u AS (SELECT *, list_reverse_sort(seen)[greatest((n + 1) // 2, n - wild - CASE WHEN n < 8 THEN 0 ELSE n // 5 END)] AS level FROM w),
+u AS (SELECT *, list_reverse_sort(seen)[greatest((n + 1) // 2, n - wild - n // 5)] AS level FROM w),
 v AS (
   SELECT t, true AS varies, list_transform(list_zip(t, seen), lambda z: CASE WHEN z[2] >= 2 AND 2 * z[2] >= level THEN z[1] ELSE '<*>' END) AS template FROM u WHERE level >= 2
   UNION ALL SELECT t, false, t FROM c WHERE t NOT IN (SELECT t FROM k)),

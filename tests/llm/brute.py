@@ -61,10 +61,8 @@ def dropped_lines(docs, min_docs=2, depth=1, min_bytes=16):
         return t if len(s.encode()) >= min_bytes and 2 * t.count("<*>") <= len(t) else None
 
     def parts(t):
-        n = len(t)
-        if n < 8:
-            return [(n, t)]
-        return [(n, t[:depth], q, t[q * n // 4 : (q + 1) * n // 4]) for q in range(4)]
+        n, of = len(t), len(t) // 5 + 1
+        return [(n, t[:depth], q, t[q * n // of : (q + 1) * n // of]) for q in range(of)]
 
     holding, sharing, variants = defaultdict(set), defaultdict(set), defaultdict(set)
     for _, text in docs:
@@ -84,7 +82,7 @@ def dropped_lines(docs, min_docs=2, depth=1, min_bytes=16):
     for t in candidates:
         n = len(t)
         counts = [seen[n, t[:depth], i, x] for i, x in enumerate(t)]
-        need = max((n + 1) // 2, n - t.count("<*>") - (n // 5 if n >= 8 else 0))
+        need = max((n + 1) // 2, n - t.count("<*>") - n // 5)
         level = sorted(counts)[-need]
         template[t] = level > 1 and (True, tuple(x if c > 1 and 2 * c >= level else "<*>" for x, c in zip(t, counts, strict=True)))
     for d, text in docs:

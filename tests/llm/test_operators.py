@@ -215,12 +215,23 @@ def test_templates_have_fields_without_digits(spark):
     want = dict(zip((d for d, _ in LOGS), brute.dropped_lines(LOGS), strict=True))
     assert got == want
     assert [got[i] for i in range(6)] == [[], *[[1]] * 5] and [got[i] for i in (10, 11, 12)] == [[0]] * 3  # one template, whoever logged in
-    assert got[21] == [0] and got[22] == [] and got[24] == [] and got[26] == [] and got[28] == [0]
+    assert got[21] == [0] and got[22] == [] and got[24] == [0] and got[26] == [] and got[28] == [0]
     deep = {r.doc_id: r.dropped for r in drop_recurring_lines(df, depth=3).collect()}
     assert deep == dict(zip((d for d, _ in LOGS), brute.dropped_lines(LOGS, depth=3), strict=True))
     assert deep[1] == [] and deep[10] == [0]  # the name is a leading token now, and so leads to other leaves
 
 
+def test_fields_anywhere_in_a_long_line_or_in_a_short_one(spark):
+    """Four fields of 40 tokens, one in each quarter; and four names in lines of seven tokens."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40)]
+    spread = [(i, " ".join([*words[:5], f"v{'x' * i}a", *words[6:15], f"v{'y' * i}b", *words[16:25], f"v{'z' * i}c", *words[26:35], f"v{'u' * i}d", *words[36:]])) for i in range(8)]
+    names = [(20 + i, f"user {name} logged in from main office") for i, name in enumerate(NAMES[:4])]
+    rows = [*spread, *names]
+    got = {r.doc_id: r.dropped for r in drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(zip((d for d, _ in rows), brute.dropped_lines(rows), strict=True))
+    assert [got[i] for i in range(8)] == [[], *[[0]] * 7] and [got[20 + i] for i in range(4)] == [[], *[[0]] * 3]
+
+
 def test_line_dedup_of_long_texts_with_many_dropped_lines(spark):
     shared = [f"a shared line with the words w{'x' * (i % 7)} and {chr(97 + i % 26) * (3 + i // 26)} in it" for i in range(20_000)]
     rows = [(1, "\n".join(shared)), (2, "\n".join(["first", *shared, "last"])), (3, None), (4, "")]
