@@ -12,8 +12,8 @@ lines share is still a field of a template that many more share, and a line that
 Everything is DataFrame operations, without Python in any task, and in proportion to the lines. A line of n tokens may
 have one field for each FIELD_EVERY of them, f, besides tokens with digits. What is counted first are hashes of its
 f + 1 equal parts: two lines of one template differ at f places at most, and so agree in a whole part. Lines that share a part
-with a different line of another text go on to be counted token by token, once for each distinct line, however often it
-occurs; any other line is its own template.
+with a different line go on to be counted token by token, once for each distinct line, however often it occurs; any
+other line is its own template. (Whether lines differ is told by 32 bits in that first count, which is most of what is shuffled.)
 Documents of equal text count once, so that copies of a document don't make templates of all its lines.
 
 Templates, lines and rows are told apart by two 64-bit hashes, 128 bits. Texts are told apart by 64 bits: that only matters
@@ -54,7 +54,7 @@ def _hashes(value: Column, *names: str) -> list[Column]:
 
 
 def _lines(rows: DataFrame, depth: int, min_bytes: int) -> DataFrame:
-    """Of each line that counts: the hashes of its parts within their leaf (of the whole, twice, if it has no field), and two of all."""
+    """Of each line that counts: the hashes of its parts within their leaf, null if it has no fields, and two of all."""
     lines = rows.filter(F.col("text").isNotNull()).select("doc_id", "_x", "_r", F.posexplode(F.split("text", "\n", -1)).alias("line", "_s"))
     lines = lines.withColumn("_s", F.btrim("_s", F.lit(BLANK))).filter(F.octet_length("_s") >= min_bytes)
     # Through a generator, so that the filter on the tokens isn't pushed below and splits the line again.
@@ -67,8 +67,8 @@ def _lines(rows: DataFrame, depth: int, min_bytes: int) -> DataFrame:
         return F.xxhash64(i, n, F.slice(t, 1, depth), F.slice(t, first + 1, after - first))
 
     parts = F.when(free(n) > 0, F.transform(F.sequence(F.lit(0), free(n)), part)).otherwise(F.array(*(F.xxhash64(F.lit(i), t) for i in (-1, -2))))
-    lines = lines.select("doc_id", "_x", "_r", "line", F.explode(F.array(parts)).alias("_parts"))
-    return lines.select("*", *_hashes(F.col("_parts"), "_e1", "_e2"))
+    lines = lines.select("doc_id", "_x", "_r", "line", free(n).alias("_f"), F.explode(F.array(parts)).alias("_parts"))
+    return lines.select("doc_id", "_x", "_r", "line", F.when(F.col("_f") > 0, F.col("_parts")).alias("_parts"), *_hashes(F.col("_parts"), "_e1", "_e2"))
 
 
 def _templates(candidates: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
@@ -114,11 +114,14 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 1, min
     """
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).withColumns({"_x": F.xxhash64("text"), "_r": F.struct(*_hashes(F.struct("doc_id", "text"), "a", "b"))})
     lines = cut(_lines(rows, depth, min_bytes))  # texts are split into tokens once
-    parts = lines.select("_x", "_e1", F.explode("_parts").alias("_part")).groupBy("_part")
-    parts = parts.agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.min("_e1").alias("_c"), F.max("_e1").alias("_d")).filter("_a <> _b")
-    shared = lines.select("_e1", "_e2", F.explode("_parts").alias("_part")).join(parts.select("_part", F.expr("_c <> _d").alias("_varies")), "_part")
-    shared = cut(shared.groupBy("_e1", "_e2").agg(F.max("_varies").alias("_varies"), F.count("*").alias("_n")))
-    candidates = cut(join_to_one(lines.drop("_parts"), shared, ["_e1", "_e2"], lines.agg(F.sum(F.size("_parts"))).head()[0] or 0))
+    parts = lines.select("_e1", F.explode("_parts").alias("_part"))
+    line = F.shiftright("_e1", 32).cast("int")
+    shared = parts.groupBy("_part").agg(F.min(line).alias("_a"), F.max(line).alias("_b")).filter("_a <> _b").select("_part")
+    varying = cut(parts.join(shared.hint("shuffle_hash"), "_part", "left_semi").select("_e1").distinct())
+    per_line = lines.groupBy("_e1", "_e2").agg(F.count("*").alias("_n"), (F.min("_x") < F.max("_x")).alias("_twice"))
+    per_line = per_line.join(varying.withColumn("_varies", F.lit(True)), "_e1", "left").filter("_varies OR _twice")
+    per_line = cut(per_line.select("_e1", "_e2", "_n", F.coalesce("_varies", F.lit(False)).alias("_varies")))
+    candidates = cut(join_to_one(lines.drop("_parts"), per_line, ["_e1", "_e2"], lines.count()))
 
     varying, same = candidates.filter("_varies"), candidates.filter("NOT _varies")
     found = varying.join(_templates(varying, rows, depth), ["_e1", "_e2"]).drop("_e1", "_e2")

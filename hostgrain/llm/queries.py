@@ -116,7 +116,7 @@ g AS (
 e AS (SELECT *, len(t) AS n, len(list_filter(t, lambda x: x = '<*>')) AS wild FROM g),
 c AS (SELECT t, n, wild, count(DISTINCT text) AS texts FROM e WHERE 2 * wild <= n GROUP BY ALL),
 q AS (SELECT t, n, texts, q, t[q * n // (n // 5 + 1) + 1 : (q + 1) * n // (n // 5 + 1)] AS part FROM (SELECT *, unnest(range(n // 5 + 1)) AS q FROM c)),
-r AS (SELECT n, t[1] AS first, q, part FROM (SELECT DISTINCT q.n, q.t, q.q, q.part, e.text FROM q JOIN e ON q.t = e.t) GROUP BY ALL HAVING count(DISTINCT text) > 1 AND count(DISTINCT t) > 1),
+r AS (SELECT n, t[1] AS first, q, part FROM q WHERE n >= 5 GROUP BY ALL HAVING count(DISTINCT t) > 1),
 k AS (SELECT DISTINCT c.t, c.n, c.wild, c.texts FROM c JOIN q ON c.t = q.t JOIN r ON q.n = r.n AND q.t[1] = r.first AND q.q = r.q AND q.part = r.part),
 p AS (SELECT t, n, wild, texts, unnest(t) AS x, unnest(range(1, n + 1)) AS p FROM k),
 f AS (SELECT n, t[1] AS first, p, x, sum(texts) AS seen FROM p WHERE x <> '<*>' GROUP BY ALL),

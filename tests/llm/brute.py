@@ -64,16 +64,15 @@ def dropped_lines(docs, min_docs=2, depth=1, min_bytes=16):
         n, of = len(t), len(t) // 5 + 1
         return [(n, t[:depth], q, t[q * n // of : (q + 1) * n // of]) for q in range(of)]
 
-    holding, sharing, variants = defaultdict(set), defaultdict(set), defaultdict(set)
+    holding, variants = defaultdict(set), defaultdict(set)
     for _, text in docs:
         for line in (text or "").split("\n"):
             if t := tokens(line):
                 holding[t].add(text)
                 for p in parts(t):
-                    sharing[p].add(text)
                     variants[p].add(t)
     seen = Counter()
-    candidates = [t for t in holding if any(len(sharing[p]) > 1 and len(variants[p]) > 1 for p in parts(t))]
+    candidates = [t for t in holding if len(t) >= 5 and any(len(variants[p]) > 1 for p in parts(t))]
     for t in candidates:
         for i, x in enumerate(t):
             if x != "<*>":
