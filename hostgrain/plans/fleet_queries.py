@@ -150,6 +150,30 @@ def x3_sessions(spark, sf):
     return d.withColumns({"start": ntz(F.col("start")), "end": ntz(F.col("end"))})
 
 
+def _waves(spark, sf, n=3):
+    """The events as drops of n periods, one after the other; each user's rows of a period are in one file, so that batches of
+    any number of files take them in order."""
+    drops, e = scratch(spark), table(spark, sf, "events").withColumn("ts", utc("ts"))
+    bounds = e.select(F.unix_micros("ts").alias("t")).agg(F.min("t").alias("a"), (F.max("t") + 1).alias("b")).head()
+    for k in range(n):
+        low, high = (bounds.a + (bounds.b - bounds.a) * i // n for i in (k, k + 1))
+        e.filter(F.unix_micros("ts").between(low, high - 1)).repartition("user_id").write.mode("append").parquet(drops)
+    return drops, e.schema
+
+
+@query("""WITH s AS (SELECT user_id, ts, max(event_id) AS session_id FROM events WHERE event_type = 'signup' GROUP BY ALL)
+SELECT e.event_id, e.ts, s.session_id, s.ts AS session_ts FROM events e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.ts >= s.ts""")
+def x3_logon_sessions(spark, sf):
+    """Events with the session that a signup opens, held as state over several batches; none ends, and none is late."""
+    drops, schema = _waves(spark, sf)
+    stream = X.event_stream(spark, drops, schema, files_a_batch=4)
+    kind = F.when(F.col("event_type") == "signup", X.LOGON).otherwise(F.col("event_type"))
+    with X.timer_store(spark):
+        got = _run(spark, X.track_sessions(stream, "user_id", "event_id", "ts", kind, idle="36500 days", delay="3650 days"))
+    done, _ = X.split_late(got.filter("event_id IS NOT NULL"))
+    return done.select("event_id", ntz(F.col("ts")).alias("ts"), "session_id", ntz(F.col("session_ts")).alias("session_ts"))
+
+
 @query("""SELECT event_id, epoch_us(ts) * 10 + 116444736000000000 AS ticks, ts AS back, strftime(ts, '%-d/%-m/%Y %-Hh%-Mm%-Ss') AS shown, translate(event_type, 'abcdefghijklmnopqrstuvwxyz', 'nopqrstuvwxyzabcdefghijklm') AS turned FROM events""")
 def x4_sql_functions(spark, sf):
     register_functions(spark)

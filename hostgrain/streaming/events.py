@@ -1,9 +1,14 @@
-"""Structured Streaming over new drops: ingest, deduplication, windowed counts."""
+"""Structured Streaming over new drops: ingest, deduplication, windowed counts, logon sessions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_a_batch: int | None = 100) -> DataFrame:
@@ -33,3 +38,112 @@ def tumbling_counts(stream: DataFrame, keys: list[str], size: str, ts: str = "ts
 def session_counts(stream: DataFrame, keys: list[str], gap: str, ts: str = "ts", delay: str = "10 minutes") -> DataFrame:
     c = stream.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("window"), *keys).agg(F.count("*").alias("n"))
     return c.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n")
+
+
+#: The store of states that keeps timers.
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def timer_store(spark: SparkSession):
+    """Queries started within keep states and timers in RocksDB; the session's setting comes back afterwards."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+
+
+#: What an event means for its user's session.
+LOGON, LOGOFF = "logon", "logoff"
+SESSION_OUTPUT = "key string, event_id long, ts timestamp, kind string, session_id long, session_ts timestamp, note string"
+
+
+class SessionTracker(StatefulProcessor):
+    """The open session of a key as state. Rows: key, event_id, ts, kind (logon, logoff or anything else).
+
+    A logon opens a session, a new one in place of the last. Other events get the session that is open at their instant; a
+    logoff closes it. A timer at event time ends a session that has had no event for idle_ms: that is a row with the note
+    ``expired``, stamped with the instant at which it ran out. A row older than the watermark is not attributed, since the session that was open
+    then may be gone: it comes out with the note ``late``, to be set apart by split_late(). Within a batch rows are taken by
+instant, at one instant logons first, and then by event_id."""
+
+    def __init__(self, idle_us: int):
+        self.idle_us = idle_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "session_id long, session_us long, last_us long")
+
+    @staticmethod
+    def _us(ts) -> int:
+        return int(pd.Timestamp(ts).value // 1000)
+
+    def _rearm(self, last_us: int | None) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if last_us is not None:
+            self.handle.registerTimer((last_us + self.idle_us) // 1000)
+
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["key", "event_id", "ts", "kind", "session_id", "session_ts", "note"])
+        stamps = {c: pd.to_datetime(out[c].astype("Int64"), unit="us") for c in ("ts", "session_ts")}
+        return out.assign(**stamps, event_id=out["event_id"].astype("Int64"), session_id=out["session_id"].astype("Int64"))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        mark = 1000 * timerValues.getCurrentWatermarkInMs()
+        held = self.open.get() if self.open.exists() else None
+        out = []
+        got = pd.concat(list(rows))
+        got = got[got["mark"].isna()].assign(other=got["kind"] != LOGON)
+        for r in got.sort_values(["ts", "other", "event_id"], kind="stable").itertuples(index=False):
+            us = self._us(r.ts)
+            if us < mark:
+                out.append((key[0], r.event_id, us, r.kind, None, None, "late"))
+                continue
+            if held and us - held[2] >= self.idle_us:  # ran out before this row, though the timer is yet to fire
+                out.append((key[0], None, held[2] + self.idle_us, "end", held[0], held[1], "expired"))
+                held = None
+            if r.kind == LOGON:
+                held = (int(r.event_id), us, us)
+            elif held:
+                held = (held[0], held[1], us)
+            out.append((key[0], r.event_id, us, r.kind, *(held[:2] if held else (None, None)), None))
+            if r.kind == LOGOFF:
+                held = None
+        if held:
+            self.open.update(tuple(map(int, held)))
+            self._rearm(int(held[2]))
+        else:
+            self.open.clear()
+            self._rearm(None)
+        yield self._out(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists():
+            session, began, last = self.open.get()
+            self.open.clear()
+            yield self._out([(key[0], None, last + self.idle_us, "end", session, began, "expired")])
+
+    def close(self) -> None:
+        pass
+
+
+def track_sessions(stream: DataFrame, key: str, event_id: str, ts: str, kind: Column, idle: str = "8 hours", delay: str = "10 minutes") -> DataFrame:
+    """Events with the logon session that was open at their instant, as they come: the columns of SESSION_OUTPUT. State is one row a key with an open
+    session, whatever the number of its events, and ends by a timer. Rows without a key or an instant are left out. Late rows come out marked: the
+    watermark is held by the processor itself, so that none is dropped unseen. Start it within timer_store()."""
+    idle_us = pd.Timedelta(idle).value // 1000
+    rows = stream.select(F.col(key).cast("string").alias("key"), F.col(event_id).cast("long").alias("event_id"), F.col(ts).alias("ts"), kind.alias("kind"))
+    rows = rows.filter("key IS NOT NULL AND ts IS NOT NULL")
+    # Spark drops rows whose marked instant is late. So the row itself has none, and one beside it moves the watermark.
+    both = F.explode(F.array(F.lit(None).cast("timestamp"), F.col("ts"))).alias("mark")
+    rows = rows.select("key", "event_id", "ts", "kind", both).withWatermark("mark", delay)
+    return rows.groupBy("key").transformWithStateInPandas(SessionTracker(idle_us), SESSION_OUTPUT, "Append", "EventTime")
+
+
+def split_late(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What track_sessions() has written: events and ends of sessions, and the side table of late rows."""
+    late = F.coalesce(F.col("note") == "late", F.lit(False))
+    return rows.filter(~late), rows.filter(late).select("key", "event_id", "ts", "kind")
