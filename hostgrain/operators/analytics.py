@@ -33,17 +33,70 @@ def rarity(df: DataFrame, keys: list[str], host: str = "host", hosts_exactly: bo
     return df.groupBy(*keys).agg(n.alias("hosts"), F.count("*").alias("rows"))
 
 
+def rarity_sketches(df: DataFrame, parts: list[str], keys: list[str], host: str = "host", lg_k: int = 12) -> DataFrame:
+    """For each part (such as a day) and key a sketch of its hosts, ``hosts_sketch``, and its rows: a table to be stored, from which
+    rarity over any parts follows without the rows."""
+    return df.groupBy(*parts, *keys).agg(F.hll_sketch_agg(F.col(host).cast("string"), lg_k).alias("hosts_sketch"), F.count("*").alias("rows"))
+
+
+def rarity_of_sketches(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with about how many hosts have them, over all parts that are given."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("hosts_sketch")).alias("hosts"), F.sum("rows").alias("rows"))
+
+
+def rare_keys(df: DataFrame, sketches: DataFrame, keys: list[str], most: int, host: str = "host", slack: float = 0.1) -> DataFrame:
+    """Keys that at most so many hosts have, with their exact number. Rows are counted only of keys that sketches put at most
+    slack above that; a sketch of few hosts is exact, and slack is six standard errors of a large one."""
+    maybe = rarity_of_sketches(sketches, keys).filter(F.col("hosts") <= most * (1 + slack) + 1).select(*keys)
+    return rarity(df.join(maybe, keys, "left_semi"), keys, host).filter(F.col("hosts") <= most)
+
+
 def rarest(df: DataFrame, keys: list[str], k: int, host: str = "host") -> DataFrame:
     """The k rarest keys: a top-k report, ties by key."""
     return rarity(df, keys, host).orderBy("hosts", *keys).limit(k)
 
 
+def persistence_inventory(run: DataFrame, services: DataFrame, actions: DataFrame) -> DataFrame:
+    """host, kind, name and command of all that starts by itself, from the tables of run keys, services and task actions."""
+    text = lambda *cs: F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in cs))
+    return N.tagged_union({
+        "run": run.select("host", F.concat_ws("\\", F.nullif(F.col("sid"), F.lit("")), "key", "name").alias("name"), F.col("value").alias("command")),
+        "service": services.select("host", "name", F.col("binary").alias("command")),
+        "task": actions.select("host", F.col("task_path").alias("name"), text("command", "arguments").alias("command")),
+    }, "kind")
+
+
+def stays(inventory: DataFrame, host: str, collected: str, keys: list[str]) -> DataFrame:
+    """Islands: for each key of a host the runs of successive collections of that host that have it, with the first and last
+    collection, how many they are, and whether the run reaches the host's latest. A gap is a collection of the host without the key. Rows that
+    a collection repeats count once. Windows are over a host's collections, and over those that have one key."""
+    has = inventory.select(host, collected, *keys).distinct()
+    numbers = Window.partitionBy(host).orderBy(collected)
+    taken = inventory.select(host, collected).distinct().withColumn("_n", F.row_number().over(numbers))
+    taken = taken.withColumn("_latest", F.max("_n").over(Window.partitionBy(host)))
+    d = has.join(taken, [host, collected])
+    d = d.withColumn("_island", F.col("_n") - F.row_number().over(Window.partitionBy(host, *keys).orderBy("_n")))
+    out = d.groupBy(host, *keys, "_island").agg(F.min(collected).alias("first"), F.max(collected).alias("last"), F.count("*").alias("collections"), F.max(F.col("_n") == F.col("_latest")).alias("present"))
+    return out.drop("_island")
+
+
+def multiset_diff(before: DataFrame, after: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that one side has more often than the other: columns, change (added or removed) and copies, how many more. One
+    aggregation over both sides; rows that are equal cancel out wherever they lie, so a hot row is summed before it is shuffled."""
+    signed = before.select(*columns, F.lit(-1).alias("_sign")).unionByName(after.select(*columns, F.lit(1).alias("_sign")))
+    left = signed.groupBy(*columns).agg(F.sum("_sign").alias("_sum")).filter("_sum <> 0")
+    return left.select(*columns, F.when(F.col("_sum") > 0, "added").otherwise("removed").alias("change"), F.abs("_sum").alias("copies"))
+
+
 def inventory_diff(before: DataFrame, after: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Keys that were added, removed or changed between two inventories (one row a key)."""
-    a = before.select(*keys, F.col(value).alias("before"), F.lit(True).alias("_in_a"))
-    b = after.select(*keys, F.col(value).alias("after"), F.lit(True).alias("_in_b"))
-    change = F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(~F.col("before").eqNullSafe(F.col("after")), "changed")
-    return a.join(b, keys, "full").withColumn("change", change).filter(F.col("change").isNotNull()).drop("_in_a", "_in_b")
+    """Keys that were added, removed or changed between two inventories. Equal rows cancel first; of a key with several rows, what is left
+    on both sides is paired in the order of values."""
+    left = multiset_diff(before.select(*keys, value), after.select(*keys, value), [*keys, value])
+    left = left.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    left = left.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "change").orderBy(value, "_copy")))
+    was, now = F.col("change") == "removed", F.col("change") == "added"
+    both = left.groupBy(*keys, "_rank").agg(F.max(F.when(was, F.col(value))).alias("before"), F.max(F.when(now, F.col(value))).alias("after"), F.max(was).alias("_in_a"), F.max(now).alias("_in_b"))
+    return both.withColumn("change", F.when(~F.col("_in_a"), "added").when(~F.col("_in_b"), "removed").otherwise("changed")).drop("_rank", "_in_a", "_in_b")
 
 
 def token_join(left: DataFrame, text: str, right: DataFrame, token: str, separators: str = r"[^A-Za-z0-9-]+") -> DataFrame:

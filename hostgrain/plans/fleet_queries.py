@@ -10,6 +10,7 @@ from ..operators import analytics as D
 from ..operators import nested as N
 from ..operators.store import scratch
 from ..streaming import events as X
+from ..streaming import upkeep as U
 from .registry import ntz, query, table, utc
 
 
@@ -53,6 +54,40 @@ def d4_persistence_diff(spark, sf):
     return D.inventory_diff(part(0), part(1), ["o_custkey"], "p")
 
 
+@query("SELECT l_partkey, count(DISTINCT l_suppkey) AS hosts, count(*) AS rows FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) <= 24")
+def d3_rare_exact(spark, sf):
+    """Exact counts of keys that sketches, kept by line number, say are rare."""
+    d = table(spark, sf, "lineitem")
+    return D.rare_keys(d, D.rarity_sketches(d, ["l_linenumber"], ["l_partkey"], "l_suppkey"), ["l_partkey"], 24, "l_suppkey")
+
+
+@query("""WITH i AS (SELECT DISTINCT o_custkey % 40 AS host, date_trunc('month', o_orderdate)::DATE AS month, o_orderpriority AS name FROM orders),
+t AS (SELECT host, month, row_number() OVER (PARTITION BY host ORDER BY month) AS n FROM (SELECT DISTINCT host, month FROM i)),
+r AS (SELECT host, name, month, n, n - row_number() OVER (PARTITION BY host, name ORDER BY n) AS island FROM i JOIN t USING (host, month))
+SELECT host, name, min(month) AS first, max(month) AS last, count(*) AS collections, max(n) = (SELECT max(n) FROM t WHERE t.host = r.host) AS present FROM r GROUP BY host, name, island""")
+def d4_stays(spark, sf):
+    """Months as collections, priorities as what a host starts."""
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 40).alias("host"), F.trunc("o_orderdate", "month").alias("month"), F.col("o_orderpriority").alias("name"))
+    return D.stays(o, "host", "month", ["name"])
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderpriority, sum(CASE WHEN o_orderkey % 2 = 0 THEN -1 ELSE 1 END)::BIGINT AS n FROM orders GROUP BY ALL)
+SELECT o_custkey, o_orderpriority, CASE WHEN n > 0 THEN 'added' ELSE 'removed' END AS change, abs(n) AS copies FROM s WHERE n <> 0""")
+def d4_multiset_diff(spark, sf):
+    o = table(spark, sf, "orders")
+    return D.multiset_diff(o.filter("o_orderkey % 2 = 0"), o.filter("o_orderkey % 2 = 1"), ["o_custkey", "o_orderpriority"])
+
+
+@query("""SELECT 'h' AS host, 'run' AS kind, 'S' || (user_id % 3) || '\\Run\\' || event_id AS name, props AS command FROM events WHERE event_type = 'click'
+UNION ALL SELECT 'h', 'service', s_name, s_nationkey::VARCHAR FROM supplier UNION ALL SELECT 'h', 'task', o_orderkey::VARCHAR, o_orderpriority || ' ' || o_orderstatus FROM orders""".replace("\\\\", "\\"))
+def d4_persistence_inventory(spark, sf):
+    h = F.lit("h").alias("host")
+    run = table(spark, sf, "events").filter("event_type = 'click'").select(h, F.concat(F.lit("S"), F.col("user_id") % 3).alias("sid"), F.lit("Run").alias("key"), F.col("event_id").cast("string").alias("name"), F.col("props").alias("value"))
+    services = table(spark, sf, "supplier").select(h, F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("binary"))
+    actions = table(spark, sf, "orders").select(h, F.col("o_orderkey").cast("string").alias("task_path"), F.col("o_orderpriority").alias("command"), F.col("o_orderstatus").alias("arguments"))
+    return D.persistence_inventory(run, services, actions)
+
+
 @query("""WITH t AS (SELECT DISTINCT page_id, unnest(regexp_split_to_array(lower(url), '[^A-Za-z0-9-]+')) AS token FROM pages),
 s AS (SELECT DISTINCT regexp_extract(url, '://([^./]+)', 1) AS serial FROM pages WHERE page_id % 10 = 0)
 SELECT page_id, serial FROM t JOIN s ON token = lower(serial) WHERE token <> ''""")
@@ -174,6 +209,17 @@ def x3_logon_sessions(spark, sf):
     return done.select("event_id", ntz(F.col("ts")).alias("ts"), "session_id", ntz(F.col("session_ts")).alias("session_ts"))
 
 
+@query("""SELECT user_id, min(ts) AS first_ts, max(ts) AS last_ts, arg_min(event_type, struct_pack(t := ts, e := event_id)) AS first_value, arg_max(event_type, struct_pack(t := ts, e := event_id)) AS last_value, count(*) AS rows FROM events GROUP BY user_id""")
+def x1_upkeep(spark, sf):
+    """First and last events of each user, kept up over batches; after they are merged, the first batch is delivered again."""
+    drops, schema = _waves(spark, sf)
+    kept, path = U.first_last_kept(["user_id"], "ts", "event_type", "event_id"), scratch(spark)
+    U.keep_up(X.event_stream(spark, drops, schema, files_a_batch=8), path, path + "-checkpoint", kept)
+    U.compact(spark, path, kept)
+    U.take_in(spark.read.schema(schema).parquet(drops), 0, path, kept)
+    return U.read_kept(spark, path, kept).withColumns({c: ntz(F.col(c)) for c in ("first_ts", "last_ts")})
+
+
 @query("""SELECT event_id, epoch_us(ts) * 10 + 116444736000000000 AS ticks, ts AS back, strftime(ts, '%-d/%-m/%Y %-Hh%-Mm%-Ss') AS shown, translate(event_type, 'abcdefghijklmnopqrstuvwxyz', 'nopqrstuvwxyzabcdefghijklm') AS turned FROM events""")
 def x4_sql_functions(spark, sf):
     register_functions(spark)
