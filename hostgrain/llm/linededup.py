@@ -62,12 +62,17 @@ def _lines(rows: DataFrame, depth: int, min_bytes: int) -> DataFrame:
     n, t = F.size("_t"), F.col("_t")
     lines = lines.filter(~F.array_contains(t, WILD) | (2 * F.size(F.array_remove(t, WILD)) >= n))
 
+    # What all parts of a line need is computed once, through a generator again.
+    own = F.struct(free(n).alias("f"), n.alias("n"), F.xxhash64(n, F.slice(t, 1, depth)).alias("leaf"))
+    lines = lines.select("doc_id", "_x", "_r", "line", "_t", F.explode(F.array(own)).alias("_o"))
+    size, fields, leaf = F.col("_o.n"), F.col("_o.f"), F.col("_o.leaf")
+
     def part(i: Column) -> Column:
-        first, after = (F.floor(n * k / (free(n) + 1)).cast("int") for k in (i, i + 1))
-        return F.xxhash64(i, n, F.slice(t, 1, depth), F.slice(t, first + 1, after - first))
+        first, after = (F.floor(size * k / (fields + 1)).cast("int") for k in (i, i + 1))
+        return F.xxhash64(leaf, i, F.slice(t, first + 1, after - first))
 
-    parts = F.when(free(n) > 0, F.transform(F.sequence(F.lit(0), free(n)), part)).otherwise(F.array(*(F.xxhash64(F.lit(i), t) for i in (-1, -2))))
-    lines = lines.select("doc_id", "_x", "_r", "line", free(n).alias("_f"), F.explode(F.array(parts)).alias("_parts"))
+    parts = F.when(fields > 0, F.transform(F.sequence(F.lit(0), fields), part)).otherwise(F.array(*(F.xxhash64(F.lit(i), t) for i in (-1, -2))))
+    lines = lines.select("doc_id", "_x", "_r", "line", fields.alias("_f"), F.explode(F.array(parts)).alias("_parts"))
     return lines.select("doc_id", "_x", "_r", "line", F.when(F.col("_f") > 0, F.col("_parts")).alias("_parts"), *_hashes(F.col("_parts"), "_e1", "_e2"))
 
 
