@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import nested as N
+from .scan import running
 
 
 def timeline(parts: dict[str, tuple[DataFrame, dict[str, str | Column], Column, Column]], host: str = "host") -> DataFrame:
@@ -108,12 +109,11 @@ def token_join(left: DataFrame, text: str, right: DataFrame, token: str, separat
 
 def as_of(events: DataFrame, states: DataFrame, keys: list[str], ts: str, columns: list[str], order: str) -> DataFrame:
     """Each event with the columns of the latest state of its key at or before its instant (at one instant, that with the
-    greatest order); nulls before the first. One shuffle and sort of both sides together."""
+    greatest order); nulls before the first. One shuffle and sort of both sides together; a key of any share of the rows lies in many tasks."""
     held = F.struct(*(F.col(c) for c in columns))
     s = states.select(*keys, F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.col(order).alias("_order"), held.alias("_state"), F.lit(None).cast(events.schema.simpleString()).alias("_event"))
     e = events.select(*keys, F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(s.schema["_order"].dataType).alias("_order"), F.lit(None).cast(s.schema["_state"].dataType).alias("_state"), F.struct(*events.columns).alias("_event"))
-    w = Window.partitionBy(*keys).orderBy("_ts", "_side", "_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = s.unionByName(e).withColumn("_last", F.last("_state", ignorenulls=True).over(w)).filter("_side = 1")
+    both = running(s.unionByName(e), keys, [F.col(c) for c in ("_ts", "_side", "_order")], lasts={"_last": F.col("_state")}).filter("_side = 1")
     return both.select("_event.*", *(F.col(f"_last.{c}").alias(c) for c in columns))
 
 

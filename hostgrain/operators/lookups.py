@@ -134,15 +134,15 @@ def expected_keys(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
 def entry_streams(entries: DataFrame, streams: DataFrame, keys: list[str], number: str = "entry_no", name: str = "stream", stop_at_gap: str | None = None) -> DataFrame:
     """Jump-list entries with their streams, by the hexadecimal of the entry's number. stop_at_gap: order column; entries
     from the first without a stream on are left out, as some collectors do."""
-    from pyspark.sql import Window
+    from .scan import running
 
     e = entries.withColumn("_hex", F.lower(F.hex(number)))
     s = streams.withColumn("_hex", F.lower(name))
     if stop_at_gap is None:
         return e.join(s, [*keys, "_hex"]).drop("_hex")
     s = s.withColumn("_there", F.lit(1))
-    order = Window.partitionBy(*keys).orderBy(stop_at_gap).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    j = e.join(s, [*keys, "_hex"], "left").withColumn("_miss", F.sum(F.when(F.col("_there").isNull(), 1).otherwise(0)).over(order))
+    j = e.join(s, [*keys, "_hex"], "left")
+    j = running(j, keys, [F.col(stop_at_gap)], sums={"_miss": F.when(F.col("_there").isNull(), 1).otherwise(0)})
     return j.filter("_miss = 0").drop("_hex", "_there", "_miss")
 
 

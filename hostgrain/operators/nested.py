@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: So many levels of a tree become one table.
@@ -36,13 +36,18 @@ def take_until(items: Column, stop) -> Column:
 
 def mru_rank(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
     """0 for the most recent of each key."""
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("int"))
+    from .scan import running
+
+    return running(df, keys, order, sums={"_at": F.lit(1)}).withColumn(out, (F.col("_at") - 1).cast("int")).drop("_at")
 
 
 def seen_before(df: DataFrame, keys: list[str], order: str, test: Column, out: str) -> DataFrame:
     """Whether an earlier row of the same key passes the test."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(out, F.coalesce(F.max(test).over(w), F.lit(False)))
+    from .scan import running
+
+    passes = F.coalesce(test, F.lit(False)).cast("int")
+    d = running(df.withColumn("_own", passes), keys, [F.col(order)], sums={"_seen": F.col("_own")})
+    return d.withColumn(out, F.col("_seen") > F.col("_own")).drop("_own", "_seen")
 
 
 def tagged_union(parts: dict[str, DataFrame], tag: str = "source") -> DataFrame:
