@@ -37,7 +37,9 @@ COUNT_BITS = 40
 def tokens_of(line: Column) -> Column:
     """Tokens of a trimmed line; each with a digit in it is a variable field."""
     masked = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", WILD)
-    return F.split(F.when(F.regexp_like(line, F.lit("[0-9]")), masked).otherwise(line), r"[\x20\x09-\x0D]+")
+    # Split at single spaces, which takes no regular expression.
+    spaced = F.translate(F.when(F.regexp_like(line, F.lit("[0-9]")), masked).otherwise(line), "\t\n\x0b\x0c\r", "     ")
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def needed(n: Column, wild: Column) -> Column:
