@@ -21,6 +21,28 @@ def timeline(parts: dict[str, tuple[DataFrame, dict[str, str | Column], Column,
     return out
 
 
+#: The tables that show that a program ran or was there.
+EVIDENCE = ["prefetch", "bam", "userassist", "shimcache", "amcache", "muicache"]
+
+
+def evidence_of_tables(prefetch: DataFrame, bam: DataFrame, userassist: DataFrame, shimcache: DataFrame, amcache: DataFrame, muicache: DataFrame, volumes: DataFrame) -> DataFrame:
+    """host, program, source, ts: what execution_evidence() takes, from the six artefact tables. A program is its path in lower case, with
+    a drive letter in place of a device name (volumes: host, device, letter). Prefetch gives a row for each run; the cache of names has no instant, and
+    its names end with a property that is cut off."""
+    from . import lookups as L
+
+    none = F.lit(None).cast("timestamp")
+    runs = prefetch.select("host", F.col("full_path").alias("path"), F.explode_outer("runs").alias("ts"))
+    plain = lambda df, path, ts: df.select("host", F.col(path).alias("path"), ts.alias("ts"))
+    name = F.regexp_replace("name", r"\.(FriendlyAppName|ApplicationCompany)$", "")
+    parts = [
+        runs, plain(bam, "name", F.col("exec_ts")), plain(userassist, "name", F.col("last_ts")), plain(shimcache, "path", F.col("last_mod_ts")), plain(amcache, "long_path", F.col("link_ts")),
+        muicache.select("host", name.alias("path"), none.alias("ts")),
+    ]
+    each = N.tagged_union(dict(zip(EVIDENCE, parts, strict=True))).filter("path IS NOT NULL AND path <> ''")
+    return L.drive_letters(each, "path", volumes, "program").select("host", F.lower("program").alias("program"), "source", "ts")
+
+
 def execution_evidence(evidence: DataFrame, sources: list[str]) -> DataFrame:
     """One row per (host, program): how often each source saw it, and the first and last instant over all. evidence:
     host, program, source, ts. Sums are partial before the shuffle."""
@@ -117,6 +139,23 @@ def as_of(events: DataFrame, states: DataFrame, keys: list[str], ts: str, column
     return both.select("_event.*", *(F.col(f"_last.{c}").alias(c) for c in columns))
 
 
+def media_trail(usb: DataFrame, mounts: DataFrame, links: DataFrame) -> DataFrame:
+    """Which removable device a shortcut's target was on: links with ``serial`` and ``way``. usb: host, serial. mounts: host, drive, device
+    (its text holds the serial as a token), ts, the collection that found it so. links: host, drive, vol_serial, ts and others.
+
+    A letter belongs to a device from one collection to the next that finds another there, or none (null device): each link
+    gets the device that its letter had at its instant (way ``letter``). A link of another letter or host whose volume serial such a link
+    has is on the same device, if that is one device only (way ``volume``). Other links have nulls."""
+    named = token_join(mounts.filter("device IS NOT NULL"), "device", usb.select(F.col("host").alias("_host"), "serial").distinct(), "serial")
+    named = named.filter(F.col("_host") == F.col("host")).groupBy("host", "drive", "ts").agg(F.min("serial").alias("serial"))
+    found = mounts.select("host", "drive", "ts").distinct().join(named, ["host", "drive", "ts"], "left")
+    at = as_of(links, found, ["host", "drive"], "ts", ["serial"], "serial")
+    volumes = at.filter("serial IS NOT NULL AND vol_serial IS NOT NULL").groupBy("vol_serial").agg(F.min("serial").alias("_a"), F.max("serial").alias("_b")).filter("_a = _b")
+    out = at.join(volumes.select("vol_serial", F.col("_a").alias("_serial")), "vol_serial", "left")
+    way = F.when(F.col("serial").isNotNull(), "letter").when(F.col("_serial").isNotNull(), "volume")
+    return out.withColumn("way", way).withColumn("serial", F.coalesce("serial", "_serial")).select(*links.columns, "serial", "way")
+
+
 def first_last(df: DataFrame, keys: list[str], ts: str, value: str, order: str) -> DataFrame:
     """First and last instant of each key and the value seen at either."""
     at = F.struct(ts, order)

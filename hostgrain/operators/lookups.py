@@ -126,8 +126,8 @@ def replace_guids(df: DataFrame, text: str, names: DataFrame) -> DataFrame:
 
 
 def expected_keys(profiles: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Every registry key that should exist: profiles times the catalogue of keys. The catalogue is a fixed list of
-    this package, a few dozen rows whatever the fleet's size."""
+    """Every registry key that should exist: profiles times the catalogue of keys, which is a few dozen rows that the user gives,
+    whatever the fleet's size."""
     return profiles.crossJoin(catalog)
 
 
@@ -151,17 +151,38 @@ def volume_of(path: Column, volumes: Column) -> Column:
     return F.get(F.filter(volumes, lambda v: F.startswith(path, v["device"])), F.lit(0))
 
 
-def prefix_join(df: DataFrame, text: str, dim: DataFrame, prefix: str, order: str) -> DataFrame:
-    """The first row of dim, by order, whose prefix the text starts with; without any, nulls. Prefixes are joined by
-    equality for each of their distinct lengths, so that no pair is tried that doesn't match."""
-    lengths = sorted(r[0] for r in dim.select(F.length(prefix)).distinct().collect() if r[0])  # a handful of lengths
-    keyed = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_p", F.explode(F.array(*(F.left(text, F.lit(n)) for n in lengths)))) if lengths else None
-    columns = [c for c in dim.columns if c not in df.columns]
-    if keyed is None:
-        return df.select("*", *(F.lit(None).cast(dim.schema[c].dataType).alias(c) for c in columns))
-    hit = dim.withColumn("_q", F.col(prefix)).select("_q", F.struct(F.col(order).alias("_o"), *columns).alias("_hit"))
-    best = keyed.join(hit, keyed["_p"] == hit["_q"], "left").groupBy("_id", *df.columns).agg(F.min("_hit").alias("_hit"))
-    return best.select(*df.columns, *(F.col(f"_hit.{c}").alias(c) for c in columns))
+def prefix_join(df: DataFrame, text: str, dim: DataFrame, prefix: str, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """df with the columns of dim's first row, by order, whose prefix the text starts with (and whose keys are the same);
+    without any, nulls. A column that both have is an error.
+
+    Prefixes and texts are sorted together. All prefixes of a text are prefixes of the last prefix before it in that order, too: so
+    each prefix has its chain, those of dim that it begins with and itself, each with the first row up to it, and a text takes from the
+    chain of the one before it the longest that it starts with. No row of df is copied, however many lengths there are."""
+    from .scan import running
+
+    own = [c for c in dim.columns if c not in keys]
+    if clash := {*own} & {*df.columns}:
+        raise ValueError(f"columns of both sides: {sorted(clash)}")
+    given = dim.filter(F.length(prefix) > 0).select(*keys, F.col(prefix).alias("_p"), F.struct(F.col(order).alias("_o"), *own).alias("_hit"))
+    each = given.groupBy(*keys, "_p").agg(F.min("_hit").alias("_hit"))
+    sizes = each.select(F.length("_p").alias("_size")).distinct().agg(F.sort_array(F.collect_set("_size")).alias("_sizes"))  # few lengths, on dim's side only
+    above = each.crossJoin(F.broadcast(sizes)).select(*keys, F.col("_p").alias("_below"), F.explode(F.filter("_sizes", lambda n: n <= F.length("_p"))).alias("_n"))
+    above = above.withColumn("_p", F.substring(F.col("_below"), F.lit(1), F.col("_n")))
+    chain = above.join(each, [*keys, "_p"]).groupBy(*keys, "_below").agg(F.array_sort(F.collect_list(F.struct("_n", F.col("_p").alias("p"), F.col("_hit").alias("hit")))).alias("_chain"))
+    marks = chain.select(*keys, F.col("_below").alias("_text"), F.lit(0).alias("_side"), "_chain", F.lit(None).cast(df.schema.simpleString()).alias("_row"))
+    rows = df.select(*keys, F.col(text).alias("_text"), F.lit(1).alias("_side"), F.lit(None).cast(chain.schema["_chain"].dataType).alias("_chain"), F.struct(*df.columns).alias("_row"))
+    at = running(marks.unionByName(rows), list(keys), [F.col("_text"), F.col("_side")], lasts={"_last": F.col("_chain")}).filter("_side = 1")
+    hits = F.transform(F.filter("_last", lambda e: F.startswith(F.col("_text"), e["p"])), lambda e: e["hit"])
+    return at.select("_row.*", F.array_min(hits).alias("_hit")).select(*df.columns, *(F.col(f"_hit.{c}").alias(c) for c in own))
+
+
+def drive_letters(df: DataFrame, path: str, volumes: DataFrame, out: str) -> DataFrame:
+    """Paths that begin with the device name of one of their host's volumes, with the drive letter in its place; others as they
+    are. volumes: host, device, letter. A device is a whole name, so volume 1 isn't volume 10."""
+    v = volumes.select("host", F.concat("device", F.lit("\\")).alias("_device"), F.col("letter").alias("_letter"))
+    d = prefix_join(df, path, v, "_device", "_letter", keys=("host",))
+    moved = F.concat("_letter", F.substring(F.col(path), F.length("_device"), F.length(path)))
+    return d.withColumn(out, F.coalesce(moved, path)).drop("_device", "_letter")
 
 
 def mount_points(df: DataFrame, serial: str, volumes: DataFrame, out: str = "mount") -> DataFrame:

@@ -97,6 +97,37 @@ def d5_removable_media(spark, sf):
     return D.token_join(p.select("page_id", "url"), "url", serials, "serial").select("page_id", "serial")
 
 
+@query(r"""WITH e AS (SELECT 'h' || user_id % 20 AS host, '\Device\HarddiskVolume' || event_id % 4 || '\P' || event_id % 50 || '.EXE' AS path, event_id % 6 AS k, ts FROM events),
+p AS (SELECT host, lower(CASE WHEN starts_with(path, '\Device\HarddiskVolume1\') THEN 'C:' || path[24:] WHEN starts_with(path, '\Device\HarddiskVolume2\') THEN 'D:' || path[24:] ELSE path END) AS program, k, CASE WHEN k < 5 THEN ts END AS ts FROM e)
+SELECT host, program, count(*) FILTER (k = 0) AS n_prefetch, count(*) FILTER (k = 1) AS n_bam, count(*) FILTER (k = 2) AS n_userassist, count(*) FILTER (k = 3) AS n_shimcache, count(*) FILTER (k = 4) AS n_amcache, count(*) FILTER (k = 5) AS n_muicache,
+  min(ts) AS first_ts, max(ts) AS last_ts FROM p GROUP BY ALL""")
+def d2_evidence_tables(spark, sf):
+    """Events dealt to the six tables, with device names that two volumes of each host translate."""
+    path = F.concat(F.lit("\\Device\\HarddiskVolume"), F.col("event_id") % 4, F.lit("\\P"), F.col("event_id") % 50, F.lit(".EXE"))
+    e = table(spark, sf, "events").select(F.concat(F.lit("h"), F.col("user_id") % 20).alias("host"), path.alias("path"), (F.col("event_id") % 6).alias("k"), utc("ts").alias("ts"))
+    of = lambda k, name, ts: e.filter(F.col("k") == k).select("host", F.col("path").alias(name), F.col("ts").alias(ts))
+    prefetch = of(0, "full_path", "ts").withColumn("runs", F.array("ts"))
+    mui = of(5, "name", "ts").withColumn("name", F.concat("name", F.lit(".FriendlyAppName")))
+    volumes = e.select("host").distinct().crossJoin(spark.sql(r"SELECT * FROM VALUES (r'\Device\HarddiskVolume1', 'C:'), (r'\Device\HarddiskVolume2', 'D:') AS v(device, letter)"))
+    out = D.execution_evidence(D.evidence_of_tables(prefetch, of(1, "name", "exec_ts"), of(2, "name", "last_ts"), of(3, "path", "last_mod_ts"), of(4, "long_path", "link_ts"), mui, volumes), D.EVIDENCE)
+    return out.withColumns({c: ntz(F.col(c)) for c in ("first_ts", "last_ts")})
+
+
+@query("""WITH m AS (SELECT user_id % 20 AS host, event_id % 3 AS drive, ts, max('s' || event_id % 30) FILTER (event_id % 30 IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)) AS serial FROM events WHERE event_type = 'signup' GROUP BY ALL),
+l AS (SELECT event_id, user_id % 20 AS host, event_id % 3 AS drive, event_id % 7 * 100 + event_id % 40 AS vol, ts FROM events WHERE event_type = 'click'),
+a AS (SELECT l.event_id, l.vol, m.serial FROM l ASOF LEFT JOIN m ON l.host = m.host AND l.drive = m.drive AND l.ts >= m.ts),
+v AS (SELECT vol, min(serial) AS serial FROM a GROUP BY vol HAVING count(DISTINCT serial) = 1)
+SELECT event_id, coalesce(a.serial, v.serial) AS serial, CASE WHEN a.serial IS NOT NULL THEN 'letter' WHEN v.serial IS NOT NULL THEN 'volume' END AS way FROM a LEFT JOIN v ON a.vol = v.vol""")
+def d5_media_trail(spark, sf):
+    """Signups as mounts of devices at three letters, clicks as links; suppliers of even number as known devices."""
+    e = table(spark, sf, "events").select("event_id", "event_type", (F.col("user_id") % 20).alias("host"), (F.col("event_id") % 3).alias("drive"), "ts")
+    device = F.concat(F.lit("_??_USBSTOR#Disk#S"), F.col("event_id") % 30, F.lit("#{53f56307}"))
+    mounts = e.filter("event_type = 'signup'").select("host", "drive", device.alias("device"), "ts")
+    usb = e.select("host").distinct().crossJoin(table(spark, sf, "supplier").filter("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("serial")))
+    links = e.filter("event_type = 'click'").select("event_id", "host", "drive", (F.col("event_id") % 7 * 100 + F.col("event_id") % 40).cast("string").alias("vol_serial"), "ts")
+    return D.media_trail(usb, mounts, links).select("event_id", "serial", "way")
+
+
 @query("""WITH s AS (SELECT user_id, ts, max(event_id) AS session_id FROM events WHERE event_type = 'signup' GROUP BY ALL)
 SELECT e.event_id, s.session_id FROM events e ASOF LEFT JOIN s ON e.user_id = s.user_id AND e.ts >= s.ts""")
 def d6_as_of(spark, sf):

@@ -237,6 +237,21 @@ def t19_shellbags(spark, sf):
     return out.filter("depth > 0").unionByName(out.filter("depth = 0").distinct())
 
 
+@query("SELECT event_id::VARCHAR AS name, event_type AS sid, props AS data FROM events")
+def s1_split_json(spark, sf):
+    """Events as one array of objects in each of a few files, read in byte ranges."""
+    from ..operators.store import scratch
+    from ..sources.split_json import read_large
+
+    root = scratch(spark)
+    e = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("Name"), F.col("event_type").alias("SID"), F.lit("").alias("SIDName"), F.col("props").alias("Data"))
+    one = F.to_json(F.struct("Name", "SID", "SIDName", "Data"))
+    parts = e.groupBy(F.floor(F.col("Name").cast("long") / 5000).alias("some")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(one), ", "), F.lit("]")).alias("value"))  # so many events a file
+    parts.withColumn("host", F.pmod("some", F.lit(8))).select("value", "host").write.option("maxRecordsPerFile", 1).partitionBy("host").text(root)
+    rows, _ = read_large(spark, root, "muicache", glob="*.txt")
+    return rows.select(F.col("Name").alias("name"), F.col("SID").alias("sid"), F.col("Data").alias("data"))
+
+
 @query(r"""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey // 10 AS up, p_partkey % 7 = 0 AS zip, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey DESC) - 1 AS pos FROM part),
 t AS (
   SELECT id, up, zip, pos, id::VARCHAR AS node_path, 0 AS depth, false AS in_archive FROM p WHERE up = 0

@@ -96,10 +96,10 @@ def objects(spark: SparkSession, root: str, glob: str) -> DataFrame:
     return found.filter(F.regexp_like("value", F.lit(r"\S")))
 
 
-def read_large(spark: SparkSession, root: str, kind: str, repair: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_large(spark: SparkSession, root: str, kind: str, repair: bool = True, glob: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows and quarantine of one kind for all hosts under root, like read_artefact(), from files of any size: elements are
     parsed, repaired and quarantined one by one, so that a damaged one costs only itself. ``pos`` is the element's
-    number. Empty files, which hold no element, have no row in either."""
-    d = objects(spark, root, KINDS[kind][0]).withColumns({"host": F.regexp_extract("source_file", r"/host=([^/]+)/", 1), "_text": F.concat(F.lit("["), "value", F.lit("]"))})
+    number. Empty files, which hold no element, have no row in either. glob: the files' names, if not the kind's."""
+    d = objects(spark, root, glob or KINDS[kind][0]).withColumns({"host": F.regexp_extract("source_file", r"/host=([^/]+)/", 1), "_text": F.concat(F.lit("["), "value", F.lit("]"))})
     rows, bad = parse_drops(d.drop("value"), kind, repair, text="_text")
     return rows.withColumn("pos", F.col("record").cast("int")).drop("record"), bad.drop("record")
