@@ -44,6 +44,7 @@ SQL_FUNCTIONS = {
     "af_exe_path": ("s STRING", "STRING", "substring_index(substring_index(replace(s, '\"', ''), ' -', 1), ' /', 1)"),
     "af_luid": ("hi BIGINT, lo BIGINT", "BIGINT", "shiftleft(hi, 32) + lo"),
     "af_serial": ("s STRING", "STRING", "upper(lpad(s, 8, '0'))"),
+    "af_serial_kept": ("s STRING", "STRING", "upper(trim(s))"),
     "af_serial_unpadded": ("s STRING", "STRING", "concat(" + ", ".join(f"regexp_replace(substring(s, {2 * i + 1}, 2), '^0', '')" for i in range(4)) + ")"),
     "af_unix_to_filetime": ("s BIGINT", "BIGINT", "s * 10000000 + 116444736000000000"),
     "af_utc_to_local": ("ts TIMESTAMP, bias INT", "TIMESTAMP", "ts - make_interval(0, 0, 0, 0, 0, bias, 0)"),
@@ -93,18 +94,20 @@ class ChainItems:
             yield pos, None, str(e)
 
 
-@udtf(returnType="pos: int, path: string, ticks: bigint, executed: boolean", useArrow=True)
+@udtf(returnType="pos: int, path: string, ticks: bigint, executed: boolean, error: string", useArrow=True)
 class ShimcacheRows:
-    """Records of a shimcache blob up to the first unknown one."""
+    """Records of a shimcache blob; where it is damaged, a last row with the error."""
 
     def eval(self, blob: bytes):
         from hostgrain.operators.decode import parse_shimcache
 
+        pos = 0
         try:
-            for pos, r in enumerate(parse_shimcache(blob or b"")):
-                yield pos, r["path"], r["ticks"], r["executed"]
-        except ValueError:
-            return
+            for r in parse_shimcache(blob or b""):
+                yield pos, r["path"], r["ticks"], r["executed"], None
+                pos += 1
+        except ValueError as e:
+            yield pos, None, None, None, str(e)
 
 
 def register_functions(spark: SparkSession) -> None:

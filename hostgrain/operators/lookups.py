@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import first_guid, hex_text, serial_normal, serial_unpadded
+from ..functions.scalars import first_guid, serial_normal, serial_unpadded
 
 # Labels of codes, from public documentation of the Windows API.
 CODE_LABELS = {
@@ -217,7 +217,3 @@ def with_parent(df: DataFrame, keys: list[str], id: str, parent: str, columns: l
     for k in keys:
         on &= df[k] == p[f"_{k}"]
     return df.join(p, on, "left").drop("_id", *(f"_{k}" for k in keys))
-
-
-def hex_key(n: Column) -> Column:
-    return hex_text(n)

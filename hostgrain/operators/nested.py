@@ -18,6 +18,20 @@ def gather(df: DataFrame, keys: list[str], order: str, columns: list[str], out:
     return df.groupBy(*keys).agg(F.array_sort(F.collect_list(child)).alias(out))
 
 
+def gather_where(df: DataFrame, keys: list[str], test: Column, columns: list[str], out: str) -> DataFrame:
+    """Values of the rows of each key that pass, as an array in the order of the columns (of one column: of the values
+    themselves). Other rows go before those of a key meet; a key none of whose rows passes has an empty array."""
+    child = F.struct(*columns) if len(columns) > 1 else F.col(columns[0])
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(test, child))).alias(out))
+
+
+def before_stop(df: DataFrame, keys: list[str], order: list[Column], stop: Column, out: str = "before") -> DataFrame:
+    """Whether a row comes, in order, before the first of its key that passes stop; all do if none passes."""
+    from .scan import running
+
+    return running(df, keys, order, sums={"_stops": F.coalesce(stop, F.lit(False)).cast("int")}).withColumn(out, F.col("_stops") == 0).drop("_stops")
+
+
 def flatten(df: DataFrame, array: str, position: str = "pos", item: str = "item") -> DataFrame:
     """One row per element with its position; rows without elements stay, with nulls."""
     return df.select(*(c for c in df.columns if c != array), F.posexplode_outer(array).alias(position, item))

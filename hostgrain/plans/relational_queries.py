@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -25,10 +24,8 @@ def p2_extension(spark, sf):
 
 @query("""SELECT user_id, list_filter(list(CASE WHEN event_type = 'error' THEN 0 ELSE event_id END ORDER BY event_id), lambda t: t <> 0) AS runs FROM events GROUP BY user_id""")
 def p3_drop_zero(spark, sf):
-    """Zeros go before the rows of a user meet: what is gathered is the result."""
     t = F.when(F.col("event_type") == "error", 0).otherwise(F.col("event_id"))
-    d = table(spark, sf, "events").select("user_id", F.when(t != 0, t).alias("t"))
-    return d.groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("runs"))
+    return N.gather_where(table(spark, sf, "events").select("user_id", t.alias("t")), ["user_id"], F.col("t") != 0, ["t"], "runs")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_linenumber >= 3 AS good FROM lineitem")
@@ -50,11 +47,8 @@ def p5_signature_gate(spark, sf):
 @query("""WITH a AS (SELECT user_id, list(event_type ORDER BY event_id) AS t FROM events GROUP BY user_id)
 SELECT user_id, CASE WHEN list_position(t, 'error') IS NULL OR list_position(t, 'error') = 0 THEN t ELSE t[1 : list_position(t, 'error') - 1] END AS kept FROM a""")
 def p6_take_until(spark, sf):
-    """Rows from the stop on go before the rows of a user meet: what is gathered is the result."""
-    stop = F.min(F.when(F.col("event_type") == "error", F.col("event_id"))).over(Window.partitionBy("user_id"))
-    d = table(spark, sf, "events").withColumn("stop", stop)
-    item = F.when(F.col("stop").isNull() | (F.col("event_id") < F.col("stop")), F.struct("event_id", "event_type"))
-    g = d.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    d = N.before_stop(table(spark, sf, "events"), ["user_id"], [F.col("event_id")], F.col("event_type") == "error")
+    g = N.gather_where(d, ["user_id"], F.col("before"), ["event_id", "event_type"], "all")
     return g.select("user_id", F.transform("all", lambda x: x["event_type"]).alias("kept"))
 
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import lookups as L
 from ..operators import nested as N
 from ..operators import tables as T
+from ..operators.store import scratch
 from ..sources import artefacts as A
 from .registry import ntz, query, table, utc
 
@@ -237,10 +237,21 @@ def t19_shellbags(spark, sf):
     return out.filter("depth > 0").unionByName(out.filter("depth = 0").distinct())
 
 
+@query("""SELECT event_id AS record_id, 'u' || user_id % 3 AS host, 'click' AS channel, ts::DATE AS day FROM events, (SELECT DISTINCT 'u' || n_nationkey AS h FROM nation WHERE n_regionkey = 1) WHERE h = 'u' || user_id % 3
+AND event_type = 'click' AND ts::DATE BETWEEN (SELECT min(ts)::DATE FROM events) AND (SELECT max(ts)::DATE - 3 FROM events)""")
+def s6_event_layout(spark, sf):
+    """Events in folders of host, channel and day; one channel, all but the last days, and the hosts of one region are read."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("record_id"), F.concat(F.lit("u"), F.col("user_id") % 3).alias("host"), F.when(F.col("event_type") == "click", "click").otherwise("other").alias("channel"), utc("ts").alias("time_created"))
+    root = scratch(spark)
+    A.write_events(e, root)
+    last = e.agg(F.min(F.to_date("time_created")).cast("string").alias("a"), F.date_sub(F.max(F.to_date("time_created")), 3).cast("string").alias("b")).head()
+    hosts = table(spark, sf, "nation").filter("n_regionkey = 1").select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("host"))
+    return A.read_events(spark, root, ["record_id", "host", "channel", "day"], ["click"], (last.a, last.b), hosts)
+
+
 @query("SELECT event_id::VARCHAR AS name, event_type AS sid, props AS data FROM events")
 def s1_split_json(spark, sf):
     """Events as one array of objects in each of a few files, read in byte ranges."""
-    from ..operators.store import scratch
     from ..sources.split_json import read_large
 
     root = scratch(spark)
@@ -284,8 +295,7 @@ SELECT r.user_id, r.event_id, r.rank::INTEGER AS rank FROM r JOIN s USING (user_
 def t20_mru(spark, sf):
     """Most recent first, up to the terminator, which an error stands for."""
     e = N.mru_rank(table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
-    stop = F.min(F.when(F.col("event_type") == "error", F.col("rank"))).over(Window.partitionBy("user_id"))
-    return e.withColumn("stop", stop).filter("stop IS NULL OR rank < stop").select("user_id", "event_id", "rank")
+    return N.before_stop(e, ["user_id"], [F.col("rank")], F.col("event_type") == "error").filter("before").select("user_id", "event_id", "rank")
 
 
 @query("""SELECT page_id, url || '?p=a b' AS target, regexp_extract(url, '://([^/]+)', 1) AS host_name, '0000' || lpad(upper(to_hex(page_id)), 4, '0') AS vol_serial, ['HasName'] AS flags FROM pages""")
@@ -483,7 +493,6 @@ def write_host_files(d, root, file_bytes=32 << 20):
 def s3_binary_files(spark, sf):
     """Texts written as files below host folders (a line each; as many files a host as its bytes need), scanned as binary,
     and hashed again."""
-    from ..operators.store import scratch
 
     d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("host"), F.hex(F.coalesce("text", F.lit("")).cast("binary")).alias("value"))
     root = scratch(spark)
@@ -525,7 +534,6 @@ def s6_read_events(spark, sf):
 
 @query("SELECT event_id, event_type AS host, value FROM events")
 def s7_write_artefact(spark, sf):
-    from ..operators.store import scratch
 
     out = scratch(spark)
     e = table(spark, sf, "events").select("event_id", F.col("event_type").alias("host"), "value")

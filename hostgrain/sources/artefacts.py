@@ -170,9 +170,28 @@ def current_control_set(reg: DataFrame) -> DataFrame:
     return reg.join(current, reg["host"] == current["_host"], "left").filter((own == "") | (F.lower(own) == F.lower("_set"))).drop("_host", "_set")
 
 
-def read_events(spark: SparkSession, root: str, columns: list[str] | None = None) -> DataFrame:
-    """Event rows of all hosts and channels, kept as Parquet; splittable, with its columns pruned."""
+#: Layout of event tables: the folders, in order.
+EVENT_LAYOUT = ["host", "channel", "day"]
+
+
+def write_events(events: DataFrame, root: str, time: str = "time_created") -> None:
+    """Event rows below host, channel and day of their instant (null instants have a folder of their own), sorted by record in each file. Folders
+    of any share of the rows are split over tasks, and small ones share a task, so that neither one task nor many small files come of it."""
+    d = events.withColumn("day", F.to_date(time))
+    d.hint("rebalance", *EVENT_LAYOUT).sortWithinPartitions(*EVENT_LAYOUT, "record_id").write.mode("overwrite").partitionBy(*EVENT_LAYOUT).parquet(root)
+
+
+def read_events(spark: SparkSession, root: str, columns: list[str] | None = None, channels: list[str] | None = None, days: tuple[str, str] | None = None, hosts: DataFrame | None = None) -> DataFrame:
+    """Event rows of all hosts and channels, kept as Parquet; splittable, with its columns pruned. Of a layout that write_events() made, only the
+    folders of the channels and days (first and last) are listed, and with hosts (a table with a filter on its rows) only those of its
+    hosts are read, which is found out as the query runs."""
     d = spark.read.parquet(root)
+    if channels is not None:
+        d = d.filter(F.col("channel").isin(channels))
+    if days is not None:
+        d = d.filter(F.col("day").between(*(F.lit(x).cast("date") for x in days)))
+    if hosts is not None:
+        d = d.join(hosts.select("host").distinct(), "host")
     return d.select(*columns) if columns else d
 
 

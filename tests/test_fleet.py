@@ -115,3 +115,22 @@ def test_bags_from_json(spark):
     assert {(r.node_path, r.mru_pos, r.in_archive) for r in bags.collect()} == {("9", None, False), ("9/1", 0, True), ("9/1/2", 0, True), ("9/3", 1, True), ("8", None, False), ("8/4", 0, True)}
     items = {(r.node_path, r.pos): (r.name, r.in_archive) for r in T.shell_items(bags.select("node_path", "in_archive", "items")).collect()}
     assert items == {("9", 0): ("a.zip", False), ("9/1", 0): ("x", True), ("9/1/2", 0): ("y", True), ("9/3", 0): ("z", True), ("8", 0): ("b", False), ("8", 1): ("c.rar", False), ("8", 2): ("d", True), ("8/4", 0): ("e", True)}
+
+
+def test_event_folders_are_pruned(spark, tmp_path):
+    rows = [(i, f"h{i % 4}", "ab"[i % 2], T0 + dt.timedelta(days=i % 5) if i % 11 else None) for i in range(200)]
+    events = spark.createDataFrame(rows, "record_id long, host string, channel string, time_created timestamp")
+    root = str(tmp_path / "events")
+    A.write_events(events, root)
+    assert sorted(r.record_id for r in A.read_events(spark, root).collect()) == list(range(200))
+    dim = spark.createDataFrame([("h1", 1), ("h2", 2)], "host string, site int")
+    dim.write.parquet(str(tmp_path / "dim"))
+    hosts = spark.read.parquet(str(tmp_path / "dim")).filter("site = 1")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    got = A.read_events(spark, root, ["record_id"], ["b"], ("2024-01-02", "2024-01-03"), hosts)
+    assert sorted(r.record_id for r in got.collect()) == [i for i, h, c, t in rows if h == "h1" and c == "b" and t and t.day in (2, 3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan_of = next(x for x in plan.splitlines() if "FileScan" in x and "PartitionFilters" in x and "channel" in x)
+    filters = scan_of.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "channel" in filters and "day" in filters and "dynamicpruning" in filters and "time_created" not in scan_of
