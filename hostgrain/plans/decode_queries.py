@@ -73,13 +73,17 @@ def b2_prefetch(spark, sf):
 @query("SELECT p_partkey // 50 AS list_id, p_name AS path, p_partkey * 10000000 + 116444736000000000 AS ticks, p_size % 2 = 1 AS executed FROM part")
 def b3_shimcache(spark, sf):
     """Parts packed into cache blobs, some records with data and some without."""
+    return _good(B.decode_shimcache(_caches(spark, sf), "b", ["list_id"])).select("list_id", "path", "ticks", "executed")
+
+
+def _caches(spark, sf):
     name = _wide(F.col("p_name"))
     data = F.when(F.col("p_size") % 2 == 1, F.concat(_u(4, 4), _u(1, 4))).otherwise(F.concat(_u(0, 4)))
     record = F.concat(F.lit(b"10ts"), _zeros(8), _u(F.octet_length(name), 2), name, _u(S.unix_to_filetime(F.col("p_partkey")), 8), data)
     d = table(spark, sf, "part").select(F.floor(F.col("p_partkey") / 50).alias("list_id"), "p_partkey", F.hex(record).alias("h"))
     g = N.gather(d, ["list_id"], "p_partkey", ["h"], "c")
     blob = F.unhex(F.concat(F.hex(F.concat(_u(52, 4), _zeros(48))), F.array_join(F.transform("c", lambda x: x["h"]), "")))
-    return _good(B.decode_shimcache(g.select("list_id", blob.alias("b")), "b", ["list_id"])).select("list_id", "path", "ticks", "executed")
+    return g.select("list_id", blob.alias("b"))
 
 
 @query("SELECT c_custkey, c_custkey AS entry_no, c_mktsegment AS host, c_name AS path, c_acctbal >= 0 AS pinned FROM customer")

@@ -263,6 +263,54 @@ def s1_split_json(spark, sf):
     return rows.select(F.col("Name").alias("name"), F.col("SID").alias("sid"), F.col("Data").alias("data"))
 
 
+def _values_of(df, key, names):
+    """Registry values below a key from columns: each becomes a string value, or a flag, of the row's own key."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("value_name"), F.lit("REG_DWORD" if n.startswith("Is") else "REG_SZ").alias("value_type"), c.alias("data")) for n, c in names.items())))
+    own = [F.concat(F.lit("h"), F.col("id") % 5).alias("host"), F.lit("Amcache").alias("hive"), F.lit(None).cast("string").alias("sid"), F.concat(F.lit(f"Root\\{key}\\"), F.col("id").cast("string")).alias("key_path")]
+    return df.select(*own, each.alias("v")).select("host", "hive", "sid", "key_path", "v.*", F.lit(None).cast("timestamp").alias("key_last_write"))
+
+
+def _sz(c):
+    return F.encode(F.concat(c.cast("string"), F.lit("\0")), "UTF-16LE")
+
+
+@query("SELECT 'h' || p_partkey % 5 AS host, p_partkey::VARCHAR AS id, p_name AS name, p_brand AS publisher, CASE WHEN p_partkey % 3 > 0 THEN p_type END AS version, TIMESTAMP '2020-01-01' + p_size * INTERVAL 1 DAY AS install_ts FROM part")
+def t14_amcache_registry(spark, sf):
+    """Parts as applications, two in three with a version, each value a row of the registry."""
+    from ..operators import raw_inventory as I
+
+    p = table(spark, sf, "part").withColumn("id", F.col("p_partkey"))
+    date = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size").cast("int")), "MM/dd/yyyy HH:mm:ss")
+    version = F.when(F.col("p_partkey") % 3 > 0, _sz(F.col("p_type")))
+    reg = _values_of(p, "InventoryApplication", {"Name": _sz(F.col("p_name")), "publisher": _sz(F.col("p_brand")), "Version": version, "InstallDate": _sz(date)})
+    return I.amcache_apps_from_registry(reg).select("host", "id", "name", "publisher", "version", ntz(F.col("install_ts")).alias("install_ts"))
+
+
+@query("SELECT 'h' || p_partkey % 5 AS host, p_partkey::VARCHAR AS id, p_name AS name, lower(p_brand) AS long_path, p_size % 2 = 1 AS is_os_component FROM part")
+def t15_amcache_registry(spark, sf):
+    from ..operators import raw_inventory as I
+
+    p = table(spark, sf, "part").withColumn("id", F.col("p_partkey"))
+    reg = _values_of(p, "InventoryApplicationFile", {"Name": _sz(F.col("p_name")), "LowerCaseLongPath": _sz(F.lower("p_brand")), "IsOsComponent": S.le_bytes(F.col("p_size") % 2, 4)})
+    return I.amcache_files_from_registry(reg).select("host", "id", "name", "long_path", "is_os_component")
+
+
+@query("SELECT 'h' || p_partkey // 50 AS host, (row_number() OVER (PARTITION BY p_partkey // 50 ORDER BY p_partkey) - 1)::INTEGER AS pos, p_name AS path, make_timestamp(p_partkey::BIGINT * 1000000) AS last_mod_ts, p_size % 2 = 1 AS executed FROM part")
+def t18_shimcache_registry(spark, sf):
+    """Parts in caches of fifty, one a host, beside one of another control set."""
+    from ..operators import raw_inventory as I
+    from .decode_queries import _caches
+
+    key = "SYSTEM\\ControlSet00{}\\Control\\Session Manager\\AppCompatCache"
+    host = F.concat(F.lit("h"), F.col("list_id").cast("string")).alias("host")
+    row = lambda k, n, t, data: [host, F.lit("SYSTEM").alias("hive"), F.lit(None).cast("string").alias("sid"), F.lit(k).alias("key_path"), F.lit(n).alias("value_name"), F.lit(t).alias("value_type"), data.alias("data"), F.lit(None).cast("timestamp").alias("key_last_write")]
+    c = _caches(spark, sf)
+    reg = c.select(*row(key.format(2), "AppCompatCache", "REG_BINARY", F.col("b"))).unionByName(c.select(*row(key.format(1), "AppCompatCache", "REG_BINARY", F.col("b"))))
+    reg = reg.unionByName(c.select(*row("SYSTEM\\Select", "Current", "REG_DWORD", S.le_bytes(F.lit(2), 4))))
+    rows, _ = I.shimcache_from_registry(A.current_control_set(reg))
+    return rows.select("host", "pos", "path", ntz(F.col("last_mod_ts")).alias("last_mod_ts"), "executed")
+
+
 @query(r"""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_partkey // 10 AS up, p_partkey % 7 = 0 AS zip, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey DESC) - 1 AS pos FROM part),
 t AS (
   SELECT id, up, zip, pos, id::VARCHAR AS node_path, 0 AS depth, false AS in_archive FROM p WHERE up = 0

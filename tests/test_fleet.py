@@ -134,3 +134,24 @@ def test_event_folders_are_pruned(spark, tmp_path):
     scan_of = next(x for x in plan.splitlines() if "FileScan" in x and "PartitionFilters" in x and "channel" in x)
     filters = scan_of.split("PartitionFilters: [")[1].split("PushedFilters")[0]
     assert "channel" in filters and "day" in filters and "dynamicpruning" in filters and "time_created" not in scan_of
+
+
+def test_inventories_from_the_registry(spark):
+    from hostgrain.operators import raw_inventory as I
+
+    wide = lambda t: bytearray((t + "\0").encode("utf-16-le"))
+    app, file, cache = "Root\\InventoryApplication\\a1", "Root\\InventoryApplicationFile\\f1", "SYSTEM\\ControlSet001\\Control\\Session Manager\\AppCompatCache"
+    record = b"10ts" + bytes(8) + struct.pack("<H", 4) + "ab".encode("utf-16-le") + struct.pack("<q", 116444736000000000) + struct.pack("<I", 4) + struct.pack("<HH", 1, 0)
+    rows = [
+        (app, "name", "REG_SZ", wide("App")), (app, "InstallDate", "REG_SZ", wide("02/03/2021 04:05:06")), (app, "Version", "REG_SZ", None), (app, "Other", "REG_SZ", wide("x")), (app + "\\deep", "Name", "REG_SZ", wide("no")),
+        ("Root\\InventoryApplication\\a2", "InstallDate", "REG_SZ", wide("never")), (file, "IsOsComponent", "REG_DWORD", bytearray(struct.pack("<I", 1))), (file, "LowerCaseLongPath", "REG_SZ", wide("c:\\x")),
+        (cache, "AppCompatCache", "REG_BINARY", bytearray(struct.pack("<I", 4) + record + b"10xx")), (cache, "Other", "REG_BINARY", bytearray(b"")),
+    ]
+    reg = spark.createDataFrame([("h", "H", None, k, n, t, d, None) for k, n, t, d in rows], A.REG_VALUES)
+    apps = {r.id: r for r in I.amcache_apps_from_registry(reg).collect()}
+    assert set(apps) == {"a1", "a2"} and (apps["a1"].name, apps["a1"].version, apps["a1"].install_ts) == ("App", None, dt.datetime(2021, 2, 3, 4, 5, 6))
+    assert apps["a2"].name is None and apps["a2"].install_ts is None
+    assert [(r.id, r.long_path, r.is_os_component, r.link_ts) for r in I.amcache_files_from_registry(reg).collect()] == [("f1", "c:\\x", True, None)]
+    good, bad = I.shimcache_from_registry(reg)
+    assert [tuple(r) for r in good.collect()] == [("h", 0, "ab", dt.datetime(1970, 1, 1), True)] and [r.host for r in bad.collect()] == ["h"]
+    assert I.amcache_apps_from_registry(reg.limit(0)).count() == 0

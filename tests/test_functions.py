@@ -104,9 +104,12 @@ def test_sql_names(spark):
     damaged = spark.sql("SELECT t.* FROM VALUES (X'0400414201'), (X'0400414201000000'), (NULL) AS b(x), LATERAL af_chain_items(x) AS t").collect()
     assert [(r.pos, r.item and bytes(r.item), r.error is None) for r in damaged] == [(0, b"AB", True), (0, b"AB", True), (1, None, False)]
     assert spark.sql("SELECT af_filetime_to_ts(-9223372036854775808)").first()[0] is None
+    assert spark.sql("SELECT af_serial_kept(' 1f2ab ')").first()[0] == "1F2AB"
+    rows = spark.sql("SELECT pos, path, error FROM af_shimcache_rows(X'04000000' || X'FFFFFFFF')").collect()  # damage shows
+    assert len(rows) == 1 and rows[0].path is None and rows[0].error
     assert spark.sql("SELECT af_rot13('Uryyb'), af_luid(1, 2), af_serial('ab'), af_exe_path('a -b')").first()[:] == ("Hello", 2**32 + 2, "000000AB", "a")
     assert spark.sql(f"SELECT CAST(af_fat_to_ts({((4 << 11 | 6 << 5 | 4) << 16) | (21 << 9 | 2 << 5 | 3)}) AS STRING)").first()[0] == "2001-02-03 04:06:08"
-    assert len(SQL_FUNCTIONS) == 38
+    assert len(SQL_FUNCTIONS) == 39
 
 
 def test_sql_names_agree_with_the_functions(spark):
