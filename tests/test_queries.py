@@ -79,7 +79,7 @@ def test_nested_texts_are_bounded(spark, tmp_path, monkeypatch, name):
     """A nation of 3,500 customers is several texts and still one tree."""
     spark.range(3500).select(F.col("id").alias("c_custkey"), F.lit(7).alias("c_nationkey"), F.lit("n").alias("c_name")).write.parquet(f"{tmp_path}/customer.parquet")
     walk, texts = N.variant_tree, []
-    monkeypatch.setattr(N, "variant_tree", lambda df, *a: (texts.append(df), walk(df, *a))[1])
+    monkeypatch.setattr(N, "variant_tree", lambda df, *a, **k: (texts.append(df), walk(df, *a, **k))[1])
     got = QUERIES[name](spark, str(tmp_path)).collect()
     assert texts[0].count() > 3 and Counter(r.depth for r in got) == {0: 1, 1: 3500}
 
