@@ -10,9 +10,7 @@ random-access points.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -249,10 +247,3 @@ def digest(read: DataFrame) -> DataFrame:
         F.crc32(F.substring(F.col("payload"), -64, 64)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
     )
-
-
-def reference_digest(text: str | None) -> tuple:
-    """What digest() gives of the payload, computed apart from any stream, for tests."""
-    raw = (text or "").encode()
-    payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
-    return len(raw), len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-64:])
