@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A key is heavy if it holds more than one row in HEAVY_SHARE, and more than LIGHT: so at most HEAVY_SHARE keys are.
-HEAVY_SHARE, LIGHT = 10_000, 1_000
+HEAVY_SHARE, LIGHT = 10_000, 1_000_000
 
 
 def join_to_one(rows: DataFrame, ones: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
