@@ -186,9 +186,11 @@ def drive_letters(df: DataFrame, path: str, volumes: DataFrame, out: str) -> Dat
 
 
 def mount_points(df: DataFrame, serial: str, volumes: DataFrame, out: str = "mount") -> DataFrame:
-    """Drive letters by (host, serial), for padded and unpadded spellings. volumes: host, serial, letter."""
+    """Drive letters by (host, serial), for padded and unpadded spellings. volumes: host, serial, letter. An unpadded spelling that
+    several serials of a host share names none of them (1101 and 0111 both become 00111). Of a serial at several letters, the least."""
     normal = serial_normal(F.col("serial"))
-    v = volumes.select(F.col("host").alias("_host"), F.explode(F.array_distinct(F.array(normal, serial_unpadded(normal)))).alias("_serial"), F.col("letter").alias("_letter")).dropDuplicates(["_host", "_serial"])
+    v = volumes.select(F.col("host").alias("_host"), normal.alias("_normal"), F.explode(F.array_distinct(F.array(normal, serial_unpadded(normal)))).alias("_serial"), F.col("letter").alias("_letter"))
+    v = v.groupBy("_host", "_serial").agg(F.min("_letter").alias("_letter"), F.min("_normal").alias("_a"), F.max("_normal").alias("_b")).filter("_a = _b").drop("_a", "_b")
     joined = df.join(v, (df["host"] == v["_host"]) & (F.upper(df[serial]) == v["_serial"]), "left")
     return joined.withColumn(out, F.coalesce("_letter", F.lit(""))).drop("_host", "_serial", "_letter")
 
