@@ -95,27 +95,29 @@ def parse_drops(files: DataFrame, kind: str, repair: bool = True, text: str = "v
     whole = ArrayType(StructType.fromDDL(KINDS[kind][1]))
     array = F.when(F.startswith(F.ltrim(F.col(text)), F.lit("[")), F.col(text)).otherwise(F.concat(F.lit("["), F.col(text), F.lit("]")))
     fail = {"mode": "PERMISSIVE"}
-    parsed = files.withColumn("_json", array)
     # An array that doesn't parse as strict variant JSON is not sound, whatever rows a lenient reader finds in it.
-    parsed = parsed.withColumn("_sound", F.try_parse_json("_json").isNotNull())
+    parsed = files.withColumn("_json", array).withColumn("_v", F.try_parse_json("_json"))
     if repair:
-        parsed = parsed.withColumn("_json", F.when(F.col("_sound"), F.col("_json")).otherwise(repair_json(F.col("_json"))))
-        parsed = parsed.withColumn("_sound", F.col("_sound") | F.try_parse_json("_json").isNotNull())
-    blank = F.coalesce(F.trim(F.regexp_replace(text, r"\s", "")), F.lit("")) == ""
-    sound = F.coalesce("_sound", F.lit(False)) & ~blank
-    carried = [c for c in files.columns if c != text]
-    # Elements one by one only where some of them aren't objects.
-    good = parsed.filter(sound).withColumn("_items", F.try_variant_get(F.try_parse_json("_json"), "$", "array<variant>"))
+        parsed = parsed.withColumn("_json", F.when(F.col("_v").isNotNull(), F.col("_json")).otherwise(repair_json(F.col("_json"))))
+        parsed = parsed.withColumn("_v", F.when(F.col("_v").isNotNull(), F.col("_v")).otherwise(F.try_parse_json("_json")))
+    parsed = parsed.withColumn("_items", F.try_variant_get("_v", "$", "array<variant>"))
     is_object = lambda v: F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), F.lit(False))
-    good = good.withColumn("_plain", F.forall("_items", is_object))
-    one = lambda v: F.when(is_object(v), F.get(F.from_json(F.concat(F.lit("["), F.to_json(v), F.lit("]")), whole, fail), F.lit(0)))
-    good = good.withColumn("_rows", F.when(F.col("_plain"), F.from_json("_json", whole, fail)).otherwise(F.transform("_items", one)))
-    rows = good.select(*carried, F.posexplode("_rows").alias("pos", "_r")).filter(F.col("_r").isNotNull()).select(*carried, "pos", "_r.*")
-    bad = parsed.filter(~sound).select(*carried, F.when(blank, "empty file").otherwise("invalid JSON").alias("reason"), F.col(text).alias("text"))
-    odd = good.filter(~F.col("_plain")).select(*carried, F.explode(F.filter("_items", lambda v: ~is_object(v))).alias("_v"))
-    odd = odd.select(*carried, F.lit("not an object").alias("reason"), F.coalesce(F.to_json("_v"), F.lit("null")).alias("text"))
-    lost = good.filter(F.col("_rows").isNull()).select(*carried, F.lit("not an array of objects").alias("reason"), F.col(text).alias("text"))
-    return rows, bad.unionByName(odd).unionByName(lost)
+    parsed = parsed.withColumn("_plain", F.forall("_items", is_object))
+    # All of a file comes out of one array, rows and what is wrong alike, and is told apart behind it: a test before it would parse the text again.
+    row = lambda r, i: F.struct(F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("text"), i.cast("int").alias("pos"), r.alias("r"))
+    wrong = lambda reason, said: F.struct(F.lit(reason).alias("reason"), said.alias("text"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast(whole.elementType).alias("r"))
+    only = lambda reason: F.array(wrong(reason, F.col(text)))
+    one = lambda v: F.get(F.from_json(F.concat(F.lit("["), F.to_json(v), F.lit("]")), whole, fail), F.lit(0))
+    # Elements one by one only where some of them aren't objects.
+    each = lambda v, i: F.when(is_object(v), row(one(v), i)).otherwise(wrong("not an object", F.coalesce(F.to_json(v), F.lit("null"))))
+    found = F.when(F.col("_plain"), F.transform(F.from_json("_json", whole, fail), row)).otherwise(F.transform("_items", each))
+    blank = ~F.coalesce(F.col(text).rlike(r"\S"), F.lit(False))
+    out = F.when(blank, only("empty file")).when(F.col("_v").isNull(), only("invalid JSON")).otherwise(F.coalesce(found, only("not an array of objects")))
+    carried = [c for c in files.columns if c != text]
+    # Outer, since Spark would test for empty arrays before it otherwise.
+    every = parsed.select(*carried, F.explode_outer(out).alias("_o"))
+    rows = every.filter(F.col("_o.reason").isNull() & F.col("_o.r").isNotNull()).select(*carried, "_o.pos", "_o.r.*")
+    return rows, every.filter(F.col("_o.reason").isNotNull()).select(*carried, "_o.reason", "_o.text")
 
 
 def read_artefact(spark: SparkSession, root: str, kind: str, repair: bool = True) -> tuple[DataFrame, DataFrame]:

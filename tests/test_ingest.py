@@ -177,3 +177,15 @@ def test_options_and_sinks(spark, tmp_path):
     for _ in range(2):
         path = A.write_artefact(df.select("host", F.lit(1).alias("x")), str(tmp_path), "run", "json")
     assert spark.read.json(path).count() == 1
+
+
+def test_texts_are_parsed_once_a_pass(spark):
+    """Twice in a plan: as it stands, and repaired. No filter in front of the rows parses it again, and the quarantine is one pass."""
+    files = spark.createDataFrame([("a", '[{"Name": "x",}, 5]'), ("b", "[{"), ("c", " \n"), ("d", None), ("e", '{"Name": "y"}'), ("f", "[null, {}]"), ("g", "[]")], "f string, value string")
+    rows, bad = A.parse_drops(files.repartition(2), "users")
+    for df in (rows, bad):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("VariantExpressionEvalUtils.parseJson(") == 2 and plan.count("Repartition 2") == 1
+    assert sorted((r.f, r.pos, r.Name) for r in rows.collect()) == [("a", 0, "x"), ("e", 0, "y"), ("f", 1, None)]
+    assert sorted((r.f, r.reason, r.text) for r in bad.fillna("-").collect()) == [
+        ("a", "not an object", "5"), ("b", "invalid JSON", "[{"), ("c", "empty file", " \n"), ("d", "empty file", "-"), ("f", "not an object", "null")]
