@@ -182,8 +182,8 @@ def jumplist_custom_from_files(files: DataFrame, apps: DataFrame) -> tuple[DataF
     keys = ["host", "file", "type"]
     code = S.le_uint(F.col("content"), 0, 4)
     d = files.select("host", "file", L.code_label("custom_type", code.try_cast("int")).alias("type"), F.when((code == 2) & (F.octet_length("content") > 24), F.col("content")).alias("content"))
-    good, bad = B.split_errors(B.embedded_links(d, "content", keys))
-    found = links(good, [*keys, "offset"])
-    none = d.join(good.select("host", "file").distinct(), ["host", "file"], "left_anti").select(*keys)
-    out = found.unionByName(none, allowMissingColumns=True).withColumn("_id", app_id(F.col("file")))
+    good, bad = B.split_errors(B.embedded_links(d, "content", keys, bare=True))
+    out = links(good, [*keys, "offset"])
+    out = out.select(*keys, "offset", *(F.when(F.col("offset").isNotNull(), F.col(c)).alias(c) for c in out.columns[len(keys) + 1 :]))
+    out = out.withColumn("_id", app_id(F.col("file")))
     return L.app_names(out, "_id", apps).drop("_id"), bad.select("host", "file", F.col("error").alias("reason"))

@@ -151,3 +151,25 @@ def test_folder_paths(spark):
 def test_orders_of_lists(spark):
     d = frame(spark, order(3, 1, 0xFFFFFFFF, 2), order(0xFFFFFFFF), order(4) + b"\1\2", b"", b"\1")
     assert [r[0] for r in d.select(R.mru_numbers(F.col("b")), "id").orderBy("id").collect()] == [[3, 1], [], [4], None, None]
+
+
+def test_custom_destinations_are_decoded_once(spark):
+    """Files without a good link, damaged ones among them, have one bare row, from the same pass as the links."""
+    damaged = B.LNK_HEADER + bytes(3)
+    tasks = b"\x02" + bytes(23)
+    files = spark.createDataFrame([("h", "damaged", tasks + damaged), ("h", "none", tasks + b"x"), ("h", "short", tasks), ("h", "other", bytes(24) + damaged), (None, "nowhere", tasks + b"x")], "host string, file string, content binary")
+    apps = spark.createDataFrame([("none", "none")], "app_id string, name string")
+    out, bad = R.jumplist_custom_from_files(files, apps)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    rows = out.collect()
+    assert sorted(r.file for r in rows) == ["damaged", "none", "nowhere", "other", "short"]
+    assert all(r[c] is None for r in rows for c in out.columns if c not in ("host", "file", "type", "application"))
+    assert [r.file for r in bad.collect()] == ["damaged"]
+
+
+def test_bare_rows_of_values_that_do_not_fit(spark):
+    """A blob whose only row is one that its column can't hold counts as without a good row."""
+    parse = lambda b: iter([{"n": 2**70}] if b == b"big" else [{"n": 1}] if b == b"ok" else [])
+    d = spark.createDataFrame([(1, b"big"), (2, b"ok"), (3, b""), (4, None)], "id int, b binary").coalesce(1)
+    got = sorted(((r.id, r.n, r.error is None) for r in B.decode(d, "b", ["id"], "n long", parse, bare=True).collect()), key=repr)
+    assert got == [(1, None, False), (1, None, True), (2, 1, True), (3, None, True), (4, None, True)]
