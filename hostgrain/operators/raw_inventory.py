@@ -18,11 +18,13 @@ COMPATIBILITY_CACHE = "AppCompatCache"
 
 def values_as_columns(reg: DataFrame, key: str, names: dict[str, str], value: Column) -> DataFrame:
     """One row for each key right below one of the name key: host, id (the key's own name) and a column for each named value, null
-    where the key hasn't got it. Names are told apart whatever their case; of a value that is there twice, the greatest. A
-    key's values are few, and are summed up before they are shuffled."""
+    where the key hasn't got it. Names are told apart whatever their case; of a value that is there twice, the greatest. Texts are summed up
+    by a sort, so rows are dealt by key before it: a task sorts a share of the keys, not all of the input that it reads. Of a value only what is shown moves."""
     d = reg.filter(F.col("key_path").rlike(rf"(?i)(^|\\){key}\\[^\\]+$"))
-    of = lambda n: F.max(F.when(F.lower("value_name") == n.lower(), value))
-    return d.groupBy("host", "hive", "key_path").agg(*(of(n).alias(c) for n, c in names.items())).select("host", F.element_at(F.split("key_path", r"\\"), -1).alias("id"), *names.values())
+    keys = ["host", "hive", "key_path"]
+    d = d.select(*keys, F.lower("value_name").alias("_name"), value.alias("_value")).repartition(*keys)
+    of = lambda n: F.max(F.when(F.col("_name") == n.lower(), F.col("_value")))
+    return d.groupBy(*keys).agg(*(of(n).alias(c) for n, c in names.items())).select("host", F.element_at(F.split("key_path", r"\\"), -1).alias("id"), *names.values())
 
 
 def _text() -> Column:

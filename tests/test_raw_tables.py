@@ -173,3 +173,15 @@ def test_bare_rows_of_values_that_do_not_fit(spark):
     d = spark.createDataFrame([(1, b"big"), (2, b"ok"), (3, b""), (4, None)], "id int, b binary").coalesce(1)
     got = sorted(((r.id, r.n, r.error is None) for r in B.decode(d, "b", ["id"], "n long", parse, bare=True).collect()), key=repr)
     assert got == [(1, None, False), (1, None, True), (2, 1, True), (3, None, True), (4, None, True)]
+
+
+def test_values_are_dealt_by_key_before_they_are_sorted(spark):
+    """Values of a key in several partitions and cases are one row; no task sorts all that it reads."""
+    from hostgrain.operators import raw_inventory as I
+
+    sz = lambda t: bytearray((t + "\0").encode("utf-16-le"))
+    rows = [("h", "Amcache", None, f"Root\\InventoryApplication\\{k}", n, "REG_SZ", sz(f"{n.lower()}{k}"), None) for k in range(20) for n in ("Name", "PUBLISHER", "other")]
+    got = I.amcache_apps_from_registry(spark.createDataFrame(rows, A.REG_VALUES).repartition(5, "value_name"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [host" in plan.split("Aggregate", 1)[1]
+    assert sorted((int(r.id), r.name, r.publisher, r.version) for r in got.collect()) == [(k, f"name{k}", f"publisher{k}", None) for k in range(20)]
