@@ -13,7 +13,7 @@ Everything is DataFrame operations, without Python in any task, and in proportio
 have one field for each FIELD_EVERY of them, f, besides tokens with digits. What is counted first are hashes of its
 f + 1 equal parts: two lines of one template differ at f places at most, and so agree in a whole part. Lines that share a part
 with a different line go on to be counted token by token, once for each distinct line, however often it occurs; any
-other line is its own template. (Whether lines differ is told by 32 bits in that first count, which is most of what is shuffled.)
+other line is its own template. (Whether lines differ is told by 64 bits in that first count, which is most of what is shuffled.)
 Documents of equal text count once, so that copies of a document don't make templates of all its lines.
 
 Templates, lines and rows are told apart by two 64-bit hashes, 128 bits. Texts are told apart by 64 bits: that only matters
@@ -22,16 +22,18 @@ between the texts of one template.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, join_to_one
+from .common import cut, heavy_limit, join_to_one
 
 WILD = "<*>"
 BLANK = " \t\x0b\x0c\r"
 #: A line may have a field without a digit for each FIELD_EVERY tokens.
 FIELD_EVERY = 5
 COUNT_BITS = 40
+#: Heavy parts are found in one row of so many.
+DRAWN = 64
 
 
 def tokens_of(line: Column) -> Column:
@@ -78,6 +80,25 @@ def _lines(rows: DataFrame, depth: int, min_bytes: int) -> DataFrame:
     return lines.select("doc_id", "_x", "_r", "line", F.when(F.col("_f") > 0, F.col("_parts")).alias("_parts"), *_hashes(F.col("_parts"), "_e1", "_e2"))
 
 
+def _varying(lines: DataFrame) -> DataFrame:
+    """_e1 of the lines that share a part with a different line, each once.
+
+    Parts are shuffled once, and lines of a part compared where they then lie. Parts that many rows hold don't go there: they are
+    compared task by task first, and what they share is broadcast. Which these are, one row in DRAWN tells; that decides
+    only how a part is treated, not what comes out."""
+    parts = lines.select("_e1", F.explode("_parts").alias("_part"))
+    drawn = lines.filter(F.pmod(F.xxhash64("_r", "line"), F.lit(DRAWN)) == 0).select(F.explode("_parts").alias("_part"))
+    heavy = cut(drawn.groupBy("_part").agg(F.count("*").alias("_n")).filter(F.col("_n") > heavy_limit(drawn.count())).select("_part"))
+    of_part = Window.partitionBy("_part")
+    light = parts.join(F.broadcast(heavy), "_part", "left_anti")
+    found = light.withColumns({"_a": F.min("_e1").over(of_part), "_b": F.max("_e1").over(of_part)}).filter("_a <> _b").select("_e1")
+    if heavy.take(1):
+        spread = parts.join(F.broadcast(heavy), "_part", "left_semi")
+        shared = spread.groupBy("_part").agg(F.min("_e1").alias("_a"), F.max("_e1").alias("_b")).filter("_a <> _b").select("_part")
+        found = found.unionByName(spread.join(F.broadcast(shared), "_part", "left_semi").select("_e1"))
+    return found.distinct()
+
+
 def _templates(candidates: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
     """_e1, _e2 of the distinct lines that have a template with enough constants, and the template's hashes _k1, _k2."""
     per_text = candidates.groupBy("_e1", "_e2", "_x").agg(F.min(F.struct("_r", "line")).alias("_at"))
@@ -121,10 +142,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 1, min
     """
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).withColumns({"_x": F.xxhash64("text"), "_r": F.struct(*_hashes(F.struct("doc_id", "text"), "a", "b"))})
     lines = cut(_lines(rows, depth, min_bytes))  # texts are split into tokens once
-    parts = lines.select("_e1", F.explode("_parts").alias("_part"))
-    line = F.shiftright("_e1", 32).cast("int")
-    shared = parts.groupBy("_part").agg(F.min(line).alias("_a"), F.max(line).alias("_b")).filter("_a <> _b").select("_part")
-    varying = cut(parts.join(shared.hint("shuffle_hash"), "_part", "left_semi").select("_e1").distinct())
+    varying = cut(_varying(lines))
     per_line = lines.groupBy("_e1", "_e2").agg(F.count("*").alias("_n"), (F.min("_x") < F.max("_x")).alias("_twice"))
     per_line = per_line.join(varying.withColumn("_varies", F.lit(True)), "_e1", "left").filter("_varies OR _twice")
     per_line = cut(per_line.select("_e1", "_e2", "_n", F.coalesce("_varies", F.lit(False)).alias("_varies")))

@@ -493,3 +493,18 @@ def test_language_is_learned(spark):
     assert len(got) > 200 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
     assert {r.doc_id for r in got} == {d.doc_id for d in docs.select("doc_id").collect() if zlib.crc32(str(d.doc_id).encode()) % 4 == 2}
     assert docs.filter(held_out("doc_id")).count() == len(got)
+
+
+def test_parts_of_lines_are_shuffled_once(spark, monkeypatch):
+    from hostgrain.llm import linededup
+
+    # Part 0 is heavy and shared, 1 heavy and of one line, 2 light and shared; the others are of one line each.
+    rows = [(e1, [0]) for e1 in range(40)] + [(100, [1, 2])] * 40 + [(101, [2]), (102, [3])] + [(103, [4])] * 2
+    lines = spark.createDataFrame([(e1, parts, n, 0) for n, (e1, parts) in enumerate(rows)], "_e1 long, _parts array<long>, _r long, line int")
+    want = {*range(40), 100, 101}
+    assert {r._e1 for r in linededup._varying(lines).collect()} == want
+    plan = linededup._varying(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1, "one pass over the parts"
+    monkeypatch.setattr(linededup, "DRAWN", 1)
+    found = linededup._varying(lines)
+    assert sorted(r._e1 for r in found.collect()) == sorted(want)
