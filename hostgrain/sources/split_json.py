@@ -6,7 +6,7 @@ depends on all that stands before it, but only through sums: it is outside of st
 and it closes an element if as many brackets are open as at the array's own level. Such sums go in two steps: running
 within a block, and over the totals of a file's blocks. Of each piece both readings are counted where it is read, that
 it begins in a string and that it doesn't; which one holds is known when the quotes are summed. So the text is scanned
-once, the sums move numbers only, and no task holds more than a block or an object.
+once, the sums move numbers only (files go by 64-bit hashes of their paths), and no task holds more than a block or an object.
 
 A backslash and what follows it can't be torn apart, since no escape ends in a brace.
 """
@@ -22,7 +22,6 @@ from .artefacts import KINDS, parse_drops
 BRACE = "}"
 _ESCAPE = r"\\."
 _STRING = '"[^"]*(?:"|$)'
-_TO_QUOTE = '^[^"]*(?:"|$)'
 
 
 def _times(text: Column, what: str) -> Column:
@@ -50,46 +49,48 @@ def objects(spark: SparkSession, root: str, glob: str) -> DataFrame:
     d = d.withColumn("_plain", plain).withColumns({
         "_quotes": _times(F.col("_plain"), '"'),
         "_out": _depth(F.regexp_replace("_plain", _STRING, "")),
-        "_in": _depth(F.regexp_replace(F.regexp_replace("_plain", _TO_QUOTE, ""), _STRING, "")),
+        "_all": _depth(F.col("_plain")),
         "_head": F.substring(F.ltrim(F.regexp_replace("value", r"^[\s\x{FEFF}]+", "")), 1, 1),
     })
-    d = cut(d.drop("_plain"))
-    before = Window.partitionBy("source_file", "_block").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("source_file", "_block").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
-    blocks_before = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    # What is outside of strings by one reading is inside by the other, so the two make up all brackets.
+    d = d.withColumn("_in", F.col("_all") - F.col("_out")).withColumn("_file", F.xxhash64("source_file"))
+    d = cut(d.drop("_plain", "_all"))
+    before = Window.partitionBy("_file", "_block").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_file", "_block").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
+    blocks_before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0)
 
     # Quotes: running within the block. A piece that ends outside of strings ends with a brace that counts.
-    n = d.drop("value").withColumn("_q", F.coalesce(F.sum("_quotes").over(before), zero) % 2)
+    n = d.drop("value", "source_file", "collected_at", "_size").withColumn("_q", F.coalesce(F.sum("_quotes").over(before), zero) % 2)
     reading = lambda inside: F.when(inside, F.col("_in")).otherwise(F.col("_out")) - F.when((F.col("_quotes") % 2 == 1) == inside, 1).otherwise(0)
     n = n.withColumns({"_even": reading(F.col("_q") == 1), "_odd": reading(F.col("_q") == 0)})
     n = n.withColumns({"_even": F.sum("_even").over(upto), "_odd": F.sum("_odd").over(upto)})
-    per_block = n.groupBy("source_file", "_block").agg(
+    per_block = n.groupBy("_file", "_block").agg(
         F.sum("_quotes").alias("_quotes"), F.max_by("_even", "_seq").alias("_even"), F.max_by("_odd", "_seq").alias("_odd"), F.min_by("_head", "_seq").alias("_head"))
     per_block = per_block.withColumn("_start", F.coalesce(F.sum("_quotes").over(blocks_before), zero) % 2)
     moved = F.when(F.col("_start") == 1, F.col("_odd")).otherwise(F.col("_even"))
-    whole = Window.partitionBy("source_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per_block = per_block.select(
-        "source_file", "_block", "_start", F.coalesce(F.sum(moved).over(blocks_before), zero).alias("_base"), (F.first("_head").over(whole) == "[").cast("int").alias("_level"))
-    n = n.select("source_file", "_block", "_seq", "_quotes", "_q", "_even", "_odd").join(per_block, ["source_file", "_block"])
+        "_file", "_block", "_start", F.coalesce(F.sum(moved).over(blocks_before), zero).alias("_base"), (F.first("_head").over(whole) == "[").cast("int").alias("_level"))
+    n = n.select("_file", "_block", "_seq", "_quotes", "_q", "_even", "_odd").join(per_block, ["_file", "_block"])
     depth = F.col("_base") + F.when(F.col("_start") == 1, F.col("_odd")).otherwise(F.col("_even"))
     ends = ((F.col("_start") + F.col("_q") + F.col("_quotes")) % 2 == 0) & (depth == F.col("_level"))
-    n = cut(n.select("source_file", "_block", "_seq", ends.cast("int").alias("_ends")))
+    n = cut(n.select("_file", "_block", "_seq", ends.cast("int").alias("_ends")))
 
     # Records: as many as ends before, again within the block and over blocks.
-    in_block = n.groupBy("source_file", "_block").agg(F.sum("_ends").alias("_total"))
-    in_block = in_block.select("source_file", "_block", F.coalesce(F.sum("_total").over(blocks_before), zero).alias("_from"))
-    n = n.withColumn("_k", F.coalesce(F.sum("_ends").over(before), zero)).join(in_block, ["source_file", "_block"])
-    n = n.select("source_file", "_block", "_seq", (F.col("_from") + F.col("_k")).alias("record"))
-    parts = d.select("source_file", "_block", "_seq", "value", "collected_at", "_size").join(n, ["source_file", "_block", "_seq"])
+    in_block = n.groupBy("_file", "_block").agg(F.sum("_ends").alias("_total"))
+    in_block = in_block.select("_file", "_block", F.coalesce(F.sum("_total").over(blocks_before), zero).alias("_from"))
+    n = n.withColumn("_k", F.coalesce(F.sum("_ends").over(before), zero)).join(in_block, ["_file", "_block"])
+    n = n.select("_file", "_block", "_seq", (F.col("_from") + F.col("_k")).alias("record"))
+    parts = d.select("_file", "_block", "_seq", "value", "source_file", "collected_at", "_size").join(n, ["_file", "_block", "_seq"])
     last = F.max(F.struct("_block", "_seq"))
-    found = parts.groupBy("source_file", "record").agg(
-        F.array_sort(F.collect_list(F.struct("_block", "_seq", "value"))).alias("_parts"), F.first("collected_at").alias("collected_at"), last.alias("_last"))  # an object's pieces
+    found = parts.groupBy("_file", "record").agg(
+        F.array_sort(F.collect_list(F.struct("_block", "_seq", "value"))).alias("_parts"), F.first("source_file").alias("source_file"), F.first("collected_at").alias("collected_at"), last.alias("_last"))  # an object's pieces
     text = F.array_join(F.transform("_parts", lambda p: p["value"]), BRACE)
     # Whether a brace follows the last piece, the file's size tells; a mark of three bytes at its beginning isn't read.
     left = F.first("_size") - F.sum(F.octet_length("value") + 1)
-    end = parts.groupBy("source_file").agg(last.alias("_end"), left.isin(0, 3).alias("_braced"))
-    found = found.join(end, "source_file").withColumn("_text", F.when((F.col("_last") == F.col("_end")) & ~F.col("_braced"), text).otherwise(F.concat(text, F.lit(BRACE))))
+    end = parts.groupBy("_file").agg(last.alias("_end"), left.isin(0, 3).alias("_braced"))
+    found = found.join(end, "_file").withColumn("_text", F.when((F.col("_last") == F.col("_end")) & ~F.col("_braced"), text).otherwise(F.concat(text, F.lit(BRACE))))
     opened = F.when(F.col("record") == 0, F.regexp_replace("_text", r"^[\s\x{FEFF}]*\[?", "")).otherwise(F.regexp_replace("_text", r"^\s*,?", ""))
     closed = F.when(F.col("_last") == F.col("_end"), F.regexp_replace(opened, r"\s*\]?\s*$", "")).otherwise(opened)
     found = found.select("source_file", "collected_at", "record", closed.alias("value"))

@@ -61,3 +61,14 @@ def test_damage_costs_one_element(spark, tmp_path, small_blocks):
     rows, bad = read_large(spark, str(tmp_path), "muicache")
     assert sorted((r.Name, r.pos) for r in rows.collect()) == [("a", 0), ("c", 2)]
     assert sorted(r.reason for r in bad.collect()) == ["invalid JSON", "invalid JSON"]
+
+
+def test_sums_move_numbers_only(spark, tmp_path, monkeypatch):
+    """What is sorted and summed to find the ends has no paths and no texts."""
+    from hostgrain.sources import split_json
+
+    drop(tmp_path, "h", json.dumps(TRICKY))
+    written, cut = [], split_json.cut
+    monkeypatch.setattr(split_json, "cut", lambda df: written.append(df) or cut(df))
+    assert objects(spark, str(tmp_path), "muicache.json").count() == len(TRICKY)
+    assert {t for _, t in written[1].dtypes} <= {"bigint", "int"}
