@@ -22,10 +22,12 @@ between the texts of one template.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, heavy_limit, join_to_one
+from .common import clear_cuts, cut, cuts_written, heavy_limit, join_to_one
 
 WILD = "<*>"
 BLANK = " \t\x0b\x0c\r"
@@ -38,10 +40,18 @@ DRAWN = 64
 
 def tokens_of(line: Column) -> Column:
     """Tokens of a trimmed line; each with a digit in it is a variable field."""
-    masked = F.regexp_replace(line, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+", WILD)
-    # Split at single spaces, which takes no regular expression.
-    spaced = F.translate(F.when(F.regexp_like(line, F.lit("[0-9]")), masked).otherwise(line), "\t\n\x0b\x0c\r", "     ")
-    return F.array_remove(F.split(spaced, " ", -1), "")
+    masked = F.regexp_replace(line, r"(?<!\S)[^\s\d]*+\d\S*+", WILD)  # \s and \d are ASCII's
+    masked = F.when(F.regexp_like(line, F.lit("[0-9]")), masked).otherwise(line)
+    # Split at single spaces, which takes no regular expression. Few lines have other blanks, or several at once.
+    spaced = F.array_remove(F.split(F.translate(masked, "\t\n\x0b\x0c\r", "     "), " ", -1), "")
+    odd = reduce(Column.__or__, (F.contains(line, F.lit(b)) for b in ("\t", "\n", "\x0b", "\x0c", "\r", "  ")), line == "")
+    return F.when(odd, spaced).otherwise(F.split(masked, " ", -1))
+
+
+def stripped(line: Column) -> Column:
+    """The line without blanks around it. Trimming walks all of a line, so only lines that need it go there."""
+    odd = reduce(Column.__or__, (end(line, F.lit(b)) for b in BLANK for end in (F.startswith, F.endswith)))
+    return F.when(odd, F.btrim(line, F.lit(BLANK))).otherwise(line)
 
 
 def needed(n: Column, wild: Column) -> Column:
@@ -60,8 +70,8 @@ def _hashes(value: Column, *names: str) -> list[Column]:
 def _lines(rows: DataFrame, depth: int, min_bytes: int) -> DataFrame:
     """Of each line that counts: the hashes of its parts within their leaf, null if it has no fields, and two of all."""
     lines = rows.filter(F.col("text").isNotNull()).select("doc_id", "_x", "_r", F.posexplode(F.split("text", "\n", -1)).alias("line", "_s"))
-    lines = lines.withColumn("_s", F.btrim("_s", F.lit(BLANK))).filter(F.octet_length("_s") >= min_bytes)
-    # Through a generator, so that the filter on the tokens isn't pushed below and splits the line again.
+    # Through generators, so that the filters on what they give aren't pushed below and trim or split the line again.
+    lines = lines.select("doc_id", "_x", "_r", "line", F.explode(F.array(stripped(F.col("_s")))).alias("_s")).filter(F.octet_length("_s") >= min_bytes)
     lines = lines.select("doc_id", "_x", "_r", "line", F.explode(F.array(tokens_of(F.col("_s")))).alias("_t"))
     n, t = F.size("_t"), F.col("_t")
     lines = lines.filter(~F.array_contains(t, WILD) | (2 * F.size(F.array_remove(t, WILD)) >= n))
@@ -83,20 +93,29 @@ def _lines(rows: DataFrame, depth: int, min_bytes: int) -> DataFrame:
 def _varying(lines: DataFrame) -> DataFrame:
     """_e1 of the lines that share a part with a different line, each once.
 
-    Parts are shuffled once, and lines of a part compared where they then lie. Parts that many rows hold don't go there: they are
-    compared task by task first, and what they share is broadcast. Which these are, one row in DRAWN tells; that decides
-    only how a part is treated, not what comes out."""
-    parts = lines.select("_e1", F.explode("_parts").alias("_part"))
-    drawn = lines.filter(F.pmod(F.xxhash64("_r", "line"), F.lit(DRAWN)) == 0).select(F.explode("_parts").alias("_part"))
-    heavy = cut(drawn.groupBy("_part").agg(F.count("*").alias("_n")).filter(F.col("_n") > heavy_limit(drawn.count())).select("_part"))
+    Parts are shuffled once, and lines of a part compared where they then lie. Parts that many rows hold don't meet there: whether
+    their lines differ is told by partial results of all tasks first, and broadcast, and their rows are dealt out by themselves. Every
+    row of a part passes a join once, whatever its part holds: filters come after what gathers rows, since the optimizer would
+    make inner joins of these. Which parts these are, one row in DRAWN tells; that decides only how a part is treated, not what comes out."""
+    row = F.xxhash64("_r", "line")
+    drawn = lines.filter(F.pmod(row, F.lit(DRAWN)) == 0).select(F.explode("_parts").alias("_part"))
+    heavy = cut(drawn.groupBy("_part").agg(F.count("*").alias("_n")).filter(F.col("_n") > heavy_limit(drawn.count())).select("_part", F.lit(True).alias("_heavy")))
+    if not heavy.take(1):
+        return _differing(lines.select("_e1", F.explode("_parts").alias("_part")), F.lit(None)).distinct()
+    parts = lines.select("_e1", row.alias("_row"), F.explode("_parts").alias("_part"))
+    ends = parts.join(F.broadcast(heavy), "_part", "left").groupBy(F.when(F.col("_heavy"), F.col("_part")).alias("_part"))
+    # The light ones' row has a null part, which fits none.
+    told = cut(ends.agg((F.min("_e1") < F.max("_e1")).alias("_shared")))
+    told = parts.join(F.broadcast(told), "_part", "left")
+    apart = F.when(F.col("_shared").isNull(), F.col("_part")).otherwise(F.xxhash64("_part", "_row"))
+    return _differing(told.select("_e1", apart.alias("_part"), "_shared"), F.col("_shared")).distinct()
+
+
+def _differing(parts: DataFrame, told: Column) -> DataFrame:
+    """_e1 of the rows of which told says so, or where it is null, whose part a row of another _e1 holds as well."""
     of_part = Window.partitionBy("_part")
-    light = parts.join(F.broadcast(heavy), "_part", "left_anti")
-    found = light.withColumns({"_a": F.min("_e1").over(of_part), "_b": F.max("_e1").over(of_part)}).filter("_a <> _b").select("_e1")
-    if heavy.take(1):
-        spread = parts.join(F.broadcast(heavy), "_part", "left_semi")
-        shared = spread.groupBy("_part").agg(F.min("_e1").alias("_a"), F.max("_e1").alias("_b")).filter("_a <> _b").select("_part")
-        found = found.unionByName(spread.join(F.broadcast(shared), "_part", "left_semi").select("_e1"))
-    return found.distinct()
+    found = parts.withColumns({"_a": F.min("_e1").over(of_part), "_b": F.max("_e1").over(of_part)})
+    return found.filter(F.coalesce(told.cast("boolean"), F.col("_a") != F.col("_b"))).select("_e1")
 
 
 def _templates(candidates: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
@@ -106,8 +125,8 @@ def _templates(candidates: DataFrame, rows: DataFrame, depth: int) -> DataFrame:
     distinct = cut(distinct.select("_e1", "_e2", "_texts", "_at._r", "_at.line"))
     # Merged at every size: these may be a good part of all rows.
     of_rows = rows.join(distinct.select("_r").distinct().hint("merge"), "_r", "left_semi").select("_r", F.posexplode(F.split("text", "\n", -1)).alias("line", "_s"))
-    found = of_rows.join(distinct, ["_r", "line"]).dropDuplicates(["_e1", "_e2"])
-    found = cut(found.select("_e1", "_e2", "_texts", tokens_of(F.btrim("_s", F.lit(BLANK))).alias("_t")))
+    found = of_rows.join(distinct, ["_r", "line"]).dropDuplicates(["_e1", "_e2"]).withColumn("_s", F.explode(F.array(stripped(F.col("_s")))))
+    found = cut(found.select("_e1", "_e2", "_texts", tokens_of(F.col("_s")).alias("_t")))
 
     # A token's place and, in the lowest COUNT_BITS, how often its leaf has it there, in one number.
     leaf = F.xxhash64(F.size("_t"), F.slice("_t", 1, depth)).alias("_leaf")
@@ -141,12 +160,14 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 2, depth: int = 1, min
     table gives an empty result. Other columns are not looked at.
     """
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text")).withColumns({"_x": F.xxhash64("text"), "_r": F.struct(*_hashes(F.struct("doc_id", "text"), "a", "b"))})
+    written = cuts_written()
     lines = cut(_lines(rows, depth, min_bytes))  # texts are split into tokens once
     varying = cut(_varying(lines))
     per_line = lines.groupBy("_e1", "_e2").agg(F.count("*").alias("_n"), (F.min("_x") < F.max("_x")).alias("_twice"))
     per_line = per_line.join(varying.withColumn("_varies", F.lit(True)), "_e1", "left").filter("_varies OR _twice")
     per_line = cut(per_line.select("_e1", "_e2", "_n", F.coalesce("_varies", F.lit(False)).alias("_varies")))
     candidates = cut(join_to_one(lines.drop("_parts"), per_line, ["_e1", "_e2"], lines.count()))
+    clear_cuts(docs.sparkSession, written, keep_last=True)  # nothing later reads the parts of all lines
 
     varying, same = candidates.filter("_varies"), candidates.filter("NOT _varies")
     found = varying.join(_templates(varying, rows, depth), ["_e1", "_e2"]).drop("_e1", "_e2")

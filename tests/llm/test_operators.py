@@ -508,3 +508,38 @@ def test_parts_of_lines_are_shuffled_once(spark, monkeypatch):
     monkeypatch.setattr(linededup, "DRAWN", 1)
     found = linededup._varying(lines)
     assert sorted(r._e1 for r in found.collect()) == sorted(want)
+
+
+def test_rows_of_heavy_parts_pass_one_kind_of_join(spark, monkeypatch):
+    """Joins of parts give each row once, whatever its part holds: what a heavy part's lines share goes by a flag."""
+    from hostgrain.llm import linededup
+
+    monkeypatch.setattr(linededup, "DRAWN", 1)
+    for heavy in ([(e1, [0, 1]) for e1 in range(40)], [(7, [0])] * 40):
+        rows = [*heavy, (100, [2]), (101, [2]), (102, [3])]
+        lines = spark.createDataFrame([(e1, parts, n, 0) for n, (e1, parts) in enumerate(rows)], "_e1 long, _parts array<long>, _r long, line int")
+        found = linededup._varying(lines)
+        assert sorted(r._e1 for r in found.collect()) == [*(range(40) if len(heavy[0][1]) > 1 else ()), 100, 101]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == plan.count("Join LeftOuter") > 0
+
+
+def test_parts_of_all_lines_are_gone_once_they_are_compared(spark):
+    from hostgrain.llm import common
+
+    written = common.cuts_written()
+    got = {r.doc_id: r.dropped for r in drop_recurring_lines(spark.createDataFrame(LOGS, "doc_id long, text string")).collect()}
+    assert got == dict(zip((d for d, _ in LOGS), brute.dropped_lines(LOGS), strict=True))
+    from hostgrain.operators import store
+
+    assert all("_parts" not in spark.read.parquet(path).columns for path in store._written[written:])
+
+
+def test_tokens_between_any_blanks(spark):
+    from hostgrain.llm import linededup
+
+    lines = ["a b", "a  b", "a\tb\x0b\x0cc", " \t a b1 2c\r", "x\r\ry z9\t", "", "\xa0a  1 b", "1", "a1b\t\t3 c  d", "\x1ca \x1d2"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(lines)], "i int, s string")
+    got = {r.i: r.t for r in df.select("i", linededup.tokens_of(linededup.stripped(df.s)).alias("t")).collect()}
+    words = lambda s: [w for w in re.split(r"[\x20\x09-\x0D]+", s) if w]
+    assert got == {i: [linededup.WILD if re.search("[0-9]", w) else w for w in words(s)] for i, s in enumerate(lines)}
