@@ -107,17 +107,21 @@ def shellbags_from_registry(reg: DataFrame, users: DataFrame) -> DataFrame:
     d = cut(d.select("host", "sid", "source", "id", "rank", "key_last_write", "data", hive.alias("_tree"), F.lower("key_path").alias("_key"), F.concat(F.lower("key_path"), F.lit("\\"), number).alias("_own")))
     # A number that an order repeats is one node, at its most recent place.
     d = d.withColumn("_first", F.min("rank").over(Window.partitionBy("_tree", "_own"))).filter(F.col("rank") == F.col("_first")).drop("_first")
-    free = cut(items_of(d, "data", ["_tree", "_own"]))
-    nodes = d.select("_tree", "_own", "_key", "id").join(free.select("_tree", "_own", "archive"), ["_tree", "_own"], "left")
-    way = tree_paths(nodes, ["_tree"], "_own", "_key", "id", "/", inherit=("archive",))
+    # Items are read with all of a row at hand, also a row without a value, so that no join has to bring them together again.
+    there, blob = F.col("data").isNotNull(), F.coalesce("data", F.lit(b"")).alias("_bytes")
+    read = items_of(d.select("*", blob), "_bytes", d.columns)
+    d = cut(read.select(*d.columns, *(F.when(there, F.col(c)).alias(c) for c in ("items", "archive", "error"))))
+    way = tree_paths(d, ["_tree"], "_own", "_key", "id", "/", inherit=("archive",))
     # Below a number that isn't listed, a walk begins deeper than its key lies.
     way = way.select("_tree", "_own", F.col("path").alias("node_path"), "depth", F.col("archive_above").alias("in_archive"))
     rows = cut(d.join(way, ["_tree", "_own"]))
     rows = rows.filter(F.col("depth") == F.size(F.split(F.regexp_extract("_key", r"\\bagmru((?:\\[0-9]+)*)$", 1), r"\\")) - 1)
     own = ["host", "sid", "source", "node_path", "id", "depth", "rank", "key_last_write", "in_archive"]
-    content = items_of(rows.filter("in_archive"), "data", ["_tree", "_own"], inside=True).select("_tree", "_own", F.col("items").alias("_content"))
-    read = rows.select(*own, "_key", "_tree", "_own").join(free.select("_tree", "_own", "items", "error"), ["_tree", "_own"], "left").join(content, ["_tree", "_own"], "left")
-    read = read.withColumns({"items": F.coalesce("_content", "items"), "error": F.when(F.col("items").isNull(), F.coalesce("error", F.lit("no value"))).otherwise(F.col("error"))})
+    rows = rows.select(*own, "_key", "data", F.col("items").alias("_free"), F.coalesce("error", F.when(F.col("items").isNull(), "no value")).alias("_why"))
+    content = items_of(rows.filter("in_archive").select("*", blob), "_bytes", rows.columns, inside=True)
+    content = content.select(*rows.columns, F.when(there, F.col("items")).alias("_content"))
+    read = rows.filter("NOT in_archive").unionByName(content, allowMissingColumns=True)
+    read = read.withColumns({"items": F.coalesce("_content", "_free"), "error": F.col("_why")})
     out = L.sid_names(read, users)
     parent = F.regexp_extract("_key", r"\\bagmru(?:\\[0-9]+)*\\([0-9]+)$", 1).try_cast("bigint")
     return out.select("host", "sid", "sid_name", "source", "node_path", "id", parent.alias("parent"), "depth", F.col("rank").alias("mru_pos"), "key_last_write", "in_archive", "items", "error")

@@ -104,6 +104,22 @@ def test_bags_from_the_registry(spark):
         assert R.shellbags_from_registry(reg.limit(0), users).count() == 0
 
 
+def test_items_of_bags_meet_their_rows_without_a_join(spark, monkeypatch):
+    """Of joins by node only that with its path is left; what the tree's rounds take is theirs."""
+    rounds, end, R_TREE = [], 0xFFFFFFFF, R.tree_paths
+    top = "Local Settings\\Software\\Microsoft\\Windows\\Shell\\BagMRU"
+    order = lambda *n: b"".join(i.to_bytes(4, "little") for i in n)
+    reg = spark.createDataFrame([("h", "usr", "S-1", top, n, "REG_BINARY", bytearray(b), None) for n, b in (("MRUListEx", order(1, 0, end)), ("1", ITEMS))], A.REG_VALUES)
+    users = spark.createDataFrame([("h", "S-1", "ann")], "host string, sid string, name string")
+    kept, joins = R.cut, []
+    monkeypatch.setattr(R, "tree_paths", lambda *a, **b: rounds.append(1) or kept(R_TREE(*a, **b)))
+    count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    monkeypatch.setattr(R, "cut", lambda df: joins.append(count(df)) or kept(df))
+    out = R.shellbags_from_registry(reg, users)
+    assert {(r.id, r.mru_pos, r.error) for r in out.collect()} == {(1, 0, None), (0, 1, "no value")} and len(rounds) == 1
+    assert sum(joins) + count(out) == 3  # orders with values, rows with paths, and accounts
+
+
 def test_bags_from_json(spark):
     item = lambda n: f'{{"Type": "FileEntry", "Name": "{n}"}}'
     node = lambda i, items, kids="": f'{{"ID": {i}, "ShellItems": [{items}], "Childs": [{kids}]}}'
